@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_matrix, packing, token_counts, token_files
+from . import ann_multiprobe, binary_dedup, bpe_matrix, ngram_jaccard, packing, token_counts, token_files
 from .common import table
 
 #: Where the vocabulary files are; another folder may be named in the environment.
@@ -25,6 +25,10 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_multiprobe.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2)
 
@@ -33,19 +37,33 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_matrix.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pattern())
 
 
+def op8_binary_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multiprobe": op1_multiprobe,
     "op2_token_files": op2_token_files,
     "op4_packing": op4_packing,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_binary_dedup": op8_binary_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_ngram_jaccard": ngram_jaccard.ORACLE,
+    "op8_binary_dedup": binary_dedup.ORACLE,
+}
