@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_multiprobe, binary_dedup, bpe_matrix, ngram_jaccard, packing, token_counts, token_files
+from . import ann_multiprobe, binary_dedup, bpe_matrix, ngram_jaccard, packing, pii_terms, token_counts, token_files, toxicity
 from .common import table
 
 #: Where the vocabulary files are; another folder may be named in the environment.
@@ -37,6 +37,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_components(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,10 @@ def op8_binary_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_dedup.dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op9_pii_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_terms.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -57,9 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multiprobe": op1_multiprobe,
     "op2_token_files": op2_token_files,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_binary_dedup": op8_binary_dedup,
+    "op9_pii_terms": op9_pii_terms,
     "op10_token_counts": op10_token_counts,
 }
 
