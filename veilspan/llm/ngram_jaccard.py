@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored
@@ -199,3 +199,23 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM r
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = s.doc_id
 """
+
+
+def without_near_copies(documents: DataFrame, **options) -> DataFrame:
+    """One row of ``documents`` for each group of linked rows, with all columns: that of the smallest doc_id.
+
+    Of rows that share the smallest id the one with the smallest text stays. Rows without words link with nothing,
+    and rows of a component without any id are not told apart, so both all stay.
+    """
+    key = "veilspan component"
+    groups = ngram_components(documents, **options).where("component_id is not null and n_shingles > 0")
+    gone = stored(groups.where("doc_id is null or doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "copies")
+    kept = documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
+    repeated = stored(documents.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)), "repeated")
+    if not repeated.take(1):
+        return kept
+    once = kept.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated, F.col("doc_id") == F.col(key), "left_anti")
+    again = kept.join(repeated, F.col("doc_id") == F.col(key), "left_semi")
+    rank = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    again = again.withColumn(key, F.row_number().over(rank)).where(F.col(key) == 1).drop(key)
+    return once.unionByName(again)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_multiprobe, binary_dedup, bpe_matrix, ngram_jaccard, packing, pii_terms, token_counts, token_files, toxicity
+from . import ann_multiprobe, binary_dedup, bpe_matrix, ngram_jaccard, packing, pii_terms, ppm, token_counts, token_files, toxicity
 from .common import table
 
 #: Where the vocabulary files are; another folder may be named in the environment.
@@ -33,6 +33,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2)
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -64,6 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multiprobe": op1_multiprobe,
     "op2_token_files": op2_token_files,
+    "op3_ppm": op3_ppm,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard": op6_ngram_jaccard,
