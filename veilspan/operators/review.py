@@ -33,9 +33,9 @@ class Replay:
         """Applies an action; the code of its error if it has one, and then nothing changes."""
         kind = action["type"]
         if kind in ("accept", "dismiss"):
-            return self._decide(action["target_id"], "accepted" if kind == "accept" else "dismissed")
+            return self._decide(action.get("target_id"), "accepted" if kind == "accept" else "dismissed")
         if kind == "add_missed":
-            return self._add(action["start"], action["end"], action["pii_type"])
+            return self._add(action.get("start"), action.get("end"), action.get("pii_type"))
         if kind == "undo":
             return self._undo()
         return "unknown_action"
