@@ -2,8 +2,10 @@
 
 Every distinct n-gram set is a node. Its n-grams are put in one global order, rare ones first, by a sketch of their
 frequencies over all documents; two sets that link share an n-gram within the prefixes of that order. Sets that share
-a prefix n-gram are candidates if the length filter and the positional filter let them; the suffix filter and the
-intersection then decide once for each pair.
+a prefix n-gram are candidates if the length filter, the positional filter and a first suffix filter let them; a
+second suffix filter and the intersection then decide once for each pair. Both suffix filters bound the number of
+n-grams in just one of two sets from below: the first by the bits in which 256 parities of the two sets differ (a set
+has a parity for each residue of its n-grams), so that it can be a join condition, the second by halving the sets.
 
 Pairs are found in two steps, so that a group of many near copies doesn't cost all its pairs. First each set is held
 against one centre for each prefix n-gram. Then only pairs that share a prefix n-gram and still lie in different
@@ -13,9 +15,11 @@ components are held against each other, all of them. Pairs within a component ca
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +27,10 @@ from .common import slices, stored
 from .components import connected_components
 from .shingles import set_id, shingle_sets
 
-#: Counters of the frequency sketch, as a power of two; it decides the order only, never a result.
-SKETCH_BITS = 18
+#: Counters of the frequency sketch, as powers of two: one for some n-grams, within fixed bounds. The sketch decides the
+#: order only, never a result.
+SKETCH_BITS, GRAMS_A_COUNTER = (18, 21), 32
+PARITIES = ("p0", "p1", "p2", "p3")
 #: Candidate documents are looked up by a broadcast of up to so many ids, and by a shuffle join beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -57,43 +63,64 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(x) + len(y) - same)
 
 
-def _sets(documents: DataFrame, width: int) -> DataFrame:
-    """A row for each document: doc_id, n, node; and a row for each task with its sketch of n-gram frequencies."""
+def parities(x: np.ndarray) -> np.ndarray:
+    """256 parities of a set as four 64-bit numbers; those of two sets differ in at most as many bits as the sets in n-grams."""
+    odd = np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def sketch_bits(total_chars: int) -> int:
+    """The size of the sketch for a corpus, taking six characters for an n-gram."""
+    return int(np.clip(max(1, total_chars // 6 // GRAMS_A_COUNTER).bit_length(), *SKETCH_BITS))
+
+
+def _sets(documents: DataFrame, width: int, bits: int) -> DataFrame:
+    """A row for each document: doc_id, n, node, parities; and a row for each task with its sketch of n-gram frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        sketch, held, size = np.zeros(1 << bits, dtype=np.uint32), [], 0
+
+        def count() -> None:
+            nonlocal held, size
+            if held:
+                sketch[:] += np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+            held, size = [], 0
+
         for batch in batches:
             for part, texts in slices(batch):
                 sets = shingle_sets(texts, width)
                 for x in sets:
-                    sketch += np.bincount((x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)) if len(x) > len(sketch) // 8 else 0
-                small = [x for x in sets if len(x) <= len(sketch) // 8]
-                if small:
-                    sketch += np.bincount((np.concatenate(small) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": [len(x) for x in sets], "node": [set_id(x) if len(x) else None for x in sets], "sketch": [None] * len(sets)}, schema=layout)
-        yield pa.RecordBatch.from_pydict({"doc_id": [None], "n": [None], "node": [None], "sketch": [np.minimum(sketch, 2**31 - 1).astype("<i4").tobytes()]}, schema=layout)
+                    held.append(x)
+                    size += len(x)
+                    if size >= 1 << 21:
+                        count()
+                marks = np.array([parities(x) for x in sets]).reshape(len(sets), 4)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": [len(x) for x in sets], "node": [set_id(x) if len(x) else None for x in sets], **{p: marks[:, k] for k, p in enumerate(PARITIES)}, "sketch": [None] * len(sets)}, schema=layout)
+        count()
+        yield pa.RecordBatch.from_pydict({f.name: [None] for f in layout} | {"sketch": [np.minimum(sketch, 65535).astype("<u2").tobytes()]}, schema=layout)
 
-    layout = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, sketch binary")
+    numbers = ("doc_id", "n", "node", *PARITIES)
+    layout = pa.schema([*((c, pa.int64()) for c in numbers), ("sketch", pa.binary())])
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{', '.join(f'{c} long' for c in numbers)}, sketch binary")
 
 
-def _sketch(sets: DataFrame) -> np.ndarray:
-    """The frequency sketch of all documents, of fixed size; tasks add up what they read before the driver does."""
+def _sketch(sets: DataFrame, bits: int) -> np.ndarray:
+    """The frequency sketch of all documents, of bounded size; tasks add up what they read before the driver does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        total = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
             for raw in batch.column(0):
-                total += np.frombuffer(raw.as_buffer(), dtype="<i4")
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], names=["sketch"])
+                total += np.frombuffer(raw.as_buffer(), dtype="<u2")
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())], names=["sketch"])
 
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for row in sets.where("sketch is not null").select("sketch").repartition(4).mapInArrow(run, "sketch binary").collect():
-        total += np.frombuffer(row["sketch"], dtype="<i4")
-    return np.minimum(total, 2**31 - 1).astype(np.int32)
+    total = np.zeros(1 << bits, dtype=np.uint32)
+    for row in sets.where("sketch is not null").select("sketch").coalesce(4).mapInArrow(run, "sketch binary").toLocalIterator():
+        total += np.frombuffer(row["sketch"], dtype="<u2")
+    return np.minimum(total, 65535).astype(np.uint16)
 
 
-def _prefixes(documents: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
+def _prefixes(documents: DataFrame, width: int, percent: int, sketch: Broadcast, bits: int) -> DataFrame:
     """The prefix n-grams of every set: gram, node, n, pos (from 0 in the rare-first order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +132,7 @@ def _prefixes(documents: DataFrame, width: int, percent: int, sketch: np.ndarray
                         continue
                     seen.add(node)
                     length = prefix_length(len(x), percent)
-                    order = np.lexsort((x, sketch[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:length]
+                    order = np.lexsort((x, sketch.value[(x >> np.uint64(64 - bits)).astype(np.int64)]))[:length]
                     grams.append(x[order])
                     nodes.append(np.full(length, node))
                     sizes.append(np.full(length, len(x)))
@@ -117,10 +144,12 @@ def _prefixes(documents: DataFrame, width: int, percent: int, sketch: np.ndarray
 
 
 def _may_link(percent: int):
-    """The length filter and the positional filter on sides a and b."""
+    """The length filter, the positional filter and the suffix filter by parities, on sides a and b."""
     need = F.ceil(F.lit(percent) * (F.col("a.n") + F.col("b.n")) / F.lit(100 + percent))
     length = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    return length & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= need)
+    place = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= need
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in PARITIES])
+    return length & place & (apart <= F.col("a.n") + F.col("b.n") - 2 * need)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
@@ -158,15 +187,20 @@ def ngram_components(documents: DataFrame, width: int = 4, percent: int = 85) ->
     rows of their own. A null doc_id counts as larger than any other; a component of only such rows has a null id.
     Further columns are ignored; an empty table gives no rows.
     """
-    sets = stored(_sets(documents, width), "sets")
-    sketch = _sketch(sets)
-    grams = _prefixes(documents, width, percent, sketch)
-    # Written once: the n-grams that two or more sets have in their prefixes.
-    grams = stored(grams, "prefixes", "lz4")
-    shared = grams.groupBy("gram").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").drop("last")
-    met = stored(grams.join(shared, "gram").distinct(), "shared")
+    bits = sketch_bits(documents.agg(F.sum(F.length("text"))).first()[0] or 0)
+    sets = stored(_sets(documents, width, bits), "sets")
+    sketch = documents.sparkSession.sparkContext.broadcast(_sketch(sets, bits))
+    grams = stored(_prefixes(documents, width, percent, sketch, bits), "prefixes")
+    sketch.destroy()
+    # Only n-grams that stand in two or more prefixes can join; counting them moves one number a row.
+    shared = grams.groupBy("gram").count().where("count > 1").select("gram")
+    met = grams.join(shared, "gram", "left_semi").groupBy("gram", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    met = stored(met, "met")
+    centres = met.groupBy("gram").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").drop("last")
+    marks = sets.where("node is not null").select("node", *PARITIES).dropDuplicates(["node"])
+    met = stored(met.join(centres, "gram").join(marks, "node"), "shared")
     a, b = met.where("node <> centre").alias("a"), met.where("node = centre").alias("b")
-    first = stored(a.join(b, F.col("a.gram") == F.col("b.gram")).where(_may_link(percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
+    first = stored(a.join(b, (F.col("a.gram") == F.col("b.gram")) & _may_link(percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
     links = stored(_verified(first, sets, documents, width, percent), "links")
     roots = stored(connected_components(links), "roots")
     placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
