@@ -41,7 +41,7 @@ def test_suppression_is_by_overlap(spark):
 
 
 def test_phones_link_within_a_document_only(spark):
-    got = merged(spark, [(1, 0, 5, "PHONE", 0.99, "regex", "", "0412887905"), (1, 10, 15, "PHONE", 0.99, "regex", "", "61412887905"), (2, 0, 5, "PHONE", 0.99, "regex", "", "0412887905"), (1, 20, 22, "PERSON", 0.8, "ner", "", None), (1, 30, 32, "PERSON", 0.8, "ner", "", None)])
+    got = merged(spark, [(1, 0, 5, "PHONE", 0.99, "regex", "", "0413552760"), (1, 10, 15, "PHONE", 0.99, "regex", "", "61413552760"), (2, 0, 5, "PHONE", 0.99, "regex", "", "0413552760"), (1, 20, 22, "PERSON", 0.8, "ner", "", None), (1, 30, 32, "PERSON", 0.8, "ner", "", None)])
     assert [tuple(o) for o in got[1, 0, 5]["linked"]] == [(10, 15)] and got[2, 0, 5]["linked"] == [] and got[1, 20, 22]["linked"] == []
 
 
@@ -50,9 +50,9 @@ def accepted(spark, rows):
 
 
 def test_render_and_legend(spark):
-    text = "Ann \U0001f600 called 0412 887 905, +61 412 887 905 and ann. Bob too."
+    text = "Ann \U0001f600 called 0413 552 760, +61 413 552 760 and ann. Bob too."
     at = lambda v, k=0: (text.index(v, k), text.index(v, k) + len(v), v)
-    own = accepted(spark, [(1, *at("Ann"), "PERSON", None), (1, *at("0412 887 905"), "PHONE", "0412887905"), (1, *at("+61 412 887 905"), "PHONE", "61412887905"), (1, *at("ann"), "PERSON", None), (1, *at("Bob"), "PERSON", None)])
+    own = accepted(spark, [(1, *at("Ann"), "PERSON", None), (1, *at("0413 552 760"), "PHONE", "0413552760"), (1, *at("+61 413 552 760"), "PHONE", "61413552760"), (1, *at("ann"), "PERSON", None), (1, *at("Bob"), "PERSON", None)])
     docs = spark.createDataFrame([(1, text), (2, "untouched")], "doc_id long, text string")
     out = {r["doc_id"]: r["output_text"] for r in render.rendered(docs, own, "ANONYMIZE").collect()}
     assert out == {1: "[PERSON_1] \U0001f600 called [PHONE_1], [PHONE_1] and [PERSON_1]. [PERSON_2] too.", 2: "untouched"}
@@ -120,13 +120,13 @@ def test_cascade_and_repeated_additions():
 
 def test_service(spark, tmp_path):
     service = Service(spark, f"file://{tmp_path}/store")
-    docs = spark.createDataFrame([(1, "Call 0412 887 905 or +61 412 887 905. Bye."), (2, "none")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "Call 0413 552 760 or +61 413 552 760. Bye."), (2, "none")], "doc_id long, text string")
     name = service.create_review(docs)
     items = review.ordered(service.items(name)).collect()
-    assert [(r["status"], r["tier"], r["linked_count"], r["sentence"]) for r in items] == [("pending", 1, 1, "Call 0412 887 905 or +61 412 887 905")] * 2
+    assert [(r["status"], r["tier"], r["linked_count"], r["sentence"]) for r in items] == [("pending", 1, 1, "Call 0413 552 760 or +61 413 552 760")] * 2
     gated = {r["doc_id"]: r for r in service.export_review(name, "REDACT").collect()}
     assert gated[1]["gated"] and gated[1]["output_text"] is None and len(gated[1]["unresolved"]) == 2 and not gated[2]["gated"] and gated[2]["output_text"] == "none"
-    assert service.export_review(name, "REDACT", confirm=True).where("doc_id = 1").first()["output_text"].startswith("Call 0412")
+    assert service.export_review(name, "REDACT", confirm=True).where("doc_id = 1").first()["output_text"].startswith("Call 0413")
     assert service.act(name, review.action_rows(spark, [(1, 1, "accept", items[0]["id"], None, None, None)])).count() == 0
     out = service.export_review(name, "ANONYMIZE").where("doc_id = 1").first()
     assert out["output_text"] == "Call [PHONE_1] or [PHONE_1]. Bye." and [tuple(x)[1:] for x in out["legend"]] == [("[PHONE_1]", "PHONE", 2)]

@@ -20,11 +20,11 @@ def test_page_kinds(spark):
 
 def test_words_to_boxes_to_pixels(spark):
     image = np.full((40, 200, 3), 255, dtype=np.uint8)
-    seen = [("Call", 90, 1, 1, 1, 5, 5, 30, 10), ("0412", 80, 1, 1, 1, 40, 5, 30, 10), ("887", 80, 1, 1, 1, 75, 5, 20, 10), ("", 90, 1, 1, 1, 0, 0, 1, 1), ("905", 70, 1, 1, 1, 100, 5, 20, 10), ("now", 60, 1, 1, 2, 5, 20, 20, 10)]
+    seen = [("Call", 90, 1, 1, 1, 5, 5, 30, 10), ("0413", 80, 1, 1, 1, 40, 5, 30, 10), ("552", 80, 1, 1, 1, 75, 5, 20, 10), ("", 90, 1, 1, 1, 0, 0, 1, 1), ("760", 70, 1, 1, 1, 100, 5, 20, 10), ("now", 60, 1, 1, 2, 5, 20, 20, 10)]
     images = spark.createDataFrame([(1, 0, 200, 40, bytearray(image.tobytes()))], "doc_id long, page int, width int, height int, rgb binary")
     placed = raster.placed_words(raster.recognised_words(images, lambda rgb, w, h: seen)).cache()
     pages = raster.page_texts(placed)
-    assert pages.first()["text"] == "Call 0412 887 905\nnow"
+    assert pages.first()["text"] == "Call 0413 552 760\nnow"
     found = detect_patterns(pages).join(pages.select("doc_id", "page"), "doc_id")
     boxes = raster.span_boxes(found, placed)
     assert sorted(r["box"]["x0"] for r in boxes.collect()) == [40, 75, 100]

@@ -22,22 +22,22 @@ CASES = [
     (1, "SSN 123-45-6789 stands alone."),
     (2, "Run 123-45-6789 1234567890123 beyond a phone's digits."),
     (3, "Card 4111 1111 1111 1111 and amex 3782-822463-10005, wrong 4111 1111 1111 1112."),
-    (4, "Codes CR-88341-AC, AB-CD, 12-34-56, X1-Y2-Z3 and \U0001f600 é AB-12."),
-    (5, "At 2024-03-05 12:30 call 0412 887 905 or +61 412 887 905, mail Ana.Li@Mail.example.org."),
-    (6, "First 0412\n887 905 over two lines. (02) 9999 8888! Then nothing"),
+    (4, "Codes CR-77120-AC, AB-CD, 12-34-56, X1-Y2-Z3 and \U0001f600 é AB-12."),
+    (5, "At 2024-03-05 12:30 call 0413 552 760 or +61 413 552 760, mail Ana.Li@Mail.example.org."),
+    (6, "First 0413\n552 760 over two lines. (02) 9999 8888! Then nothing"),
     (7, ""),
 ]
 NOTE = (
-    "Claimant: Ms. Anna Holloway\nReference: CR-10442-AC\nShe can be reached at 0412 555 905, or as +61 412 555 905. Mail anna.h@mail.example.org.\n"
-    "Post to 14 Brunswick Street, Fitzroy VIC 3065. Sent by her supervisor, Daniel Okafor, who asked for it. Anna has since agreed.\nChecked against Coastline Mutual, a partner."
+    "Claimant: Ms. Anna Hartwell\nReference: CR-10442-AC\nShe can be reached at 0413 555 760, or as +61 413 555 760. Mail anna.h@mail.example.org.\n"
+    "Post to 27 Riverbank Street, Newtown NSW 2042. Sent by her supervisor, Martin Sorvik, who asked for it. Anna has since agreed.\nChecked against Coastline Mutual, a partner."
 )
 REPLIES = [(1, 0, "Her manager, Bo Li, met Bo Li and Dr Bo.", '```json\n{"entities": [{"text": "Bo Li", "type": "person", "reason": " boss "}, {"text": "Bo Li", "type": "X"}, {"text": "Bo", "type": null, "reason": " "}, {"text": "Al", "type": "ORG"}]}\n```'), (2, 0, "nothing", "not json"), (3, 680, "the doctor Eve", '[{"text": "Eve", "type": "PERSON", "reason": "named"}]'), (3, 0, "Eve", "{}")]
 ACTIONS = [
     (1, 1, "accept", "m:9-21", None, None, None), (1, 2, "dismiss", "m:9-21", None, None, None), (1, 3, "undo", None, None, None, None), (1, 4, "add_missed", None, 0, 5, "ORG"), (1, 5, "fly", None, None, None, None),
     (2, 1, "undo", None, None, None, None), (2, 2, "accept", "m:1-2", None, None, None), (2, 3, "add_missed", None, 3, None, None), (2, 4, "add_missed", None, 0, 4, None), (2, 5, "add_missed", None, 0, 4, None), (2, 6, "undo", None, None, None, None),
 ]
-REVIEWED = [(1, "Numbers: 0412 887 905 and +61 412 887 905."), (2, "Code CR-1-A here."), (3, "Nothing here.")]
-WORDS = [(1, 0, k, w, c, *key, 10 * k, 5, 8, 4) for k, (w, c, key) in enumerate([("Call", "91", (1, 1, 1)), (" ", "95", (1, 1, 1)), ("0412", "88.5", (1, 1, 1)), ("887", "80", (1, 1, 1)), ("x", "-1", (1, 1, 1)), ("905", "77", (1, 1, 1)), ("now", "n/a", (1, 1, 2)), ("Bye", "60", (1, 1, 2)), ("Page", "50", (2, 1, 1))])]
+REVIEWED = [(1, "Numbers: 0413 552 760 and +61 413 552 760."), (2, "Code CR-1-A here."), (3, "Nothing here.")]
+WORDS = [(1, 0, k, w, c, *key, 10 * k, 5, 8, 4) for k, (w, c, key) in enumerate([("Call", "91", (1, 1, 1)), (" ", "95", (1, 1, 1)), ("0413", "88.5", (1, 1, 1)), ("552", "80", (1, 1, 1)), ("x", "-1", (1, 1, 1)), ("760", "77", (1, 1, 1)), ("now", "n/a", (1, 1, 2)), ("Bye", "60", (1, 1, 2)), ("Page", "50", (2, 1, 1))])]
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,7 +318,7 @@ def llm_reanchor(spark, sf_dir):
 
 @query()
 def llm_layer(spark, sf_dir):
-    client = Replies({"supervisor": '{"entities": [{"text": "Daniel Okafor", "type": "PERSON", "reason": "named by role"}]}'})
+    client = Replies({"supervisor": '{"entities": [{"text": "Martin Sorvik", "type": "PERSON", "reason": "named by role"}]}'})
     return model_layer.detect_with_model(rows(spark, [(1, NOTE)]), client)
 
 
@@ -335,7 +335,7 @@ def ner_layer_corpus(spark, sf_dir):
 
 @query()
 def full_pipeline_note(spark, sf_dir):
-    return detect(rows(spark, [(1, NOTE)]), client=Replies({"supervisor": '{"entities": [{"text": "Daniel Okafor", "type": "PERSON"}]}'})).findings
+    return detect(rows(spark, [(1, NOTE)]), client=Replies({"supervisor": '{"entities": [{"text": "Martin Sorvik", "type": "PERSON"}]}'})).findings
 
 
 def _reviewed(spark):
@@ -393,7 +393,7 @@ def _words(spark):
     return raster.placed_words(spark.createDataFrame(WORDS, raster.WORDS))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS doc_id, CAST(0 AS INTEGER) AS page, 'Call 0412 887 905' || chr(10) || 'Bye' || chr(10) || 'Page' AS text")
+@query("SELECT CAST(1 AS BIGINT) AS doc_id, CAST(0 AS INTEGER) AS page, 'Call 0413 552 760' || chr(10) || 'Bye' || chr(10) || 'Page' AS text")
 def ocr_text(spark, sf_dir):
     return raster.page_texts(_words(spark))
 
