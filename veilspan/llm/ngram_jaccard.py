@@ -8,7 +8,7 @@ n-grams in just one of two sets from below: the first by the bits in which 256 p
 has a parity for each residue of its n-grams), so that it can be a join condition, the second by halving the sets.
 
 Pairs are found in two steps, so that a group of many near copies doesn't cost all its pairs. First each set is held
-against one centre for each prefix n-gram. Then only pairs that share a prefix n-gram and still lie in different
+against one centre for each prefix n-gram, the set with the fewest rare n-grams before it. Then only pairs that share a prefix n-gram and still lie in different
 components are held against each other, all of them. Pairs within a component can't change it, so no link is lost.
 """
 
@@ -196,7 +196,8 @@ def ngram_components(documents: DataFrame, width: int = 4, percent: int = 85) ->
     shared = grams.groupBy("gram").count().where("count > 1").select("gram")
     met = grams.join(shared, "gram", "left_semi").groupBy("gram", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     met = stored(met, "met")
-    centres = met.groupBy("gram").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").drop("last")
+    # The set in which the shared n-gram comes earliest has the fewest rare n-grams, so most of a group is near it.
+    centres = met.groupBy("gram").agg(F.min(F.struct("pos", "node")).alias("least"), F.count("*").alias("sets")).where("sets > 1").select("gram", F.col("least.node").alias("centre"))
     marks = sets.where("node is not null").select("node", *PARITIES).dropDuplicates(["node"])
     met = stored(met.join(centres, "gram").join(marks, "node"), "shared")
     a, b = met.where("node <> centre").alias("a"), met.where("node = centre").alias("b")
