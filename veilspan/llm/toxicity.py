@@ -216,7 +216,7 @@ class Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexicon_terms: int = LEXICON_TERMS) -> Model:
-    """A model from at most ``sample_rows`` labelled rows, chosen by a hash of their text; held-out rows are never used.
+    """A model from at most ``sample_rows`` labelled rows, chosen by a hash of their ids; held-out rows are never used.
 
     Labels come from rows whose fold isn't 0. Contradicting labels of one id count by their mean. With no labels, or
     with labels of one class only, every score is the share of toxic rows (0 without labels).
