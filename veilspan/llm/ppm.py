@@ -7,10 +7,12 @@ excluded, down to a uniform choice among the bytes no context has seen. Escapes
 number of distinct following bytes, taken off their counts. The code length of a text is the sum over its bytes and one end mark; contexts start
 afresh in every text.
 
-The trie is pretrained, so a byte's code length depends only on itself and the ``ORDER`` bytes before it. Counts are
-taken over all training texts; from each order those grams go into the trie that reach one common count, the least
-at which no more than ``TRIE_GRAMS`` grams are left. What is left out counts as escapes. The trie has that bound
-whatever the corpus, so it may be broadcast.
+The trie is pretrained, so a byte's code length depends only on itself and the ``ORDER`` bytes before it. All grams of
+all training texts are in the trie, which is built in shards: a shard has all windows whose ``LOW`` bytes before the last
+one are its own, and with them all longer contexts of these; the shorter contexts are few and every shard has them.
+Each distinct window of the table is scored once, in its shard. Texts take the code lengths of the most frequent
+windows, those that reach the least count at which no more than ``FREQUENT_WINDOWS`` are left, from a broadcast, and
+all others by a join.
 
 Beside it stands a smoothed unigram score of words. The most frequent words, those that reach the least count at
 which no more than ``FREQUENT_WORDS`` words are left, are scored from a broadcast, all others by a join.
@@ -21,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,8 +33,10 @@ from .common import crc_fold, slices, stored
 from .shingles import word_hashes
 
 ORDER = 5
-TRIE_GRAMS = 1_500_000
+FREQUENT_WINDOWS = 2_000_000
 FREQUENT_WORDS = 300_000
+#: Context bytes that windows of one shard share, and the windows that a shard has on average.
+LOW, SHARD_WINDOWS = 3, 400_000
 FOLDS = 10
 #: A byte that UTF-8 never holds: it fills the context before a text and marks its end.
 MARK = b"\xff"
@@ -129,55 +134,41 @@ class Tally:
         return got
 
 
-def _counts(training: DataFrame) -> DataFrame:
-    """How often each byte gram and each word stands in all training texts: kind, key, n."""
+def _counts(rows: DataFrame) -> DataFrame:
+    """How often each byte gram and each word stands in all training texts, and each gram in all texts: kind, key, n, m."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = {GRAM: Tally(), WORD: Tally()}
+        tallies = {(GRAM, False): Tally(), (GRAM, True): Tally(), (WORD, False): Tally()}
 
-        def handed(kind: int) -> pa.RecordBatch:
-            keys, n = tallies[kind].taken()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+        def handed(kind: int, held_out: bool) -> pa.RecordBatch:
+            keys, m = tallies[kind, held_out].taken()
+            n = np.zeros(len(keys), dtype=np.int64) if held_out else m
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))], names=["kind", "key", "n", "m"])
 
         for batch in batches:
-            for _, texts in slices(batch):
-                raw = [t.encode() for t in texts]
-                for codes, _ in windows(raw):
-                    tallies[GRAM].add(codes)
-                tallies[WORD].add(words_of(raw)[0])
+            for part, texts in slices(batch):
+                held = part.column(1).to_pylist()
+                for held_out in (False, True):
+                    raw = [t.encode() for t, h in zip(texts, held, strict=True) if h == held_out]
+                    if not raw:
+                        continue
+                    for codes, _ in windows(raw):
+                        tallies[GRAM, held_out].add(codes)
+                    if not held_out:
+                        tallies[WORD, False].add(words_of(raw)[0])
                 for kind, tally in tallies.items():
                     if tally.size > FLUSH_KEYS:
-                        yield handed(kind)
+                        yield handed(*kind)
         for kind in tallies:
-            yield handed(kind)
-
-    return training.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+            yield handed(*kind)
 
+    return rows.select("text", "held_out").mapInArrow(run, "kind int, key long, n long, m long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
-class Trie:
-    """The pretrained trie: for each order the sorted grams and contexts with what coding needs."""
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[np.ndarray, np.ndarray]]):
-        """grams[k]: codes of k + 1 bytes, ascending, and counts; totals[k]: contexts of k bytes and their full counts."""
-        self.grams = grams
-        self.contexts = []
-        for k, (codes, counts) in enumerate(grams):
-            context, first, distinct = np.unique(codes >> np.uint64(8), return_index=True, return_counts=True)
-            kept = np.add.reduceat(counts, first) if len(codes) else np.empty(0, dtype=np.int64)
-            full = _at(totals[k], context)
-            excluded = np.zeros(len(context), dtype=np.int64)
-            if k and len(codes):
-                below = _at(grams[k - 1], codes & np.uint64((1 << (8 * k)) - 1))
-                excluded = np.add.reduceat(below, first)
-            self.contexts.append((context, kept, distinct, np.maximum(full - kept, 0), excluded))
-        self._direct()
+class Lengths:
+    """A hash table of the code lengths (log10 of the probability) of distinct windows."""
 
-    def _direct(self) -> None:
-        """A hash table of the code lengths (log10 of the probability) of the longest grams."""
-        codes, counts = self.grams[-1]
-        context, kept, _, missed, _ = self.contexts[-1]
-        at = np.searchsorted(context, codes >> np.uint64(8))
-        logs = np.log10((counts - 0.5) / (kept + missed)[at]) if len(codes) else np.empty(0)
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
         bits = max(4, int(2 * len(codes)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, 2**64 - 1, dtype=np.uint64)
@@ -196,23 +187,52 @@ class Trie:
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each window's last byte after the bytes before it."""
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(code lengths, 0 for windows that aren't here; whether each is here)."""
         slot = self._slot(codes)
         out = self.logs[slot].astype(np.float64)
         open_ = np.flatnonzero(self.keys[slot] != codes)
         slot = slot[open_]
         found = np.ones(len(codes), dtype=bool)
-        found[open_] = False
+        found[open_], out[open_] = False, 0.0
+        on = self.keys[slot] != np.uint64(2**64 - 1)
+        open_, slot = open_[on], slot[on]
         for _ in range(1, self.probes):
+            if not len(open_):
+                break
             slot = (slot + 1) & self.mask
             hit = self.keys[slot] == codes[open_]
             out[open_[hit]] = self.logs[slot[hit]]
             found[open_[hit]] = True
             on = ~hit & (self.keys[slot] != np.uint64(2**64 - 1))
             open_, slot = open_[on], slot[on]
-            if not len(open_):
-                break
+        return out, found
+
+
+class Trie:
+    """The pretrained trie: for each order the sorted grams and contexts with what coding needs."""
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[np.ndarray, np.ndarray]]):
+        """grams[k]: codes of k + 1 bytes, ascending, and counts; totals[k]: contexts of k bytes and their full counts."""
+        self.grams = grams
+        self.contexts = []
+        for k, (codes, counts) in enumerate(grams):
+            context, first, distinct = np.unique(codes >> np.uint64(8), return_index=True, return_counts=True)
+            kept = np.add.reduceat(counts, first) if len(codes) else np.empty(0, dtype=np.int64)
+            full = _at(totals[k], context)
+            excluded = np.zeros(len(context), dtype=np.int64)
+            if k and len(codes):
+                below = _at(grams[k - 1], codes & np.uint64((1 << (8 * k)) - 1))
+                excluded = np.add.reduceat(below, first)
+            self.contexts.append((context, kept, distinct, np.maximum(full - kept, 0), excluded))
+        codes, counts = grams[-1]
+        context, kept, _, missed, _ = self.contexts[-1]
+        at = np.searchsorted(context, codes >> np.uint64(8))
+        self.longest = Lengths(codes, np.log10((counts - 0.5) / (kept + missed)[at]) if len(codes) else np.empty(0))
+
+    def log10(self, codes: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each window's last byte after the bytes before it."""
+        out, found = self.longest.find(codes)
         rest = np.flatnonzero(~found)
         if len(rest):
             distinct, at = np.unique(codes[rest], return_inverse=True)
@@ -262,18 +282,38 @@ def _at(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return np.where(own[at] == keys, values[at], 0)
 
 
-def _trie(counts: DataFrame) -> Trie:
-    """The trie from the counts of the longest grams of the whole training corpus."""
-    longest = counts.where(F.col("kind") == GRAM).select(F.col("key").alias("code"), "n")
-    orders = [longest]
-    for k in range(ORDER - 1, -1, -1):
-        orders.insert(0, orders[0].groupBy(F.col("code").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("code")).agg(F.sum("n").alias("n")))
-    every = stored(_union([o.withColumn("k", F.lit(k)) for k, o in enumerate(orders)]), "grams")
-    least = _least_count(every, TRIE_GRAMS)
-    kept = every.where(F.col("n") >= least)
-    totals = every.groupBy("k", F.shiftrightunsigned("code", 8).alias("context")).agg(F.sum("n").alias("total"), F.max("n").alias("most")).where(F.col("most") >= least)
-    got, whole = kept.select("k", "code", "n").toArrow(), totals.select("k", "context", "total").toArrow()
-    return Trie(_by_order(got), _by_order(whole))
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, ascending, and the sums of their counts."""
+    keys, at = np.unique(codes, return_inverse=True)
+    return keys, np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
+
+
+def _lower(grams: tuple[np.ndarray, np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of an order from those of a higher one."""
+    return _summed(grams[0] & np.uint64((1 << (8 * (order + 1))) - 1), grams[1])
+
+
+def _lengths(grams: DataFrame) -> DataFrame:
+    """The code length of every distinct window (key, n in training texts, m in all texts): code, m, log."""
+    spark = grams.sparkSession
+    shards = max(1, -(-grams.count() // SHARD_WINDOWS))
+    short = grams.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * LOW)) - 1)).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    low = [_summed(short.column(0).to_numpy().view(np.uint64), short.column(1).to_numpy())]
+    for k in range(LOW - 2, -1, -1):
+        low.insert(0, _lower(low[0], k))
+    shared = spark.sparkContext.broadcast(low)
+
+    def run(windows: pd.DataFrame) -> pd.DataFrame:
+        codes, n = windows["key"].to_numpy().view(np.uint64), windows["n"].to_numpy()
+        own = [_summed(codes[n > 0], n[n > 0])]
+        for k in range(ORDER - 1, LOW - 1, -1):
+            own.insert(0, _lower(own[0], k))
+        every = [*shared.value, *own]
+        trie = Trie(every, [_summed(c >> np.uint64(8), x) for c, x in every])
+        return pd.DataFrame({"code": windows["key"], "m": windows["m"], "log": trie.log10(codes).astype(np.float32)})
+
+    shard = F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * LOW)) - 1))), F.lit(shards)).cast("int")
+    return grams.select("key", "n", "m", shard.alias("shard")).groupBy("shard").applyInPandas(run, "code long, m long, log float")
 
 
 def _least_count(counted: DataFrame, bound: int) -> int:
@@ -292,21 +332,14 @@ def _least_count(counted: DataFrame, bound: int) -> int:
     return 1
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def _by_order(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    k, keys, values = (rows.column(c).to_numpy() for c in range(3))
-    out = []
-    for order in range(ORDER + 1):
-        own = np.flatnonzero(k == order)
-        own = own[np.argsort(keys[own], kind="stable")]
-        out.append((keys[own].astype(np.int64).view(np.uint64), values[own].astype(np.int64)))
-    return out
+def _listed(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """For each of ``n`` owners the list of its distinct keys and the list of how often each stands."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])[: len(keys)])
+    times = np.diff(np.append(new, len(keys)))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=n))]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(keys[new].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))
 
 
 def score(documents: DataFrame) -> DataFrame:
@@ -319,8 +352,11 @@ def score(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (crc_fold(F.col("doc_id").cast("long")) % FOLDS == 0).alias("held_out"))
-    counts = stored(_counts(rows.where(~F.col("held_out"))), "counts")
-    trie = spark.sparkContext.broadcast(_trie(counts))
+    counts = stored(_counts(rows), "counts")
+    lengths = stored(_lengths(counts.where(F.col("kind") == GRAM).select("key", "n", "m")), "lengths")
+    least = _least_count(lengths.select(F.col("m").alias("n")), FREQUENT_WINDOWS)
+    often = lengths.where(F.col("m") >= least).select("code", "log").toArrow()
+    direct = spark.sparkContext.broadcast(Lengths(often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()))
     words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"))
     whole = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = whole["n"] or 0, whole["v"]
@@ -338,22 +374,24 @@ def score(documents: DataFrame) -> DataFrame:
                 seen = _at(known, hashes.view(np.int64))
                 base = np.bincount(owner, weights=np.where(seen > 0, np.log10((seen + 0.1) / floor), 0.0), minlength=n)
                 rare = np.flatnonzero(seen == 0)
-                rare = rare[np.lexsort((hashes[rare], owner[rare]))]
-                new = np.flatnonzero(np.concatenate([[True], (hashes[rare][1:] != hashes[rare][:-1]) | (owner[rare][1:] != owner[rare][:-1])])[: len(rare)])
-                times = np.diff(np.append(new, len(rare)))
-                rare = rare[new]
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[rare], minlength=n))]).astype(np.int32)
+                code_length, left = np.zeros(n), [(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))]
+                for codes, of in windows(raw):
+                    logs, found = direct.value.find(codes)
+                    code_length += np.bincount(of, weights=logs, minlength=n)
+                    left.append((codes[~found], of[~found]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array((np.int64(task) << np.int64(33)) + at + np.arange(n)), part.column(0), part.column(2),
-                    pa.array(np.bincount(owner, minlength=n)), pa.array(np.bincount(owner, weights=seen > 0, minlength=n).astype(np.int64)), pa.array(base), pa.array(trie.value.score(raw)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[rare].view(np.int64))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int32))),
+                    pa.array(np.bincount(owner, minlength=n)), pa.array(np.bincount(owner, weights=seen > 0, minlength=n).astype(np.int64)), pa.array(base), pa.array(code_length),
+                    *_listed(hashes[rare], owner[rare], n), *_listed(*map(np.concatenate, zip(*left, strict=True)), n),
                 ], names=names)
                 at += n
 
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"]
-    scored = stored(rows.select("doc_id", "text", "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"), "scored")
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times", "windows", "window_times"]
+    scored = stored(rows.select("doc_id", "text", "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>, windows array<long>, window_times array<int>"), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     rest = rare.join(words, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(floor))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = scored.drop("rare", "times").join(rest, "row", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    others = scored.select("row", F.explode(F.arrays_zip("windows", "window_times")).alias("x")).select("row", F.col("x.windows").alias("code"), F.col("x.window_times").alias("times"))
+    coded = others.join(lengths.where(F.col("m") < least).select("code", "log"), "code").groupBy("row").agg(F.sum(F.col("times") * F.col("log").cast("double")).alias("code_length"))
+    out = scored.drop("rare", "times", "windows", "window_times").join(rest, "row", "left").join(coded, "row", "left")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("code_length", F.lit(0.0))).alias("score"))
