@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
-    return ngram_jaccard.without_near_copies(docs)
+    """One document of each group of near copies, of 80 % similarity on five words or more: that with the smallest id."""
+    return ngram_jaccard.without_near_copies(docs, width=5, percent=80)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
