@@ -4,6 +4,7 @@ import numpy as np
 from test_models import fold, plain_ppm
 
 from veilspan.llm import ppm
+from veilspan.llm.ann_multiprobe import nearest
 
 
 def test_all_grams_of_the_training_texts_count(spark, monkeypatch):
@@ -16,3 +17,21 @@ def test_all_grams_of_the_training_texts_count(spark, monkeypatch):
     training = [t.encode() for k, t in enumerate(texts) if fold(k) % 10]
     assert 0 < len(training) < len(texts)
     assert np.allclose([got[k] for k in range(len(texts))], [plain_ppm(training, t.encode()) for t in texts], atol=1e-3)
+
+
+def test_scattered_vectors_beside_tight_groups_find_their_neighbours(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    x = np.concatenate([np.repeat(centres, 30, axis=0) + rng.normal(size=(1200, 24)) * 0.001, rng.normal(size=(400, 24))])
+    x = (x / np.linalg.norm(x, axis=1)[:, None])[rng.permutation(len(x))]
+    got = {}
+    for r in nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = range(0, len(x), 20)
+    found = []
+    for q in asked:
+        product = x @ x[q]
+        product[q] = -np.inf
+        found.append(len(got.get(q, set()) & set(np.argsort(-product)[:20].tolist())) / 20)
+        assert len(got.get(q, ())) == 20
+    assert np.mean(found) > 0.93 and min(found) > 0.5

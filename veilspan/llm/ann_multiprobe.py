@@ -3,11 +3,15 @@
 Vectors are first made points whose Euclidean distance falls as the inner product rises: divided by the largest
 norm and given one more component that brings them to length 1, while queries are given a zero there. Each table
 hashes a point by floor((a . x + b) / w) for a few Gaussian directions a. For a query, the buckets of a table are
-visited in descending order of their estimated success: the chance that a neighbour at the expected distance falls
+visited in descending order of their estimated success: the chance that a neighbour at a given distance falls
 into them, each direction's share of it a normal probability. A table's visits end when the chance that all tables
 together have met the neighbour reaches the target. Candidates of all tables are merged and ranked by the exact
 inner product.
 
+A query's first visits are for the expected distance, one number for all. Its own ``k``-th best candidate then tells
+how far its neighbours may be: where that is farther, it visits again for its own distance. Where there are fewer than
+``k`` candidates, or the buckets within reach don't give the target, it is held against every vector of the chunk.
+
 Every chunk of vectors has its own tables, and every query visits every chunk; chunks and queries are dealt out in
 blocks of bounded size, so no row set is gathered in one task.
 """
@@ -54,11 +58,11 @@ class Hashes:
             out = out * 4096 + (cells[..., k].astype(np.int64) + 2048) % 4096
         return out
 
-    def probes(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, bucket key, order) of all visits, each query's in order of estimated success."""
+    def probes(self, places: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, bucket key) of all visits for each query's distance, in order of estimated success; whether they reach the target."""
         cells = np.floor(places)
         inside = places - cells
-        spread = self.distance / self.bucket
+        spread = (distance / self.bucket)[:, None, None]
         edges = np.arange(-REACH, REACH + 2)[None, None, :] - inside[:, :, None]
         below = _normal(edges / spread)
         chance = below[:, :, 1:] - below[:, :, :-1]
@@ -70,7 +74,7 @@ class Hashes:
         missed = (1 - self.target) ** (1 / TABLES)
         visited = np.cumsum(ranked, axis=1) - ranked < 1 - missed
         query, place = np.nonzero(visited)
-        return query, self.keys(cells[query] + self.steps[order[query, place]]), place
+        return query, self.keys(cells[query] + self.steps[order[query, place]]), ranked.sum(axis=1) >= 1 - missed
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -97,21 +101,44 @@ def search(hashes: Hashes, vectors: np.ndarray, keys: np.ndarray, ids: np.ndarra
     """(query row, vector row, score) of each query's ``k`` best among its candidates in this chunk; the number of candidates."""
     points, asked = as_points(vectors, largest), as_queries(queries)
     met = np.zeros((len(queries), len(vectors)), dtype=bool)
+    tables = []
     for t in range(TABLES):
         own = hashes.keys(np.floor(hashes.places(points, t)))
         order = np.argsort(own, kind="stable")
-        buckets, first, size = np.unique(own[order], return_index=True, return_counts=True)
-        query, visit, _ = hashes.probes(hashes.places(asked, t))
-        at = np.minimum(np.searchsorted(buckets, visit), len(buckets) - 1)
-        hit = buckets[at] == visit
-        query, at = query[hit], at[hit]
-        n = size[at]
-        spot = np.repeat(first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        met[np.repeat(query, n), order[spot]] = True
-    met &= keys[None, :] != query_keys[:, None]
+        tables.append((order, *np.unique(own[order], return_index=True, return_counts=True), hashes.places(asked, t)))
+
+    def visit(which: np.ndarray, distance: np.ndarray) -> None:
+        for order, buckets, first, size, places in tables:
+            query, bucket, whole = hashes.probes(places[which], distance)
+            at = np.minimum(np.searchsorted(buckets, bucket), len(buckets) - 1)
+            hit = buckets[at] == bucket
+            query, at = query[hit], at[hit]
+            n = size[at]
+            spot = np.repeat(first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            met[which[np.repeat(query, n)], order[spot]] = True
+            met[which[~whole]] = True
+
+    other = keys[None, :] != query_keys[:, None]
+    visit(np.arange(len(queries)), np.full(len(queries), hashes.distance))
+    met &= other
+    far = np.full(len(queries), np.inf)
+    products = queries @ vectors.T
+    lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries)) * largest
+    for q in np.flatnonzero(met.sum(axis=1) >= k):
+        product = products[q, met[q]] / lengths[q]
+        far[q] = np.sqrt(max(1e-6, 2 - 2 * np.partition(product, len(product) - k)[len(product) - k]))
+    met[np.isinf(far)] = True
+    again = np.flatnonzero(np.isfinite(far) & (far > hashes.distance))
+    if len(again):
+        visit(again, far[again])
+    met &= other
     rows, columns, scores = [], [], []
     for q in range(len(queries)):
         candidates = np.flatnonzero(met[q])
+        # The matrix product rounds otherwise: it leaves those that may be among the best, which are scored anew.
+        rough = products[q, candidates]
+        if len(rough) > k:
+            candidates = candidates[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9 * lengths[q]]
         score = np.einsum("ij,j->i", vectors[candidates], queries[q])
         if len(score) > k:
             least = np.partition(score, len(score) - k)[len(score) - k]
@@ -144,8 +171,8 @@ def nearest(embeddings: DataFrame, query_filter: str = "vec_id % 20 = 0", k: int
     the same id are candidates). Returns ``query_id, rank int (from 1), vec_id, score double``, nearest first, ties
     to the smaller vec_id, repeated rows as often as they stand; fewer rows where there are fewer candidates.
     Vectors that are null, zero or hold null or non-finite components, and rows with a null vec_id, take no part.
-    Further columns are ignored; an empty table gives no rows. All rows are indexed; only the expected
-    distance of a neighbour is fitted on a sample of at most ``SAMPLE_ROWS`` rows.
+    Further columns are ignored; an empty table gives no rows. All rows are indexed; only the distance that
+    the first visits are for is fitted on a sample of at most ``SAMPLE_ROWS`` rows.
     """
     spark = embeddings.sparkSession
     rows = embeddings.where("vec_id is not null")
