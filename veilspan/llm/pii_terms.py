@@ -4,16 +4,18 @@ The values that the base patterns find (e-mail addresses, IP addresses, cards, p
 entities. Over the corpus, p(e) is the share of documents that hold entity e, p(t) that of documents that hold term
 t, and p(t, e) that of documents in which t stands near e. The pointwise mutual information
 PMI(t; e) = log p(t, e) / (p(t) p(e)) is at most the entity's own information IC(e) = -log p(e), reached when every
-document with t holds e. A term whose PMI reaches ``threshold`` times IC(e) discloses e: it is generalised where it
-stands near e, if its form has a class (a number, a name), and removed otherwise.
+document with t holds e. A term whose PMI reaches ``threshold`` times IC(e) discloses e: wherever it stands in a
+document that holds e it is generalised, if its form has a class (a number, a name), and removed otherwise.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -180,13 +182,41 @@ def disclosing(found: DataFrame, threshold: float, support: int) -> DataFrame:
     return scored.withColumn("disclosure", pmi / F.log(F.lit(float(total)) / F.least("n_entity", F.lit(total - 1)))).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
+def _everywhere(documents: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All places of disclosing terms in the documents that hold their entities: doc_key, start, end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch):
+                keys, starts, ends = [], [], []
+                for key, terms, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
+                    wanted = set(terms)
+                    places = [m.span() for m in TERM.finditer(text) if m[0].lower()[:LONGEST_TERM] in wanted]
+                    taken = sorted((a, b) for _, a, b in base_spans(text)) if places else []
+                    reach = list(accumulate((b for _, b in taken), max))
+                    for a, b in places:
+                        at = bisect_left(taken, (b,))
+                        if not at or reach[at - 1] <= a:
+                            keys.append(key)
+                            starts.append(a)
+                            ends.append(b)
+                yield pa.RecordBatch.from_pydict({"doc_key": keys, "start": starts, "end": ends}, schema=layout)
+
+    layout = pa.schema([("doc_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    held = rows.where("size(entities) > 0").select("doc_key", F.explode("entities").alias("entity"))
+    terms = held.join(pairs.select("entity", "term"), "entity").groupBy("doc_key").agg(F.collect_set("term").alias("terms"))
+    texts = documents.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("doc_key"), "text")
+    return texts.join(stored(terms, "holders"), "doc_key").select("doc_key", "terms", "text").mapInArrow(run, "doc_key long, start int, end int")
+
+
 def find(documents: DataFrame, window: int = 5, threshold: float = 0.8, support: int = 2) -> DataFrame:
     """All spans of every row: doc_key, doc_id, the four counts, base (joined base spans), spans (base, then terms)."""
     found = stored(scan(documents, window), "personal")
     pairs = stored(disclosing(found, threshold, support), "disclosing")
     rows = found.where("term is null").drop("term", "n")
     flat = rows.where("size(near) > 0").select("doc_key", F.explode("near").alias("x")).select("doc_key", "x.entity", "x.term", "x.start", "x.end")
-    flagged = flat.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs, ["entity", "term"], "left_semi").select("doc_key", "start", "end").distinct()
+    flagged = flat.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs, ["entity", "term"], "left_semi").select("doc_key", "start", "end")
+    flagged = flagged.union(_everywhere(documents, rows, pairs)).distinct()
     listed = flagged.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms"))
     listed = listed.select("doc_key", F.array_join(F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"].cast("string"), F.lit(":"), t["end"].cast("string"))), ",").alias("terms"))
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.col("terms"))
