@@ -79,10 +79,45 @@ def test_one_row_of_each_group_stays(odd, none):
     kept = without_near_copies(odd)
     assert kept.columns == odd.columns
     ids = sorted(r["doc_id"] or -1 for r in kept.collect())
-    assert ids == [-1, -1, 1, 4, 5, 6, 7, 9, 10, 11, 12, 13]
+    assert ids == [-1, -1, 1, 4, 5, 6, 7, 9, 10, 11, 12, 13, 13]
     assert without_near_copies(none).count() == 0
 
 
+def brute_kept(rows, width, percent):
+    """Row numbers that stay: of each group of linked rows one, of the least id, then of the least number."""
+    sets = brute_sets([t for _, t in rows], width)
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same and 100 * same >= percent * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return label, [g for g in {label[k] for k in range(len(rows)) if sets[k]}], [k for k in range(len(rows)) if not sets[k]]
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_each_component_keeps_one_row_and_unlinked_rows_stay(spark, seed):
+    rng = np.random.default_rng(seed)
+    texts = [t or None for t in corpus(seed, 160)] + [None, "", " "]
+    rows = [(None if rng.random() < 0.1 else int(rng.integers(0, 60)), t) for t in texts]
+    rows += [rows[k] for k in rng.integers(0, len(rows), 30)]
+    label, groups, wordless = brute_kept(rows, 5, 80)
+    got = without_near_copies(spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, root int").repartition(3), width=5, percent=80).collect()
+    kept = sorted(r["root"] for r in got)
+    assert all(rows[r["root"]] == (r["doc_id"], r["text"]) for r in got)
+    assert sorted(label[k] for k in kept if k not in wordless) == sorted(groups) and [k for k in kept if k in wordless] == wordless
+    least = {g: min((i is None, i or 0) for k, (i, _) in enumerate(rows) if label[k] == g) for g in groups}
+    assert all((rows[k][0] is None, rows[k][0] or 0) == least[label[k]] for k in kept if k not in wordless)
+
+
+def test_rows_that_share_an_id_but_no_text_stay(spark):
+    schema = "doc_id long, text string"
+    assert without_near_copies(spark.createDataFrame([(13, "one text of some words here"), (13, "another one with words of its own")], schema)).count() == 2
+    got = without_near_copies(spark.createDataFrame([(1, "a a b c d e"), (2, "a a b c d e"), (2, "b is not like it at all")], schema)).collect()
+    assert sorted(map(tuple, got)) == [(1, "a a b c d e"), (2, "b is not like it at all")]
+
+
 def test_shingle_sets_don_t_depend_on_the_batch():
     texts = ["a b c d e", "", "a", "A b C d e", "x " * 700_000, "é ü\x85 y z", "a\x0bb\x0cc d  e"]
     alone = [shingle_sets([t], 4)[0] for t in texts]

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .vectors import chunked, joined_parts
 
 CHUNK_ROWS, QUERY_ROWS = 16384, 1024

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,10 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share, ``spark.checkpoint.dir``.
+
+    Where the session names none, a local session takes a temporary folder; on a cluster that is an error, as the
+    executors would write to folders the others can't see.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _own_dir()
 
 
@@ -39,12 +47,45 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def tidy(run: Callable) -> Callable:
+    """A task function that gives its freed memory back at the end.
+
+    Python workers are kept for later tasks, so what their allocators hold would stand beside all later stages.
+    """
+
+    @wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: A group of more rows than this, and than one in HOT_SHARE of all rows, is looked up by a broadcast.
+HOT_ROWS, HOT_SHARE = 1_000, 10_000
+
+
+def join_labels(rows: DataFrame, labels: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``labels`` (one row a ``key``, without ``size``), null where there is no label.
+
+    ``size`` says how many of the ``total`` rows a label is for. Labels of large groups are broadcast, of which there
+    can be at most HOT_SHARE, so no task gets a whole large group; all others are joined by a shuffle.
+    """
+    bound = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(labels.where(F.col(size) > bound).drop(size))
+    cold = labels.where(F.col(size) <= bound).drop(size)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
 
 
 def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
@@ -98,7 +139,7 @@ def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, object]], schem
                 columns = [part.column(part.schema.get_field_index(n)) if n in keep else pa.array(made[n]) for n in names]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.select(*keep, text).mapInArrow(run, out_schema)
+    return df.select(*keep, text).mapInArrow(tidy(run), out_schema)
 
 
 def _parsed(schema: str):

@@ -20,10 +20,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from .common import slices, stored
+from .common import join_labels, slices, stored, tidy
 from .components import connected_components
 from .shingles import set_id, shingle_sets
 
@@ -33,6 +34,8 @@ SKETCH_BITS, GRAMS_A_COUNTER = (18, 21), 32
 PARITIES = ("p0", "p1", "p2", "p3")
 #: Candidate documents are looked up by a broadcast of up to so many ids, and by a shuffle join beyond.
 BROADCAST_IDS = 1_000_000
+#: Sets that share a prefix n-gram are dealt out in lots of about so many before they are held against each other.
+LOT_SETS = 2_000
 
 
 def least_overlap(a, b, percent: int):
@@ -75,7 +78,7 @@ def sketch_bits(total_chars: int) -> int:
 
 
 def _sets(documents: DataFrame, width: int, bits: int) -> DataFrame:
-    """A row for each document: doc_id, n, node, parities; and a row for each task with its sketch of n-gram frequencies."""
+    """A row for each document: doc_id, mark (a hash of its text), n, node, parities; and a row for each task with its sketch of n-gram frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, held, size = np.zeros(1 << bits, dtype=np.uint32), [], 0
@@ -95,13 +98,18 @@ def _sets(documents: DataFrame, width: int, bits: int) -> DataFrame:
                     if size >= 1 << 21:
                         count()
                 marks = np.array([parities(x) for x in sets]).reshape(len(sets), 4)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": [len(x) for x in sets], "node": [set_id(x) if len(x) else None for x in sets], **{p: marks[:, k] for k, p in enumerate(PARITIES)}, "sketch": [None] * len(sets)}, schema=layout)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "mark": part.column(1), "n": [len(x) for x in sets], "node": [set_id(x) if len(x) else None for x in sets], **{p: marks[:, k] for k, p in enumerate(PARITIES)}, "sketch": [None] * len(sets)}, schema=layout)
         count()
         yield pa.RecordBatch.from_pydict({f.name: [None] for f in layout} | {"sketch": [np.minimum(sketch, 65535).astype("<u2").tobytes()]}, schema=layout)
 
-    numbers = ("doc_id", "n", "node", *PARITIES)
+    numbers = ("doc_id", "mark", "n", "node", *PARITIES)
     layout = pa.schema([*((c, pa.int64()) for c in numbers), ("sketch", pa.binary())])
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{', '.join(f'{c} long' for c in numbers)}, sketch binary")
+    return documents.select(*_row_key(), "text").mapInArrow(tidy(run), f"{', '.join(f'{c} long' for c in numbers)}, sketch binary")
+
+
+def _row_key() -> tuple[Column, Column]:
+    """What tells rows apart; rows with equal ids and texts have the same."""
+    return F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark")
 
 
 def _sketch(sets: DataFrame, bits: int) -> np.ndarray:
@@ -115,7 +123,7 @@ def _sketch(sets: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())], names=["sketch"])
 
     total = np.zeros(1 << bits, dtype=np.uint32)
-    for row in sets.where("sketch is not null").select("sketch").coalesce(4).mapInArrow(run, "sketch binary").toLocalIterator():
+    for row in sets.where("sketch is not null").select("sketch").coalesce(4).mapInArrow(tidy(run), "sketch binary").toLocalIterator():
         total += np.frombuffer(row["sketch"], dtype="<u2")
     return np.minimum(total, 65535).astype(np.uint16)
 
@@ -140,7 +148,7 @@ def _prefixes(documents: DataFrame, width: int, percent: int, sketch: Broadcast,
                 if grams:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))], names=["gram", "node", "n", "pos"])
 
-    return documents.select("text").mapInArrow(run, "gram long, node long, n int, pos int")
+    return documents.select("text").mapInArrow(tidy(run), "gram long, node long, n int, pos int")
 
 
 def _may_link(percent: int):
@@ -166,7 +174,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, width: in
                 found = {set_id(x): x for x in shingle_sets(part, width) if len(x)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x.astype("<u8").tobytes() for x in found.values()], pa.binary())], names=["node", "grams"])
 
-    grams = stored(texts.mapInArrow(hashed, "node long, grams binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "grams", "lz4")
+    grams = stored(texts.mapInArrow(tidy(hashed), "node long, grams binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "grams", "lz4")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,18 +183,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, width: in
             yield batch.select([0, 1]).filter(keep)
 
     both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(decide), "a long, b long")
 
 
-def ngram_components(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """Links documents whose sets of distinct ``width``-word shingles have a Jaccard similarity of ``percent`` % or more.
-
-    Returns a row for each row: ``doc_id, n_shingles long, component_id long`` (smallest doc_id reachable by links,
-    itself included). A-Z are lower-cased; words are separated by ASCII white space. Rows without words or with a
-    null text have no shingles and link with nothing. Equal texts link; repeated rows and rows that share an id stay
-    rows of their own. A null doc_id counts as larger than any other; a component of only such rows has a null id.
-    Further columns are ignored; an empty table gives no rows.
-    """
+def _labelled(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """A row for each row: doc_id, mark, n, node, and root, the node that names its component; node is null without words."""
     bits = sketch_bits(documents.agg(F.sum(F.length("text"))).first()[0] or 0)
     sets = stored(_sets(documents, width, bits), "sets")
     sketch = documents.sparkSession.sparkContext.broadcast(_sketch(sets, bits))
@@ -205,18 +206,41 @@ def ngram_components(documents: DataFrame, width: int = 4, percent: int = 85) ->
     links = stored(_verified(first, sets, documents, width, percent), "links")
     roots = stored(connected_components(links), "roots")
     placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-    placed = placed.join(apart, "gram", "left_semi")
-    a, b = placed.alias("a"), placed.alias("b")
-    second = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _may_link(percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    apart = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / LOT_SETS).cast("int").alias("lots")).where("low <> high").select("gram", "lots")
+    placed = placed.join(apart, "gram")
+    # One n-gram in very many components: one side is dealt into lots and the other meets each of them.
+    a = placed.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).alias("a")
+    b = placed.withColumn("lot", F.pmod(F.xxhash64("node"), F.col("lots")).cast("int")).alias("b")
+    second = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.lot") == F.col("b.lot")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _may_link(percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     second = stored(second.join(first, ["a", "b"], "left_anti"), "pairs")
     if second.take(1):
         more = stored(_verified(second, sets, documents, width, percent), "links")
         if more.take(1):
-            roots = connected_components(links.union(more))
-    rows = sets.where("sketch is null").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    labels = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(labels, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+            roots = stored(connected_components(links.union(more)), "roots")
+    rows = sets.where("sketch is null").select("doc_id", "mark", "n", "node")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("rows")).join(roots, "node")
+    return join_labels(rows, stored(nodes, "nodes"), "node", "rows", rows.count()).withColumn("root", F.coalesce("root", "node"))
+
+
+def _groups(rows: DataFrame, what: Column) -> DataFrame:
+    """``root, size, first`` of the components of two rows or more; ``first`` is the least ``what``."""
+    return rows.where("root is not null").groupBy("root").agg(F.count("*").alias("size"), F.min(what).alias("first")).where("size > 1")
+
+
+def ngram_components(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """Links documents whose sets of distinct ``width``-word shingles have a Jaccard similarity of ``percent`` % or more.
+
+    Returns a row for each row: ``doc_id, n_shingles long, component_id long`` (smallest doc_id reachable by links,
+    itself included). A-Z are lower-cased; words are separated by ASCII white space. Rows without words or with a
+    null text have no shingles and link with nothing. Equal texts link; repeated rows and rows that share an id stay
+    rows of their own. A null doc_id counts as larger than any other; a component of only such rows has a null id.
+    Further columns are ignored; an empty table gives no rows.
+    """
+    rows = stored(_labelled(documents, width, percent), "labelled")
+    groups = stored(_groups(rows, F.col("doc_id")), "groups")
+    # A component without any id has a null one; rows that aren't in a group of two or more keep their own.
+    out = join_labels(rows, groups.withColumn("grouped", F.lit(True)), "root", "size", rows.count())
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("grouped"), F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 #: The same rows by plain pairs, for DuckDB.
@@ -237,20 +261,35 @@ FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r
 
 
 def without_near_copies(documents: DataFrame, **options) -> DataFrame:
-    """One row of ``documents`` for each group of linked rows, with all columns: that of the smallest doc_id.
+    """One row of ``documents`` for each group of linked rows, with all its columns: that of the smallest doc_id.
 
-    Of rows that share the smallest id the one with the smallest text stays. Rows without words link with nothing,
-    and rows of a component without any id are not told apart, so both all stay.
+    Null ids count as larger than any other. Of linked rows with the smallest id that of one text stays, chosen by a
+    hash of the texts; of repeated rows with that id and text one stays, chosen by a hash of its columns. All rows
+    that link with nothing stay, whatever ids they share: rows with a null, an empty or a blank text, and rows of an id
+    whose other rows have other texts. Columns of any name pass through; an empty table gives no rows.
     """
-    key = "veilspan component"
-    groups = ngram_components(documents, **options).where("component_id is not null and n_shingles > 0")
-    gone = stored(groups.where("doc_id is null or doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "copies")
-    kept = documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
-    repeated = stored(documents.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)), "repeated")
-    if not repeated.take(1):
+    width, percent = options.get("width", 4), options.get("percent", 85)
+    rows = stored(_labelled(documents, width, percent), "labelled")
+    total = rows.count()
+    # False sorts before true, so rows with an id come first.
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    groups = stored(_groups(rows, key), "groups")
+    grouped = join_labels(rows.where("root is not null"), groups, "root", "size", total).where("first is not null")
+    grouped = grouped.groupBy("doc_id", "mark").agg(F.count("*").alias("times"), F.first(~F.col("first").eqNullSafe(key)).alias("gone"))
+    grouped = stored(grouped.where("gone or times > 1"), "copies")
+    names = {k: f"veilspan {k}" for k in ("id", "mark")}
+    gone = grouped.where("gone").select(F.col("doc_id").alias(names["id"]), F.col("mark").alias(names["mark"]))
+    many = grouped.where("not gone").select(F.col("doc_id").alias(names["id"]), F.col("mark").alias(names["mark"]))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(names["id"])) & (F.xxhash64("text") == F.col(names["mark"]))
+    kept = documents.join(_small(gone), same, "left_anti")
+    if not many.take(1):
         return kept
-    once = kept.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated, F.col("doc_id") == F.col(key), "left_anti")
-    again = kept.join(repeated, F.col("doc_id") == F.col(key), "left_semi")
-    rank = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    again = again.withColumn(key, F.row_number().over(rank)).where(F.col(key) == 1).drop(key)
-    return once.unionByName(again)
+    hashed = [F.col(f"`{f.name}`") for f in documents.schema if not isinstance(f.dataType, MapType)]
+    again = documents.join(_small(many), same, "left_semi")
+    one = again.groupBy(F.col("doc_id").alias(names["id"]), F.xxhash64("text").alias(names["mark"])).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in documents.columns]), F.xxhash64(*hashed)).alias("row"))
+    return kept.join(_small(many), same, "left_anti").unionByName(one.select("row.*"))
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Row keys, to be broadcast if they are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys

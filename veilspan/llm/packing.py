@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc, slices
+from .common import crc, slices, tidy
 from .tokens import library_encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -62,7 +62,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, end_id: int, capacity: int
                     rows += [(doc_id, at, min(capacity, n - at), crc(raw[4 * at : 4 * (at + capacity)]), n) for at in range(0, n, capacity)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), PIECES)
 
 
 def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, group_documents: int = 1024, seed: int = 17) -> DataFrame:

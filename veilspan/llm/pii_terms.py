@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import slices, stored, tidy
 
 #: The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -162,7 +162,7 @@ def scan(documents: DataFrame, window: int) -> DataFrame:
     numbers = [(n, pa.int64()) for n in ("doc_key", "doc_id", "n_email", "n_ip", "n_card", "n_phone")]
     layout = pa.schema([*numbers, ("base", pa.string()), ("near", pa.list_(struct)), ("entities", pa.list_(pa.string())), ("term", pa.string()), ("n", pa.int64())])
     source = documents.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("doc_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, FOUND)
+    return source.mapInArrow(tidy(run), FOUND)
 
 
 def disclosing(found: DataFrame, threshold: float, support: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _everywhere(documents: DataFrame, rows: DataFrame, pairs: DataFrame) -> Data
     held = rows.where("size(entities) > 0").select("doc_key", F.explode("entities").alias("entity"))
     terms = held.join(pairs.select("entity", "term"), "entity").groupBy("doc_key").agg(F.collect_set("term").alias("terms"))
     texts = documents.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("doc_key"), "text")
-    return texts.join(stored(terms, "holders"), "doc_key").select("doc_key", "terms", "text").mapInArrow(run, "doc_key long, start int, end int")
+    return texts.join(stored(terms, "holders"), "doc_key").select("doc_key", "terms", "text").mapInArrow(tidy(run), "doc_key long, start int, end int")
 
 
 def find(documents: DataFrame, window: int = 5, threshold: float = 0.8, support: int = 2) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices, stored
+from .common import crc_fold, slices, stored, tidy
 from .shingles import word_hashes
 
 ORDER = 5
@@ -162,7 +162,7 @@ def _counts(rows: DataFrame) -> DataFrame:
         for kind in tallies:
             yield handed(*kind)
 
-    return rows.select("text", "held_out").mapInArrow(run, "kind int, key long, n long, m long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return rows.select("text", "held_out").mapInArrow(tidy(run), "kind int, key long, n long, m long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 class Lengths:
@@ -387,7 +387,7 @@ def score(documents: DataFrame) -> DataFrame:
                 at += n
 
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times", "windows", "window_times"]
-    scored = stored(rows.select("doc_id", "text", "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>, windows array<long>, window_times array<int>"), "scored")
+    scored = stored(rows.select("doc_id", "text", "held_out").mapInArrow(tidy(run), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>, windows array<long>, window_times array<int>"), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     rest = rare.join(words, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(floor))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from . import ann_multiprobe, binary_dedup, bpe_matrix, ngram_jaccard, packing, pii_terms, ppm, token_counts, token_files, toxicity
 from .common import table
 
-#: Where the vocabulary files are; another folder may be named in the environment.
-TOKENIZERS = os.environ.get("VEILSPAN_TOKENIZERS", "/opt/tokenizers")
-
 
 def vocabulary(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Where a vocabulary file is; $VEILSPAN_TOKENIZERS may name another folder."""
+    import public_tokenizers
+
+    folder = os.environ.get("VEILSPAN_TOKENIZERS")
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
 
 
 def pattern() -> str:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc, fresh_path, slices
+from .common import crc, fresh_path, slices, tidy
 from .tokens import library_encoder
 
 MAGIC = b"VSI1"
@@ -106,7 +106,7 @@ def _tokenised(documents: DataFrame, tokenizer_path: str, end_id: int, wide: boo
 
     layout = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
     in_order = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return in_order.mapInArrow(run, "shard int, block int, start long, n long, doc_ids array<long>, lengths array<long>, ids binary")
+    return in_order.mapInArrow(tidy(run), "shard int, block int, start long, n long, doc_ids array<long>, lengths array<long>, ids binary")
 
 
 def _frequencies(blocks: DataFrame, size: int, wide: bool) -> np.ndarray:
@@ -121,7 +121,7 @@ def _frequencies(blocks: DataFrame, size: int, wide: bool) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    rows = blocks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = blocks.select("ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(size, dtype=np.int64)
     for row in rows:
         counts[row["id"]] = row["n"]
@@ -161,7 +161,7 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int, pa
                 payload = encode_block(rank_of[np.frombuffer(one["ids"].as_buffer(), dtype=kind)], lengths)
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([one["block"].as_py()], pa.int32()), pa.array([shard_start[shard] + one["start"].as_py()]), pa.array([one["doc_ids"].as_py()], pa.list_(pa.int64())), pa.array([payload], pa.binary())], names=["shard", "block", "start", "doc_ids", "payload"])
 
-    blocks.drop("n").mapInArrow(run, "shard int, block int, start long, doc_ids array<long>, payload binary").write.option("compression", "zstd").parquet(f"{path}/shards")
+    blocks.drop("n").mapInArrow(tidy(run), "shard int, block int, start long, doc_ids array<long>, payload binary").write.option("compression", "zstd").parquet(f"{path}/shards")
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     where = spark._jvm.org.apache.hadoop.fs.Path(raw)
     where.getFileSystem(conf).delete(where, True)
@@ -183,7 +183,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 ids = [raw[4 * a : 4 * b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(first + ends - lengths), pa.array(lengths), pa.array([crc(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return spark.read.parquet(f"{path}/shards").select("start", "doc_ids", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return spark.read.parquet(f"{path}/shards").select("start", "doc_ids", "payload").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def token_file_digest(documents: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:

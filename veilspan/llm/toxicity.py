@@ -4,21 +4,25 @@ Features are densities of lexicon terms, the nearness of lexicon terms to words
 of capitals, punctuation and obfuscation. The lexicon is learnt: terms and term beginnings whose document frequency
 in toxic training texts stands out. Trees, lexicon and calibration are fitted on a bounded sample of labelled rows
 (``sample_rows``); every text is scored whole.
+
+Texts stay on the executors: they count the terms of the sample and compute its features. The driver gets the terms
+that pass the test and some numbers a sampled row, and fits the trees on those.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices
+from .common import crc_fold, slices, stored, tidy
 
 SAMPLE_ROWS = 6_000
 LEXICON_TERMS = 300
@@ -29,7 +33,6 @@ SECOND_PERSON = frozenset("you your yours yourself youre u ur ya tu te ti toi to
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": "", ".": "", "-": "", "_": "", "+": "t"})
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 DISGUISED = re.compile(r"[^\s]*[^\W\d_][0-9@$!|*._+-]+[^\W\d_][^\s]*|[0-9@$][^\W\d_]{2,}[^\s]*")
-SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b")
 #: Words looked at on either side of a lexicon term for one that addresses the reader.
 NEAR = 5
 BEGINNINGS = (5, 7)
@@ -62,17 +65,30 @@ class Lexicon(dict):
         return Lexicon, (self.weights,)
 
 
-def _class_table() -> np.ndarray:
-    """For each Latin-1 code: letter 1, capital 2, punctuation 4, symbol of SYMBOLS 8."""
-    table = np.zeros(256, dtype=np.uint8)
-    for code in range(256):
-        c = chr(code)
-        table[code] = c.isalpha() | 2 * c.isupper() | 4 * (not c.isalnum() and not c.isspace() and c != "_" and code > 32) | 8 * (c in SYMBOLS)
-    return table
+#: Symbols that stand for swearing.
+SYMBOLS = "#$%&*"
+
+
+def class_of(code: int) -> int:
+    """Letter 1, capital 2, punctuation 4, symbol of SYMBOLS 8, for a code point of any script."""
+    c = chr(code)
+    return c.isalpha() | 2 * c.isupper() | 4 * (unicodedata.category(c)[0] in "PS" and c != "_") | 8 * (c in SYMBOLS)
+
+
+CLASS = np.array([class_of(code) for code in range(256)], dtype=np.uint8)
+
+
+def classes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a text, and the class of each."""
+    try:
+        codes = np.frombuffer(text.encode("latin-1"), dtype=np.uint8)
+        return codes, CLASS[codes]
+    except UnicodeEncodeError:
+        codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
+        distinct, at = np.unique(codes, return_inverse=True)
+        return codes, np.array([class_of(c) for c in distinct.tolist()], dtype=np.uint8)[at]
 
 
-SYMBOLS = "#$%&*"
-CLASS = _class_table()
 NAMES = ("words", "hits", "hit_density", "distinct", "strongest", "weight_density", "part_hits", "part_density", "part_strongest", "address_density", "nearest", "near_hits", "capitals", "shouted", "exclamations", "questions", "punctuation", "disguised", "disguised_hits", "repeated", "symbols")
 
 
@@ -92,10 +108,9 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
             gap = min((abs(int(places[j]) - k) for j in (at - 1, at) if 0 <= j < len(places)), default=NEAR + 1)
             near += gap <= NEAR
             nearest = min(nearest, gap)
-    raw = np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8)
-    kind = CLASS[raw]
+    raw, kind = classes(text)
     capital, letter = (kind & 2) > 0, (kind & 1) > 0
-    shouted = len(SHOUTED.findall(text)) if (capital[1:] & capital[:-1]).any() else 0
+    shouted = sum(len(w) > 1 and w.isupper() for w in WORD.findall(text)) if (capital[1:] & capital[:-1]).any() else 0
     repeated = int((letter[2:] & (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2])).sum())
     mixed = (~letter[1:-1] & (raw[1:-1] > 32) & letter[:-2] & letter[2:]).any() or any(c in text for c in "013457@$")
     disguised = DISGUISED.findall(text) if mixed else []
@@ -215,62 +230,98 @@ class Model:
         return np.clip(np.where(steps < 0.5, np.minimum(fine, 0.4999999), fine), 0, 1)
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexicon_terms: int = LEXICON_TERMS) -> Model:
-    """A model from at most ``sample_rows`` labelled rows, chosen by a hash of their ids; held-out rows are never used.
+def sampled(documents: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame | None:
+    """At most ``sample_rows`` labelled rows, stored: text, toxic, part (0 or 1, by the text); None where there are none.
 
-    Labels come from rows whose fold isn't 0. Contradicting labels of one id count by their mean. With no labels, or
-    with labels of one class only, every score is the share of toxic rows (0 without labels).
+    Labels come from rows whose fold isn't 0. Contradicting labels of one id count by their mean. Which rows are in the
+    sample is settled by hashes of ids and texts, so only those numbers come to the driver; of rows with equal id and
+    text one counts.
     """
     truth = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").where(crc_fold("doc_id") % FOLDS != 0)
-    # Which rows are in the sample is settled on ids alone, so texts are read for those only.
-    chosen = truth.where(crc_fold("doc_id") % FOLDS != 0).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample_rows)
-    chosen = chosen.collect()
+    chosen = truth.where(crc_fold("doc_id") % FOLDS != 0).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample_rows).collect()
     if not chosen:
-        return Model(Lexicon(), None, None, 0.0)
+        return None
     spark = documents.sparkSession
     named = F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id long, toxic int"))
-    sample = rows.join(named, "doc_id").select("text", "toxic")
-    got = [(r["text"], r["toxic"]) for r in sample.orderBy(F.xxhash64("text"), "toxic").limit(sample_rows).toLocalIterator()]
-    return fit_rows([t for t, _ in got], np.array([y for _, y in got], dtype=np.float64), lexicon_terms)
-
-
-def learn_lexicon(texts: list[str], y: np.ndarray, size: int) -> Lexicon:
-    """Terms whose document frequency in toxic texts stands out, weighted by their log odds."""
-    toxic: dict[str, int] = {}
-    clean: dict[str, int] = {}
-    for text, label in zip(texts, y, strict=True):
-        into = toxic if label else clean
-        for word in {t for w in set(WORD.findall(text.lower())) for t in terms(w)}:
-            into[word] = into.get(word, 0) + 1
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    scored = []
-    for term, a in toxic.items():
-        b = clean.get(term, 0)
-        p, q = a / n1, b / n0
-        pooled = (a + b) / (n1 + n0)
-        z = (p - q) / np.sqrt(max(1e-12, pooled * (1 - pooled) * (1 / n1 + 1 / n0)))
-        if a >= 3 and z >= 4 and p >= 4 * q:
-            scored.append((-z, term, float(np.log((p + 1e-4) / (q + 1e-4)))))
-    return Lexicon({term: weight for _, term, weight in sorted(scored)[:size]})
-
-
-def fit_rows(texts: list[str], y: np.ndarray, lexicon_terms: int = LEXICON_TERMS) -> Model:
-    """Lexicon, trees and calibration; the calibration uses scores of rows that lexicon and trees haven't seen."""
-    if len(y) < 40 or y.min() == y.max():
-        return Model(Lexicon(), None, None, float(y.mean()) if len(y) else 0.0)
-    part = np.arange(len(y)) % 2
+    found = rows.join(named, "doc_id").select("doc_id", F.xxhash64("text").alias("mark"), "text", "toxic")
+    found = stored(found.groupBy("doc_id", "mark", "toxic").agg(F.first("text").alias("text")), "labelled")
+    marks = found.select("doc_id", "mark").orderBy(F.xxhash64("mark", "doc_id")).limit(sample_rows).collect()
+    kept = F.broadcast(spark.createDataFrame([(r["doc_id"], r["mark"]) for r in marks], "doc_id long, mark long"))
+    return found.join(kept, ["doc_id", "mark"]).select("text", "toxic", F.pmod("mark", F.lit(2)).cast("int").alias("part"))
+
+
+def term_counts(sample: DataFrame) -> DataFrame:
+    """In how many texts each term stands, by part and label: term, part, toxic, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for part, texts in slices(batch):
+                for text, toxic, half in zip(texts, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    counts.update((t, half, toxic) for t in {t for w in set(WORD.findall(text.lower())) for t in terms(w)})
+                if len(counts) > 300_000:
+                    yield handed(counts)
+                    counts.clear()
+        yield handed(counts)
+
+    def handed(counts: Counter) -> pa.RecordBatch:
+        keys = list(counts)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["term", "part", "toxic", "n"])
+
+    return sample.select("text", "toxic", "part").mapInArrow(tidy(run), "term string, part int, toxic int, n long").groupBy("term", "part", "toxic").agg(F.sum("n").alias("n"))
+
+
+def lexicon_of(counts: DataFrame, n1: int, n0: int, size: int) -> Lexicon:
+    """The ``size`` terms whose document frequency in toxic texts stands out most, weighted by their log odds.
+
+    ``counts`` holds term, toxic, n; n1 and n0 are the numbers of toxic and other texts.
+    """
+    n1, n0 = max(1, n1), max(1, n0)
+    both = counts.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
+    p, q, pooled = F.col("a") / F.lit(n1), F.col("b") / F.lit(n0), (F.col("a") + F.col("b")) / F.lit(n1 + n0)
+    z = (p - q) / F.sqrt(F.greatest(F.lit(1e-12), pooled * (1 - pooled) * F.lit(1 / n1 + 1 / n0)))
+    scored = both.where((F.col("a") >= 3) & (z >= 4) & (p >= 4 * q)).select("term", z.alias("z"), F.log((p + 1e-4) / (q + 1e-4)).alias("weight"))
+    return Lexicon({r["term"]: r["weight"] for r in scored.orderBy(F.desc("z"), "term").limit(size).collect()})
+
+
+def sample_features(sample: DataFrame, lexicons: list[Lexicon]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(labels, parts, a feature matrix for each lexicon) of the sample, in an order that doesn't depend on its tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch):
+                rows = [[x for own in lexicons for x in features(t, own)] for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "part", "x"])
+
+    got = sample.select("text", "toxic", "part").mapInArrow(tidy(run), "toxic int, part int, x array<double>").collect()
+    got.sort(key=lambda r: (r["part"], r["toxic"], r["x"]))
+    x = np.array([r["x"] for r in got]).reshape(len(got), len(lexicons), len(NAMES))
+    return np.array([r["toxic"] for r in got], dtype=np.float64), np.array([r["part"] for r in got]), [x[:, k] for k in range(len(lexicons))]
+
+
+def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexicon_terms: int = LEXICON_TERMS) -> Model:
+    """A model from at most ``sample_rows`` labelled rows; held-out rows are never used.
+
+    The calibration uses scores of rows that lexicon and trees haven't seen: each half is scored by a model of the
+    other. With no labels, or labels of one class only, every score is the share of toxic rows (0 without labels).
+    """
+    sample = sampled(documents, labels, sample_rows)
+    if sample is None:
+        return Model(Lexicon(), None, None, 0.0)
+    sizes = {(r["part"], r["toxic"]): r["count"] for r in sample.groupBy("part", "toxic").count().collect()}
+    rows, toxic = sum(sizes.values()), sum(n for (_, y), n in sizes.items() if y)
+    share = toxic / rows if rows else 0.0
+    if rows < 40 or len(sizes) < 4:
+        return Model(Lexicon(), None, None, share)
+    counts = stored(term_counts(sample), "terms")
+    halves = [lexicon_of(counts.where(F.col("part") != k), sizes[1 - k, 1], sizes[1 - k, 0], lexicon_terms) for k in (0, 1)]
+    lexicon = lexicon_of(counts, toxic, rows - toxic, lexicon_terms)
+    y, part, (*half_x, x) = sample_features(sample, [*halves, lexicon])
     raw = np.zeros(len(y))
-    for k in range(2):
-        seen = part != k
-        if y[seen].min() == y[seen].max():
-            return Model(Lexicon(), None, None, float(y.mean()))
-        lexicon = learn_lexicon([t for t, s in zip(texts, seen, strict=True) if s], y[seen], lexicon_terms)
-        x = np.array([features(t, lexicon) for t in texts])
-        raw[~seen] = Trees().fit(x[seen], y[seen]).raw(x[~seen])
-    lexicon = learn_lexicon(texts, y, lexicon_terms)
-    trees = Trees().fit(np.array([features(t, lexicon) for t in texts]), y)
-    return Model(lexicon, trees, Isotonic().fit(raw, y), float(y.mean()))
+    for k in (0, 1):
+        raw[part == k] = Trees().fit(half_x[k][part != k], y[part != k]).raw(half_x[k][part == k])
+    return Model(lexicon, Trees().fit(x, y), Isotonic().fit(raw, y), share)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -290,15 +341,20 @@ def toxicity(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold(F.col("doc_id").cast("long")) % FOLDS == 0).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents`` whose texts score under one half, with all their columns."""
+    """The rows of ``documents`` whose whole texts score under one half, with all their columns as they are.
+
+    A null text counts as empty. Rows with equal texts, and so repeated rows, stay or go together, whatever their ids;
+    null ids are no matter. Columns of any name pass through; an empty table gives no rows.
+    """
     model = fit(documents, labels, **options)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score([t if isinstance(t, str) else "" for t in text]), dtype="float64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch):
+                yield part.filter(pa.array(model.score(texts) < 0.5))
 
-    return documents.where(score("text") < 0.5)
+    return documents.mapInArrow(tidy(run), documents.schema)
