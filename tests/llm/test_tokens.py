@@ -30,6 +30,7 @@ def reference():
 
 
 BPE = MatrixBpe(RANKS, public_tokenizers.PATTERN)
+OTHERS = {p: MatrixBpe(RANKS, p) for p in (r"\w+|\W", r"[\s\S]{1,90}")}
 ENCODERS = {p: LibraryEncoder(p) for p in (BYTE, WORD)}
 COUNTER = TokenCounter(WORD)
 
@@ -52,6 +53,25 @@ def test_long_pretokens_equal_the_library(reference):
         assert ids(BPE.encode([text])[0]) == reference.encode_ordinary(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aeiothnrs \n'x!", min_size=65, max_size=400) | st.lists(st.sampled_from(["the", "in", "ing", "aaaa", "xx", "er", "and", "tion"]), min_size=20, max_size=200).map("".join))
+def test_long_rows_equal_the_library(reference, text):
+    assert BPE.merge_long(text.encode()).tolist() == tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=BPE.ranks, special_tokens={}).encode_ordinary(text)
+
+
+def test_a_very_long_pretoken_is_merged_in_time(reference):
+    text = "".join(random.Random(2).choices("etaoinshr", k=300_000))
+    assert BPE.decode(BPE.merge_long(text.encode()).tolist()) == text.encode()
+
+
+@settings(max_examples=200, deadline=None)
+@given(TEXTS)
+def test_another_pattern_is_honoured(text):
+    for pattern in OTHERS:
+        other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=BPE.ranks, special_tokens={})
+        assert ids(OTHERS[pattern].encode([text])[0]) == other.encode_ordinary(text)
+
+
 @settings(max_examples=400, deadline=None)
 @given(TEXTS)
 def test_memoised_chunks_equal_whole_texts(text):

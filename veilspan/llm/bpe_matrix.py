@@ -2,15 +2,15 @@
 
 Pre-tokens of similar length form one padded matrix of ids. In each round every row merges its leftmost pair of
 minimum rank; ranks of pairs come from an open-addressing hash table, and a compaction drops the merged column
-and the rows that are done. Pre-tokens of more than ``LONGEST`` bytes would need as many rounds, so they are
-merged one by one with a heap, to the same result.
+and the rows that are done. A pre-token of more than ``LONGEST`` bytes is a matrix of one row. It would need as many
+rounds as it has merges, so a round there merges all places of the minimum rank, from the left, wherever no pair that
+comes about on the way has that rank or a smaller one: then merging the leftmost place again and again gives the same.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import map_texts
-from .tokens import BYTE_PIECE, CHUNK, OUTSIDE, spaced, uneven
+from .tokens import BYTE_PATTERN, BYTE_PIECE, CHUNK, OUTSIDE, spaced, uneven
 
 BUCKETS = (2, 3, 4, 6, 8, 11, 15, 20, 27, 36, 48, 64)
 LONGEST = BUCKETS[-1]
@@ -73,6 +73,8 @@ class MatrixBpe:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.pattern, self.memo = regex.compile(pattern), memo
+        #: Chunks between white space don't depend on each other under this pattern; under any other whole texts are split.
+        self.chunks = pattern == BYTE_PATTERN
         size = max(self.ranks.values()) + 1
         self.strings = [b""] * size
         for string, rank in self.ranks.items():
@@ -140,26 +142,26 @@ class MatrixBpe:
                 ranks[k, at[k]] = self.pair_ranks(ids[k, at[k]], ids[k, at[k] + 1])
 
     def merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges for one long pre-token, with a heap of pairs over a linked list."""
-        ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        strings, ranks = self.strings, self.ranks
-        heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := ranks.get(strings[ids[k]] + strings[ids[k + 1]])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, k, left, right = heapq.heappop(heap)
-            j = after[k]
-            if ids[k] != left or j >= n or ids[j] != right:
-                continue
-            ids[k], ids[j] = rank, -1
-            after[k] = after[j]
-            if after[j] < n:
-                before[after[j]] = k
-            for a, b in ((before[k], k), (k, after[k])):
-                if a >= 0 and b < n and (r := ranks.get(strings[ids[a]] + strings[ids[b]])) is not None:
-                    heapq.heappush(heap, (r, a, ids[a], ids[b]))
-        return np.array([x for x in ids if x >= 0], dtype=np.int32)
+        """The ids of one long pre-token."""
+        ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)]
+        ranks = self.pair_ranks(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            if len(at) > 1:
+                each = np.arange(len(at))
+                run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, each, 0))
+                at = at[(each - run) % 2 == 0]  # of overlapping places every second one
+                met = np.full(len(at), best, dtype=np.int32)
+                before = np.where(np.diff(at, prepend=-3) == 2, best, np.where(at > 0, ids[at - 1], -1))
+                after = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+                if min(self.pair_ranks(before, met).min(), self.pair_ranks(met, after).min()) <= best:
+                    at = at[:1]
+            ids[at] = best
+            ids, ranks = np.delete(ids, at + 1), np.delete(ranks, at)
+            now = at - np.arange(len(at))
+            for k in (now[now > 0] - 1, now[now < len(ranks)]):
+                ranks[k] = self.pair_ranks(ids[k], ids[k + 1])
+        return ids
 
     def _learn(self, chunks: set[str], into: dict[str, bytes], lead: str) -> None:
         """Adds the ids of new chunks, merging their new pre-tokens together."""
@@ -180,6 +182,14 @@ class MatrixBpe:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         if len(self.pieces) + len(self.first) + len(self.rest) > self.memo:
             self.pieces, self.first, self.rest = {}, {}, {}
+        if not self.chunks:
+            split = [[m[0] for m in self.pattern.finditer(t)] for t in texts]
+            new = list({p for pieces in split for p in pieces}.difference(self.pieces))
+            raw = [p.encode() for p in new]
+            known = [self.ranks.get(b) for b in raw]
+            merged = iter(self.merge([b for b, r in zip(raw, known, strict=True) if r is None]))
+            self.pieces.update((p, next(merged) if r is None else self.id_bytes[r]) for p, r in zip(new, known, strict=True))
+            return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in split]
         first, rest = {"\n"}, set()
         for text in texts:
             if uneven(text):
