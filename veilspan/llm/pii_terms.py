@@ -2,24 +2,26 @@
 
 The values that the base patterns find (e-mail addresses, IP addresses, cards, phone numbers) are the protected
 entities. Over the corpus, p(e) is the share of documents that hold entity e, p(t) that of documents that hold term
-t, and p(t, e) that of documents in which t stands near e. The pointwise mutual information
-PMI(t; e) = log p(t, e) / (p(t) p(e)) is at most the entity's own information IC(e) = -log p(e), reached when every
-document with t holds e. A term whose PMI reaches ``threshold`` times IC(e) discloses e: wherever it stands in a
-document that holds e it is generalised, if its form has a class (a number, a name), and removed otherwise.
+t, and p(t, e) that of documents in which t stands among the ``window`` terms on either side of e. The pointwise
+mutual information PMI(t; e) = log p(t, e) / (p(t) p(e)) is at most the entity's own information IC(e) = -log p(e),
+reached when every document with t holds e. A term whose PMI reaches ``threshold`` times IC(e) discloses e: wherever
+it stands in the corpus, with or without e, it is generalised, if its form has a class (a number, a name), and
+removed otherwise.
+
+Two passes over the texts: the first gathers the statistics, the second marks the base spans and the terms found to
+disclose something. The terms are broadcast up to a bound; beyond it each document gets its own by joins.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored, tidy
@@ -33,10 +35,10 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 TERM = re.compile(r"[^\W_](?:[^\W_]|['-](?=[^\W_]))*")
-#: A term of more characters is cut for the statistics' key; its span stays whole.
+#: A term of more characters is named by a digest in the statistics.
 LONGEST_TERM = 64
-#: Flagged pairs are looked up by a broadcast of up to so many, by a shuffle join beyond.
-BROADCAST_ROWS = 500_000
+#: Disclosing terms are broadcast up to so many, of so many characters together, and joined beyond.
+BROADCAST_TERMS, BROADCAST_CHARS = 200_000, 4_000_000
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -86,83 +88,94 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else ''.join(DIGIT.findall(value))}"
 
 
+def key_of(term: str) -> str:
+    """The name of a term: the whole term in lower case, or a digest of it."""
+    own = term.lower()
+    return own if len(own) <= LONGEST_TERM else f"~{hashlib.blake2b(own.encode(), digest_size=16).hexdigest()}"
+
+
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the terms that overlap no base span, in order."""
+    taken, out = iter(sorted((a, b) for _, a, b in spans)), []
+    low, reach = next(taken, (len(text), 0))
+    ends = 0  # the furthest end of the spans that start before the term at hand ends
+    for m in TERM.finditer(text):
+        a, b = m.span()
+        while low < b:
+            ends = max(ends, reach)
+            low, reach = next(taken, (len(text), 0))
+        if ends <= a:
+            out.append((a, b))
+    return out
+
+
 def near_terms(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple[str, str, int, int, int]]:
     """(entity, term, start, end, context) of the up to ``window`` terms on either side of each span.
 
     Terms overlapping a base span are no terms. The context is a hash of the terms of that window.
     """
-    out, taken = [], sorted((a, b) for _, a, b in spans)
+    if not spans:
+        return []
+    out, terms = [], free_terms(text, spans)
+    starts, ends = [a for a, _ in terms], [b for _, b in terms]
     for kind, start, end in spans:
-        left = _terms_before(text, start, window, taken)
-        right = _terms_after(text, end, window, taken)
-        around = left + right
-        context = int.from_bytes(hashlib.blake2b(" ".join(text[a:b].lower() for a, b in around).encode(), digest_size=8).digest(), "little", signed=True)
-        out += [(entity(kind, text[start:end]), text[a:b].lower()[:LONGEST_TERM], a, b, context) for a, b in around]
+        before, after = bisect_right(ends, start), bisect_left(starts, end)
+        around = [(a, b, key_of(text[a:b])) for a, b in terms[max(0, before - window) : before] + terms[after : after + window]]
+        context = int.from_bytes(hashlib.blake2b(" ".join(t for *_, t in around).encode(), digest_size=8).digest(), "little", signed=True)
+        out += [(entity(kind, text[start:end]), t, a, b, context) for a, b, t in around]
     return out
 
 
-#: Characters looked at beside a span; a longer term is no term of its window.
-REACH = 400
-
-
-def _free(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    return [(a, b) for a, b in spans if not any(a < d and c < b for c, d in taken)]
-
-
-def _terms_before(text: str, at: int, window: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    low = max(0, at - REACH)
-    found = [m.span() for m in TERM.finditer(text, low, at) if low == 0 or m.start() > low]
-    near = [(a, b) for a, b in taken if b > low and a < at]
-    return _free(found, near)[-window:] if window else []
-
-
-def _terms_after(text: str, at: int, window: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    high = min(len(text), at + REACH)
-    found = [m.span() for m in TERM.finditer(text, at, high) if high == len(text) or m.end() < high]
-    near = [(a, b) for a, b in taken if b > at and a < high]
-    return _free(found, near)[:window]
+def marked(text: str, wanted: frozenset[str] | set[str]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """The base spans of a text, and the spans of its terms that are among the ``wanted`` ones."""
+    spans = base_spans(text)
+    if not wanted or not any(key_of(t) in wanted for t in set(TERM.findall(text))):
+        return spans, []
+    return spans, [("term", a, b) for a, b in free_terms(text, spans) if key_of(text[a:b]) in wanted]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-FOUND = "doc_key long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,term:string,start:int,end:int,context:long>>, entities array<string>, term string, n long"
+FOUND = "doc_key long, doc_id long, near array<struct<entity:string,term:string,start:int,end:int,context:long>>, entities array<string>, term string, n long"
+
+
+def _doc_key() -> Column:
+    """A number that equal rows share."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
 def scan(documents: DataFrame, window: int) -> DataFrame:
-    """One pass over all texts: a row a document with its base spans and the terms near them, and rows (term, n) with
+    """One pass over all texts: a row a document with its entities and the terms near them, and rows (term, n) with
     the document frequencies of each task. ``doc_key`` is made of the id and the text, so equal rows share it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
         def counted() -> pa.RecordBatch:
-            n = len(counts)
-            made = {f.name: [None] * n for f in layout} | {"term": list(counts.keys()), "n": list(counts.values())}
+            made = {f.name: [None] * len(counts) for f in layout} | {"term": list(counts.keys()), "n": list(counts.values())}
             counts.clear()
             return pa.RecordBatch.from_pydict(made, schema=layout)
 
         for batch in batches:
             for part, texts in slices(batch):
-                rows: dict[str, list] = {f.name: [] for f in layout}
-                for key, doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
-                    counts.update({t[:LONGEST_TERM] for t in TERM.findall(text.lower())})
+                rows: dict[str, list] = {"near": [], "entities": []}
+                for text in texts:
+                    counts.update({key_of(t) for t in set(TERM.findall(text))})
                     spans = base_spans(text)
-                    kinds = [k for k, _, _ in spans]
                     near = near_terms(text, spans, window)
-                    for name, value in zip(rows, (key, doc_id, *(kinds.count(k) for k in KINDS), joined(spans), [dict(zip(("entity", "term", "start", "end", "context"), x, strict=True)) for x in near], list({entity(k, text[a:b]) for k, a, b in spans}), None, None), strict=True):
-                        rows[name].append(value)
-                yield pa.RecordBatch.from_pydict(rows, schema=layout)
+                    rows["near"].append([dict(zip(("entity", "term", "start", "end", "context"), x, strict=True)) for x in near])
+                    rows["entities"].append(list({entity(k, text[a:b]) for k, a, b in spans}))
+                none = [None] * len(texts)
+                yield pa.RecordBatch.from_pydict({"doc_key": part.column(0), "doc_id": part.column(1), **rows, "term": none, "n": none}, schema=layout)
                 if len(counts) > 300_000:
                     yield counted()
         yield counted()
 
     struct = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64())])
-    numbers = [(n, pa.int64()) for n in ("doc_key", "doc_id", "n_email", "n_ip", "n_card", "n_phone")]
-    layout = pa.schema([*numbers, ("base", pa.string()), ("near", pa.list_(struct)), ("entities", pa.list_(pa.string())), ("term", pa.string()), ("n", pa.int64())])
-    source = documents.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("doc_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(tidy(run), FOUND)
+    layout = pa.schema([("doc_key", pa.int64()), ("doc_id", pa.int64()), ("near", pa.list_(struct)), ("entities", pa.list_(pa.string())), ("term", pa.string()), ("n", pa.int64())])
+    return documents.select(_doc_key().alias("doc_key"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), FOUND)
 
 
 def disclosing(found: DataFrame, threshold: float, support: int) -> DataFrame:
@@ -182,45 +195,44 @@ def disclosing(found: DataFrame, threshold: float, support: int) -> DataFrame:
     return scored.withColumn("disclosure", pmi / F.log(F.lit(float(total)) / F.least("n_entity", F.lit(total - 1)))).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
-def _everywhere(documents: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All places of disclosing terms in the documents that hold their entities: doc_key, start, end."""
+Rewrite = Callable[[pa.RecordBatch, list[str], list[tuple[list, list]]], pa.RecordBatch]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def with_spans(documents: DataFrame, rewrite: Rewrite, schema, window: int = 5, threshold: float = 0.8, support: int = 2) -> DataFrame:
+    """What ``rewrite`` makes of slices of all rows, their texts, and the base spans and term spans of each text."""
+    pairs = stored(disclosing(stored(scan(documents, window), "personal"), threshold, support), "disclosing")
+    terms = stored(pairs.select("term").distinct(), "terms")
+    n, chars = terms.agg(F.count("*"), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    if n <= BROADCAST_TERMS and chars <= BROADCAST_CHARS:
+        shared = documents.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, texts in slices(batch):
+                    yield rewrite(part, texts, [marked(t, shared.value) for t in texts])
+
+        return documents.mapInArrow(tidy(run), schema)
+    own = "veilspan doc key", "veilspan terms"
+    keyed = documents.withColumn(own[0], _doc_key())
+    held = keyed.select(F.col(f"`{own[0]}`").alias("doc_key"), "text").mapInArrow(tidy(_distinct_terms), "doc_key long, term string").distinct()
+    lists = held.join(terms, "term").groupBy(F.col("doc_key").alias(own[0])).agg(F.collect_set("term").alias(own[1]))
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                keys, starts, ends = [], [], []
-                for key, terms, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
-                    wanted = set(terms)
-                    places = [m.span() for m in TERM.finditer(text) if m[0].lower()[:LONGEST_TERM] in wanted]
-                    taken = sorted((a, b) for _, a, b in base_spans(text)) if places else []
-                    reach = list(accumulate((b for _, b in taken), max))
-                    for a, b in places:
-                        at = bisect_left(taken, (b,))
-                        if not at or reach[at - 1] <= a:
-                            keys.append(key)
-                            starts.append(a)
-                            ends.append(b)
-                yield pa.RecordBatch.from_pydict({"doc_key": keys, "start": starts, "end": ends}, schema=layout)
-
-    layout = pa.schema([("doc_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-    held = rows.where("size(entities) > 0").select("doc_key", F.explode("entities").alias("entity"))
-    terms = held.join(pairs.select("entity", "term"), "entity").groupBy("doc_key").agg(F.collect_set("term").alias("terms"))
-    texts = documents.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("doc_key"), "text")
-    return texts.join(stored(terms, "holders"), "doc_key").select("doc_key", "terms", "text").mapInArrow(tidy(run), "doc_key long, start int, end int")
-
-
-def find(documents: DataFrame, window: int = 5, threshold: float = 0.8, support: int = 2) -> DataFrame:
-    """All spans of every row: doc_key, doc_id, the four counts, base (joined base spans), spans (base, then terms)."""
-    found = stored(scan(documents, window), "personal")
-    pairs = stored(disclosing(found, threshold, support), "disclosing")
-    rows = found.where("term is null").drop("term", "n")
-    flat = rows.where("size(near) > 0").select("doc_key", F.explode("near").alias("x")).select("doc_key", "x.entity", "x.term", "x.start", "x.end")
-    flagged = flat.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs, ["entity", "term"], "left_semi").select("doc_key", "start", "end")
-    flagged = flagged.union(_everywhere(documents, rows, pairs)).distinct()
-    listed = flagged.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms"))
-    listed = listed.select("doc_key", F.array_join(F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"].cast("string"), F.lit(":"), t["end"].cast("string"))), ",").alias("terms"))
-    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.col("terms"))
-    return rows.join(listed, "doc_key", "left").select("doc_key", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", spans.alias("spans"))
+                wanted = [set(x or ()) for x in part.column(part.num_columns - 1).to_pylist()]
+                yield rewrite(part.select(part.schema.names[:-1]), texts, [marked(t, w) for t, w in zip(texts, wanted, strict=True)])
+
+    joined_ = keyed.join(stored(lists, "lists"), own[0], "left").select(*[F.col(f"`{c}`") for c in documents.columns], F.col(f"`{own[1]}`"))
+    return joined_.mapInArrow(tidy(run_joined), schema)
+
+
+def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, texts in slices(batch):
+            for key, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                terms = list({key_of(t) for t in set(TERM.findall(text))})
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(terms), pa.int64()), pa.array(terms, pa.string())], names=["doc_key", "term"])
 
 
 def personal_data(documents: DataFrame, **options) -> DataFrame:
@@ -229,9 +241,17 @@ def personal_data(documents: DataFrame, **options) -> DataFrame:
     Returns a row for each row: ``doc_id, n_email, n_ip, n_card, n_phone long, base_sha256, spans string``. Spans are
     ``kind:start:end`` in code points, end exclusive, joined by commas; those of disclosing terms have kind ``term``
     and stand last. A null text counts as empty. Repeated rows and rows with equal or null ids get rows of their own;
-    further columns are ignored; an empty table gives no rows. Documents without a base span have no spans at all.
+    further columns are ignored; an empty table gives no rows.
     """
-    return find(documents, **options).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+
+    def rewrite(part: pa.RecordBatch, texts: list[str], spans: list[tuple[list, list]]) -> pa.RecordBatch:
+        kinds = [Counter(k for k, *_ in base) for base, _ in spans]
+        digests = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in spans]
+        counts = [pa.array([c[k] for c in kinds], pa.int64()) for k in KINDS]
+        return pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(digests, pa.string()), pa.array([joined(base + terms) for base, terms in spans], pa.string())], names=[x.split()[0] for x in schema.split(", ")])
+
+    return with_spans(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rewrite, schema, **options)
 
 
 def generalised(term: str) -> str:
@@ -241,14 +261,10 @@ def generalised(term: str) -> str:
     return "[NAME]" if term[:1].isupper() else ""
 
 
-def cleaned(text: str, spans: str) -> str:
+def cleaned(text: str, spans: list[tuple[str, int, int]]) -> str:
     """``text`` with base spans replaced by their kind and terms generalised or removed; of overlapping spans one stands."""
-    cuts, out, at = [], [], 0
-    for one in spans.split(",") if spans else []:
-        kind, start, end = one.split(":")
-        cuts.append((int(start), -int(end), kind))
-    for start, end, kind in sorted(cuts):
-        end = -end
+    out, at = [], 0
+    for start, end, kind in sorted(((a, b, k) for k, a, b in spans), key=lambda s: (s[0], -s[1], s[2])):
         if end <= at:
             continue
         start = max(start, at)
@@ -257,22 +273,21 @@ def cleaned(text: str, spans: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def _clean(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([cleaned(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(text, spans, strict=True)], dtype=object)
-
-
 def sanitise(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with personal data taken out of the texts and ``n_chars`` set anew, if there is such a column.
 
-    Rows without spans stay as they are, a null text stays null; all rows and columns are kept.
+    All rows and columns are kept, whatever the columns' names; texts without spans stay as they are, a null text stays
+    null; repeated rows and rows with equal or null ids are treated alike; an empty table gives no rows.
     """
-    found = stored(find(documents, **options).where("spans <> ''").select("doc_key", "spans").dropDuplicates(["doc_key"]), "spans")
-    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    columns, key, spans = documents.columns, "veilspan doc key", "veilspan spans"
-    found = found.select(F.col("doc_key").alias(key), F.col("spans").alias(spans))
-    marked = documents.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text")).join(found, key, "left")
-    affected = F.col(f"`{spans}`").isNotNull()
-    out = marked.withColumn("text", F.when(affected, F.pandas_udf(_clean, "string")(F.when(affected, F.col("text")), F.col(f"`{spans}`"))).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*columns)
+
+    def rewrite(part: pa.RecordBatch, texts: list[str], spans: list[tuple[list, list]]) -> pa.RecordBatch:
+        at = part.schema.get_field_index("text")
+        null = part.column(at).is_null().to_pylist()
+        made = [None if gone else cleaned(t, base + terms) if base or terms else t for gone, t, (base, terms) in zip(null, texts, spans, strict=True)]
+        columns = list(part.columns)
+        columns[at] = pa.array(made, part.schema.field(at).type)
+        if (size := part.schema.get_field_index("n_chars")) >= 0:
+            columns[size] = pa.array([None if t is None else len(t) for t in made], pa.int64()).cast(part.schema.field(size).type)
+        return pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return with_spans(documents, rewrite, documents.schema, **options)
