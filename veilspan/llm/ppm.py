@@ -29,21 +29,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices, stored, tidy
+from .common import crc_fold, give_back, slices, stored, tidy
 from .shingles import word_hashes
 
-ORDER = 5
+ORDER = 6
 FREQUENT_WINDOWS = 2_000_000
 FREQUENT_WORDS = 300_000
 #: Context bytes that windows of one shard share, and the windows that a shard has on average.
-LOW, SHARD_WINDOWS = 3, 400_000
+LOW, SHARD_WINDOWS = 3, 200_000
 FOLDS = 10
 #: A byte that UTF-8 never holds: it fills the context before a text and marks its end.
 MARK = b"\xff"
 #: Bytes of text whose windows are held at once.
 STEP = 1 << 20
-#: Distinct keys a task gathers before it hands their counts on.
-FLUSH_KEYS = 2_000_000
+#: Distinct keys of a kind that a task gathers before it hands their counts on, and the rows it hands on at once.
+FLUSH_KEYS, HANDED_ROWS = 4_000_000, 100_000
 GRAM, WORD = 0, 1
 #: Fixed value: the name of the token that ends a text, which no hash of a word is allowed to be.
 END_TOKEN = np.uint64(0)
@@ -118,13 +118,16 @@ class Tally:
         got = np.unique(keys, return_counts=True)
         self.parts.append(got)
         self.size += len(got[0])
-        if len(self.parts) > 8 and self.size > FLUSH_KEYS // 4:
+        if len(self.parts) > 4:
             self._merge()
 
     def _merge(self) -> None:
-        keys, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([c for _, c in self.parts])).astype(np.int64)
-        self.parts, self.size = [(keys, counts)], len(keys)
+        keys = np.concatenate([k for k, _ in self.parts])
+        order = np.argsort(keys, kind="stable")  # the parts are sorted, so this merges them
+        keys, counts = keys[order], np.concatenate([c for _, c in self.parts])[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        self.parts = [(keys[first], np.add.reduceat(counts, first) if len(first) else counts)]
+        self.size = len(first)
 
     def taken(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
@@ -140,10 +143,12 @@ def _counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies = {(GRAM, False): Tally(), (GRAM, True): Tally(), (WORD, False): Tally()}
 
-        def handed(kind: int, held_out: bool) -> pa.RecordBatch:
-            keys, m = tallies[kind, held_out].taken()
-            n = np.zeros(len(keys), dtype=np.int64) if held_out else m
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))], names=["kind", "key", "n", "m"])
+        def handed(kind: int, held_out: bool) -> Iterator[pa.RecordBatch]:
+            every, counts = tallies[kind, held_out].taken()
+            for at in range(0, len(every), HANDED_ROWS):
+                keys, m = every[at : at + HANDED_ROWS], counts[at : at + HANDED_ROWS].astype(np.int64)
+                n = np.zeros_like(m) if held_out else m
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(n), pa.array(m)], names=["kind", "key", "n", "m"])
 
         for batch in batches:
             for part, texts in slices(batch):
@@ -158,11 +163,13 @@ def _counts(rows: DataFrame) -> DataFrame:
                         tallies[WORD, False].add(words_of(raw)[0])
                 for kind, tally in tallies.items():
                     if tally.size > FLUSH_KEYS:
-                        yield handed(*kind)
+                        yield from handed(*kind)
         for kind in tallies:
-            yield handed(*kind)
+            yield from handed(*kind)
 
-    return rows.select("text", "held_out").mapInArrow(tidy(run), "kind int, key long, n long, m long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    # Tasks have counted already: adding up before the shuffle as well would fill a hash map and save nothing.
+    counted = rows.select("text", "held_out").mapInArrow(tidy(run), "kind int, key long, n long, m long").repartition("kind", "key")
+    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 class Lengths:
@@ -310,7 +317,10 @@ def _lengths(grams: DataFrame) -> DataFrame:
             own.insert(0, _lower(own[0], k))
         every = [*shared.value, *own]
         trie = Trie(every, [_summed(c >> np.uint64(8), x) for c, x in every])
-        return pd.DataFrame({"code": windows["key"], "m": windows["m"], "log": trie.log10(codes).astype(np.float32)})
+        out = pd.DataFrame({"code": windows["key"], "m": windows["m"], "log": trie.log10(codes).astype(np.float32)})
+        del trie, every, own
+        give_back()
+        return out
 
     shard = F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * LOW)) - 1))), F.lit(shards)).cast("int")
     return grams.select("key", "n", "m", shard.alias("shard")).groupBy("shard").applyInPandas(run, "code long, m long, log float")
