@@ -4,7 +4,6 @@ import pytest
 
 from veilspan.functions.contract import SpanError, error_envelope
 from veilspan.operators import consistency, merge, render, review, spans
-from veilspan.operators.review import Replay
 from veilspan.plans.service import Service, as_json
 
 SPAN = "doc_id long, arrival long, start int, end int, text string, type string, confidence double, source string, reason string, normalized_value string"
@@ -83,39 +82,89 @@ def test_unsound_spans_raise_when_read(spark):
             spans.sound(claim(*bad), docs).collect()
 
 
-def item(s, e, linked=()):
-    return {"start": s, "end": e, "linked": tuple(linked)}
+FINDING = "doc_id long, id string, start int, end int, text string, type string, confidence double, sources array<string>, reason string, normalized_value string, tier int, linked array<struct<start:int,end:int>>"
+LINKED = {"m:0-1": [(2, 3)], "m:2-3": [(0, 1)], "m:4-5": []}
 
 
-def test_undo_is_the_inverse_of_any_action():
-    rng = random.Random(5)
-    for _ in range(300):
-        items = {"a": item(0, 1, [(2, 3)]), "b": item(2, 3, [(0, 1)]), "c": item(4, 5)}
-        state, past = Replay(items, 100), []
-        for _ in range(rng.randint(1, 12)):
-            before = (dict(state.status), set(state.items), len(state.stack))
-            kind = rng.choice(["accept", "dismiss", "add_missed", "undo"])
-            s = rng.randint(6, 90)
-            while f"manual:{s}-{s + 3}" in state.items:
-                s = rng.randint(6, 90)
-            error = state.apply({"type": kind, "target_id": rng.choice("abc"), "start": s, "end": s + 3, "pii_type": None})
-            if kind == "undo":
-                if error is None:
-                    assert (dict(state.status), set(state.items)) == past.pop()
+def findings_of(spark, ids):
+    return spark.createDataFrame([(d, k, *map(int, k[2:].split("-")), "x", "ORG", 0.9, ["ner"], "", None, 2, LINKED[k]) for d in ids for k in LINKED], FINDING)
+
+
+def plain_state(log):
+    """What stands after a log, found anew for every prefix from the actions that are still standing: statuses and errors."""
+    standing, errors, gone = [], [], []  # gone: (seq of the undo, name) of additions taken back
+
+    def state(at):
+        status = dict.fromkeys(LINKED, "pending")
+        events = sorted([(a[0], "add", a) for a in standing if a[1] == "add_missed"] + [(s, "go", name) for s, name in gone] + [(a[0], "set", a) for a in standing if a[1] != "add_missed"])
+        # A later addition of the same place stands for the earlier one, until either is taken back.
+        for _, kind, a in events:
+            if kind == "add":
+                status[f"manual:{a[3]}-{a[4]}"] = "accepted"
+            elif kind == "go":
+                status.pop(a, None)
             else:
-                past.append(before[:2])
-        assert len(past) == len(state.stack)
-
-
-def test_cascade_and_repeated_additions():
-    state = Replay({"a": item(0, 1, [(2, 3)]), "b": item(2, 3, [(0, 1)])}, 10)
-    assert state.apply({"type": "accept", "target_id": "b"}) is None and set(state.status.values()) == {"accepted"}
-    assert state.apply({"type": "undo"}) is None and set(state.status.values()) == {"pending"}
-    for _ in range(2):
-        assert state.apply({"type": "add_missed", "start": 5, "end": 7, "pii_type": None}) is None
-    assert state.apply({"type": "undo"}) is None and "manual:5-7" not in state.items  # one undo takes it away
-    assert state.apply({"type": "add_missed", "start": 5, "end": 11, "pii_type": None}) == "span_offsets_out_of_range"
-    assert [state.apply({"type": t, "target_id": None, "start": None, "end": 1}) for t in ("accept", "add_missed", "other")] == ["unknown_item", "missing_selection", "unknown_action"]
+                places = {f"{p}:{s}-{e}" for s, e in LINKED.get(a[2], []) for p in ("m", "manual")} | {a[2]}
+                status.update({k: "accepted" if a[1] == "accept" else "dismissed" for k in status if k in places})
+        return status
+
+    for a in log:
+        seq, kind, target, start, end = a[:5]
+        error = None
+        if kind in ("accept", "dismiss"):
+            error = None if target in state(seq) else "unknown_item"
+        elif kind == "add_missed":
+            error = "missing_selection" if start is None or end is None else None if 0 <= start <= end <= 80 else "span_offsets_out_of_range"
+        elif kind == "undo":
+            error = None if standing else "nothing_to_undo"
+        else:
+            error = "unknown_action"
+        if error:
+            errors.append((seq, error))
+        elif kind == "undo":
+            last = standing.pop()
+            if last[1] == "add_missed":
+                gone.append((seq, f"manual:{last[3]}-{last[4]}"))
+        else:
+            standing.append(a)
+    return state(None), sorted(errors)
+
+
+def test_logs_leave_what_a_plain_replay_leaves(spark):
+    rng = random.Random(5)
+    logs = {}
+    for d in range(150):
+        kinds = rng.choice([["accept", "dismiss", "add_missed", "undo", "undo"], ["accept", "dismiss", "undo"], ["accept", "dismiss", "add_missed", "undo", "fly"]])
+        made = []
+        for seq in range(rng.randint(0, 14)):
+            s = rng.choice([0, 2, 6, 7, 79, None])
+            target = rng.choice([*LINKED, "m:9-9", "manual:6-8", "manual:0-1", "manual:2-3", None])
+            made.append((seq, rng.choice(kinds), target, s, None if s is None else s + rng.choice([1, 2]), None))
+        logs[d] = made
+    rows = [(d, *a[:5], a[5]) for d, made in logs.items() for a in made]
+    log = review.action_rows(spark, [(d, seq, k, t, s, e, p) for d, seq, k, t, s, e, p in rows])
+    docs = spark.createDataFrame([(d, TEXT) for d in logs], "doc_id long, text string")
+    found = findings_of(spark, logs)
+    got, errors = {d: {} for d in logs}, {d: [] for d in logs}
+    for r in review.queue(docs, found, log).collect():
+        got[r["doc_id"]][r["id"]] = r["status"]
+    for r in review.action_errors(docs, found, log).collect():
+        errors[r["doc_id"]].append((r["seq"], r["error"]))
+    for d, made in logs.items():
+        assert (got[d], sorted(errors[d])) == plain_state(made), made
+
+
+def test_cascade_and_repeated_additions(spark):
+    docs = spark.createDataFrame([(d, TEXT) for d in (1, 2, 3)], "doc_id long, text string")
+    log = review.action_rows(spark, [
+        (1, 1, "accept", "m:2-3", None, None, None), (2, 1, "accept", "m:2-3", None, None, None), (2, 2, "undo", None, None, None, None),
+        (3, 1, "add_missed", None, 5, 7, None), (3, 2, "add_missed", None, 5, 7, "ORG"), (3, 3, "undo", None, None, None, None), (3, 4, "add_missed", None, 5, 81, None), (3, 5, "accept", "manual:5-7", None, None, None), (3, 6, "accept", None, None, None, None), (3, 7, "add_missed", None, None, 1, None), (3, 8, "other", None, None, None, None),
+    ])
+    got = {(r["doc_id"], r["id"]): r["status"] for r in review.queue(docs, findings_of(spark, (1, 2, 3)), log).collect()}
+    assert got[1, "m:0-1"] == got[1, "m:2-3"] == "accepted" and got[1, "m:4-5"] == "pending"
+    assert got[2, "m:0-1"] == got[2, "m:2-3"] == "pending" and (3, "manual:5-7") not in got  # one undo takes it away
+    errors = [tuple(r)[1:] for r in review.action_errors(docs, findings_of(spark, (1, 2, 3)), log).orderBy("seq").collect()]
+    assert errors == [(4, "span_offsets_out_of_range"), (5, "unknown_item"), (6, "unknown_item"), (7, "missing_selection"), (8, "unknown_action")]
 
 
 def test_service(spark, tmp_path):

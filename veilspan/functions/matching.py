@@ -11,7 +11,33 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MATCH = "array<struct<start:int,end:int,text:string>>"
+MATCH = "struct<start:int,end:int,text:string>"
+#: Results of a fold are appended to blocks of so many, as appending to one long array copies it each time.
+BLOCK = 256
+
+
+def none(kind: str) -> Column:
+    """An empty array of a type."""
+    return F.array().cast(f"array<{kind}>")
+
+
+def buffer(kind: str) -> Column:
+    """An empty buffer for the results of a fold: full blocks, and the last one."""
+    return F.struct(none(f"array<{kind}>").alias("done"), none(kind).alias("last"))
+
+
+def appended(out: Column, x: Column) -> Column:
+    """The buffer with one result more."""
+    full = F.size(out["last"]) >= BLOCK
+    return F.struct(
+        F.when(full, F.concat(out["done"], F.array(out["last"]))).otherwise(out["done"]).alias("done"),
+        F.when(full, F.array(x)).otherwise(F.concat(out["last"], F.array(x))).alias("last"),
+    )
+
+
+def unrolled(out: Column) -> Column:
+    """All results of a buffer as one array."""
+    return F.flatten(F.concat(out["done"], F.array(out["last"])))
 
 
 def all_matches(text: Column | str, pattern: str) -> Column:
@@ -22,13 +48,12 @@ def all_matches(text: Column | str, pattern: str) -> Column:
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
+        return F.struct(end.alias("at"), appended(state["out"], F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text"))).alias("out"))
 
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))
     pairs = F.transform(pairs, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit")))
-    empty = F.array().cast(MATCH)
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(empty)
+    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), buffer(MATCH).alias("out")), step, lambda s: unrolled(s["out"]))
+    return F.when(text.rlike(pattern), folded).otherwise(none(MATCH))
 
 
 def literal(term: str) -> str:
@@ -42,24 +67,60 @@ def whole_word(term: str) -> str:
 
 
 def literal_places(text: Column, value: Column) -> Column:
-    """Start of every occurrence of a literal value, overlapping ones too."""
-    last = F.length(text) - F.length(value)
-    return F.when((F.length(value) > 0) & (last >= 0), F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda p: F.substring(text, p + 1, F.length(value)) == value)).otherwise(F.array().cast("array<int>"))
+    """Start of every occurrence of a literal value, overlapping ones too.
+
+    The text is split before each occurrence, so all parts but the first start with one.
+    """
+    before = F.concat(F.lit(r"(?=\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    sizes = F.transform(F.split(text, before, -1), F.length)
+
+    def step(state: Column, size: Column) -> Column:
+        there = (state["at"] > 0) | text.startswith(value)
+        return F.struct((state["at"] + size).alias("at"), F.when(there, appended(state["out"], state["at"])).otherwise(state["out"]).alias("out"))
 
+    folded = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), buffer("int").alias("out")), step, lambda s: unrolled(s["out"]))
+    return F.when((F.length(value) > 0) & F.contains(text, value), folded).otherwise(none("int"))
 
-def greedy(candidates: Column, rank: list) -> Column:
+
+def disjoint(spans: Column, kind: str) -> Column:
+    """From the left, the spans of an array sorted by start that don't overlap the last one taken."""
+
+    def step(state: Column, x: Column) -> Column:
+        return F.when(x["start"] < state["end"], state).otherwise(F.struct(x["end"].alias("end"), appended(state["out"], x).alias("out")))
+
+    return F.aggregate(spans, F.struct(F.lit(-1).alias("end"), buffer(kind).alias("out")), step, lambda s: unrolled(s["out"]))
+
+
+def greedy(candidates: Column, rank: list, kind: str) -> Column:
     """Keeps each candidate, best first, that overlaps none kept before; the result is in order of start.
 
-    ``candidates`` is an array of structs with start and end; ``rank`` lists functions from a candidate to a key, the
-    smallest key being the best. The fold depends on what it has kept, so no window can express it.
+    ``candidates`` is an array of structs of type ``kind`` with start and end; ``rank`` lists functions from a candidate
+    to a key, the smallest key being the best. Candidates of different islands of overlap don't touch each other, so
+    each island is settled by itself; a candidate is held against those kept in its own island only.
     """
-    ranked = F.array_sort(F.transform(candidates, lambda c: F.struct(*[f(c).alias(f"k{i}") for i, f in enumerate(rank)], c.alias("c"))))
-    none = F.filter(candidates, lambda c: F.lit(False))
+    in_order = F.transform(F.array_sort(F.transform(candidates, lambda c: F.struct(c["start"].alias("s"), c.alias("c")))), lambda x: x["c"])
+
+    def step(state: Column, c: Column) -> Column:
+        new = c["start"] >= state["reach"]
+        return F.struct(
+            F.when(new, c["end"]).otherwise(F.greatest(state["reach"], c["end"])).alias("reach"),
+            F.when(new, F.array(c)).otherwise(F.concat(state["island"], F.array(c))).alias("island"),
+            F.when(new, appended(state["out"], state["island"])).otherwise(state["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(-1).alias("reach"), none(kind).alias("island"), buffer(f"array<{kind}>").alias("out"))
+    islands = F.aggregate(in_order, start, step, lambda s: unrolled(appended(s["out"], s["island"])))
+    return F.flatten(F.transform(islands, lambda i: F.when(F.size(i) < 2, i).otherwise(_best_of(i, rank, kind))))
+
+
+def _best_of(island: Column, rank: list, kind: str) -> Column:
+    """The same for one island. The fold depends on what it has kept, so no window can express it."""
+    ranked = F.array_sort(F.transform(island, lambda c: F.struct(*[f(c).alias(f"k{i}") for i, f in enumerate(rank)], c.alias("c"))))
 
     def step(kept: Column, x: Column) -> Column:
         c = x["c"]
         clash = F.exists(kept, lambda k: (c["start"] < k["end"]) & (k["start"] < c["end"]))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(c)))
 
-    kept = F.aggregate(ranked, none, step)
+    kept = F.aggregate(ranked, none(kind), step)
     return F.transform(F.array_sort(F.transform(kept, lambda c: F.struct(c["start"].alias("s"), c.alias("c")))), lambda x: x["c"])

@@ -59,16 +59,21 @@ def _stripped(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)^\s+|\s+\z", "")
 
 
+def _tail(text: Column, pattern: str) -> Column:
+    """What a pattern matches read from the end; a search for a match up to the end would start anew at each character."""
+    return F.reverse(F.regexp_extract(F.reverse(text), pattern, 0))
+
+
 def sentence(text: Column | str, start: Column, end: Column) -> Column:
     """The sentence around a span, between . ! ? or line feeds, without them."""
-    left = F.regexp_extract(_c(text).substr(F.lit(1), start), r"[^.!?\n]*\z", 0)
+    left = _tail(_c(text).substr(F.lit(1), start), r"^[^.!?\n]*")
     right = F.regexp_extract(_c(text).substr(end + 1, F.length(_c(text))), r"^[^.!?\n]*", 0)
     return _stripped(F.concat(left, piece(text, start, end), right))
 
 
 def model_sentence(text: Column | str, start: Column, end: Column) -> Column:
     """The sentence shown to a model: between full stops or line feeds, with the one that ends it."""
-    left = F.regexp_extract(_c(text).substr(F.lit(1), start), r"[^.\n]*\z", 0)
+    left = _tail(_c(text).substr(F.lit(1), start), r"^[^.\n]*")
     right = F.regexp_extract(_c(text).substr(end + 1, F.length(_c(text))), r"^[^.\n]*[.\n]?", 0)
     return _stripped(F.concat(left, piece(text, start, end), right))
 

@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.contract import ALLOWLIST_REASON, CONFIDENCE, DEFAULT_ALLOWLIST, PII_TYPES
-from ..functions.matching import all_matches, whole_word
+from ..functions.matching import MATCH, all_matches, disjoint, whole_word
 
 #: Term lists of up to so many entries become one projection over the text; longer ones are joined on their first word.
 INLINE_TERMS = 200
+#: A table of terms is broadcast up to so many terms, and so many characters if all were as long as the longest.
+BROADCAST_TERMS, BROADCAST_CHARS = 100_000, 16_000_000
 
 
 def term_matches(text: Column | str, term: str) -> Column:
     """Every whole-word, case-insensitive match; none for an empty term."""
-    return all_matches(text, whole_word(term)) if term else F.array().cast("array<struct<start:int,end:int,text:string>>")
+    return all_matches(text, whole_word(term)) if term else F.array().cast(f"array<{MATCH}>")
 
 
 def _marked(matches: Column, ord_: int, kind: str) -> Column:
@@ -38,7 +40,8 @@ def joined_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:
     that overlap an earlier one of the same term are left out, as a scan from the left would.
     """
     named = terms.where("term is not null and term <> ''").select("ord", "term", "type", F.lower(F.regexp_extract("term", r"(?U)\w+", 0)).alias("word"), (F.length(F.regexp_extract("term", r"(?U)^\W*", 0))).alias("lead"))
-    longest = named.agg(F.max(F.length("term"))).first()[0] or 0
+    longest, n = named.agg(F.max(F.length("term")), F.count("*")).first()
+    longest, named = longest or 0, F.broadcast(named) if n <= BROADCAST_TERMS and n * (longest or 0) <= BROADCAST_CHARS else named
     words = documents.select("doc_id", "text", F.explode(all_matches("text", r"(?U)\w+")).alias("w"))
     words = words.select("doc_id", F.col("w.start").alias("at"), F.lower("w.text").alias("word"), F.col("text").substr(F.greatest(F.lit(1), F.col("w.start") + 1 - longest), F.lit(2 * longest + 2)).alias("near"), F.greatest(F.lit(0), F.col("w.start") - longest).alias("base"))
     met = words.join(named.where("word <> ''"), "word").withColumn("start", F.col("at") - F.col("lead")).where("start >= base")
@@ -50,9 +53,7 @@ def joined_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:
     before = F.when(F.col("start") == F.col("base"), F.lit("")).otherwise(before)
     met = met.where((F.lower("hit") == F.lower("term")) & edge(before, first) & edge(after, last))
     group = met.groupBy("doc_id", "ord", "type").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("hit").alias("text")))).alias("m"))
-    none = F.filter("m", lambda x: F.lit(False))
-    kept = F.aggregate("m", none, lambda k, x: F.when((F.size(k) > 0) & (F.try_element_at(k, F.size(k))["end"] > x["start"]), k).otherwise(F.concat(k, F.array(x))))
-    return group.select("doc_id", "ord", "type", F.explode(kept).alias("x")).select("doc_id", "ord", "type", "x.start", "x.end", "x.text")
+    return group.select("doc_id", "ord", "type", F.explode(disjoint(F.col("m"), MATCH)).alias("x")).select("doc_id", "ord", "type", "x.start", "x.end", "x.text")
 
 
 def detect_known(documents: DataFrame, known: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:

@@ -51,10 +51,12 @@ def tier(sources: Column | str, linked: Column) -> Column:
 
 def linked(findings: DataFrame) -> DataFrame:
     """Adds ``linked``: the other places of the same value in the document, in order."""
-    keyed = findings.withColumn("key", link_key("type", "normalized_value"))
+    own = F.concat(F.lit("\1"), F.col("start"), F.lit("-"), F.col("end"))
+    # A finding that links with none is a group of its own, so no group gathers them all.
+    keyed = findings.withColumn("key", F.coalesce(link_key("type", "normalized_value"), own))
     every = F.collect_list(F.struct("start", "end")).over(Window.partitionBy("doc_id", "key"))
     others = F.array_sort(F.filter(every, lambda o: (o["start"] != F.col("start")) | (o["end"] != F.col("end"))))
-    return keyed.withColumn("linked", F.when(F.col("key").isNotNull(), others).otherwise(F.array().cast("array<struct<start:int,end:int>>"))).drop("key")
+    return keyed.withColumn("linked", others).drop("key")
 
 
 def merge(candidates: DataFrame, ranges: DataFrame | None = None) -> DataFrame:

@@ -17,20 +17,20 @@ from ..functions.contract import CONFIDENCE
 from ..functions.matching import all_matches, greedy
 from ..functions.scalars import capped, overlaps
 
-# The entity types this layer owns, with their span type and reason.
-ENTITY_MAP = {
-    "PERSON": ("PERSON", "NER (Presidio/spaCy) classified this as a person name"),
-    "ORGANIZATION": ("ORG", "NER (Presidio/spaCy) classified this as an organisation"),
-    "ORG": ("ORG", "NER (Presidio/spaCy) classified this as an organisation"),
-    "LOCATION": ("ADDRESS", "NER (Presidio/spaCy) classified this as a location"),
-    "STREET_ADDRESS": ("ADDRESS", "Presidio street-address recognizer matched a full street address"),
-}
+# The entity types this layer owns, with their span type.
+ENTITY_MAP = {"PERSON": "PERSON", "ORGANIZATION": "ORG", "ORG": "ORG", "LOCATION": "ADDRESS", "STREET_ADDRESS": "ADDRESS"}
+#: What a finding's reason calls its entity type, after "name rules" or "the analyser".
+CALLED = {"PERSON": "took this for a person name", "ORGANIZATION": "took this for an organisation", "ORG": "took this for an organisation", "LOCATION": "took this for a location", "STREET_ADDRESS": "matched a full street address"}
 # The street types of an address.
 STREET_TYPES = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl|Boulevard|Blvd|Way|Terrace|Tce|Crescent|Cres"
-#: A street address on one line. The number of words before the street type is bounded, as Java's matcher needs stack for each.
-STREET_ADDRESS = rf"(?U)\b\d{{1,5}}\s+[A-Z][A-Za-z]+(?:\s+[A-Za-z]+){{0,6}}?\s+(?:{STREET_TYPES})\b.*?\b\d{{4}}\b"
+#: From a street type on, the rest of its line up to a number of four digits.
+STREET_END = rf"(?:{STREET_TYPES})\b[^\n]*?\b\d{{4}}\b"
+#: A street address: a number, a capitalised word, any words up to the first street type that such a number follows. The
+#: words are possessive, as Java's matcher would need stack for each to come back to.
+STREET_ADDRESS = rf"(?U)\b\d{{1,5}}\s+[A-Z][A-Za-z]+(?:\s++(?!{STREET_END})[A-Za-z]++)*+\s+{STREET_END}"
 NAME = r"[A-Z][a-zà-öø-ÿ]+(?:[ -][A-Z][a-zà-öø-ÿ]+){0,3}"
 RESULT = "array<struct<start:int,end:int,entity:string,score:double>>"
+NAMED = "struct<start:int,end:int,type:string,reason:string,confidence:double>"
 
 
 @dataclass(frozen=True)
@@ -83,8 +83,9 @@ def detect_names(documents: DataFrame, ranges: DataFrame | None = None, analyser
     rest are resolved (a suppressed long candidate must not hide a short one). Longer candidates win, then those of
     higher confidence, then earlier ones.
     """
-    kinds = F.create_map(*[F.lit(x) for e, (kind, _) in ENTITY_MAP.items() for x in (e, kind)])
-    reasons = F.create_map(*[F.lit(x) for e, (_, reason) in ENTITY_MAP.items() for x in (e, reason)])
+    kinds = F.create_map(*[F.lit(x) for pair in ENTITY_MAP.items() for x in pair])
+    who = "name rules" if analyser is None else "the analyser"
+    reasons = F.create_map(*[F.lit(x) for e, called in CALLED.items() for x in (e, f"{who} {called}")])
     rows = analysed(documents, analyser, recognisers)
     if ranges is not None:
         own = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("allowed"))
@@ -92,7 +93,7 @@ def detect_names(documents: DataFrame, ranges: DataFrame | None = None, analyser
         rows = rows.withColumn("found", F.filter("found", lambda c: ~F.exists(F.coalesce("allowed", F.array().cast("array<struct<start:int,end:int>>")), lambda a: overlaps(c["start"], c["end"], a["start"], a["end"]))))
     owned = F.filter("found", lambda c: c["entity"].isin(*ENTITY_MAP))
     shaped = F.transform(owned, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.element_at(kinds, c["entity"]).alias("type"), F.element_at(reasons, c["entity"]).alias("reason"), capped(c["score"], CONFIDENCE["ner"]).alias("confidence")))
-    kept = greedy(shaped, [lambda c: c["start"] - c["end"], lambda c: -c["confidence"], lambda c: c["start"]])
+    kept = greedy(shaped, [lambda c: c["start"] - c["end"], lambda c: -c["confidence"], lambda c: c["start"]], NAMED)
     rows = rows.select("doc_id", F.col("text").alias("whole"), F.posexplode(kept).alias("k", "c"))
     return rows.select(
         "doc_id", (F.lit(2 << 40) + F.col("k")).alias("arrival"), F.concat(F.lit("ner:"), F.col("c.start"), F.lit("-"), F.col("c.end")).alias("id"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.expr("substr(whole, c.start + 1, c.end - c.start)").alias("text"), F.col("c.type").alias("type"),

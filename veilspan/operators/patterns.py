@@ -13,12 +13,12 @@ from ..functions.matching import all_matches, greedy
 from ..functions.scalars import digits, luhn_ok
 
 # The patterns, with Unicode digits, white space and word boundaries. The groups of a reference code
-# are bounded, as Java's matcher needs stack for each of an unbounded number.
+# are possessive, as Java's matcher would need stack for each to come back to; each ends at a word boundary instead.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?U)\+?\d[\d\s().\-]{7,}\d"
 SSN = r"(?U)\b\d{3}-\d{2}-\d{4}\b"
 ACCOUNT = r"(?U)\b\d[\d \-]{11,21}\d\b"
-REFERENCE = r"(?U)\b[A-Z0-9]+(?:-[A-Z0-9]+){1,400}\b"
+REFERENCE = r"(?U)\b[A-Z0-9]++(?:-[A-Z0-9]++\b)++"
 
 CANDIDATE = "struct<start:int,end:int,text:string,type:string,reason:string,normalized_value:string,priority:int>"
 
@@ -60,7 +60,7 @@ def pattern_candidates(text: Column | str) -> Column:
 
 def resolved(candidates: Column) -> Column:
     """Lower priority numbers win overlaps, then longer candidates, then earlier ones."""
-    return greedy(candidates, [lambda c: c["priority"], lambda c: c["start"] - c["end"], lambda c: c["start"]])
+    return greedy(candidates, [lambda c: c["priority"], lambda c: c["start"] - c["end"], lambda c: c["start"]], CANDIDATE)
 
 
 def pattern_spans(text: Column | str) -> Column:

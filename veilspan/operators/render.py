@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.matching import appended, buffer, disjoint, none, unrolled
 from ..functions.scalars import blackout, identity_key, piece, screen_marker, token
 from .spans import overlapping
 
@@ -42,9 +43,9 @@ def rendered(documents: DataFrame, accepted: DataFrame, mode: str, style: str =
     text = F.col("text")
     state = F.aggregate(
         F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,token:string>>")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(piece(text, s["at"], x["start"]), x["token"])).alias("out")),
-        lambda s: F.concat(F.array_join(s["out"], ""), piece(text, s["at"], F.length(text))),
+        F.struct(F.lit(0).alias("at"), buffer("string").alias("out")),
+        lambda s, x: F.struct(x["end"].alias("at"), appended(s["out"], F.concat(piece(text, s["at"], x["start"]), x["token"])).alias("out")),
+        lambda s: F.concat(F.array_join(unrolled(s["out"]), ""), piece(text, s["at"], F.length(text))),
     )
     return rows.select("doc_id", F.when(F.col("error").isNull(), state).alias("output_text"), "error")
 
@@ -55,9 +56,9 @@ def segments(documents: DataFrame, items: DataFrame, mode: str) -> DataFrame:
     Accepted and pending items are taken by start; one that overlaps an item before it is skipped; gaps are filled.
     """
     shown = items.where(F.col("status").isin("accepted", "pending")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type", "status"))).alias("items"))
-    none = F.filter("items", lambda x: F.lit(False))
-    kept = F.aggregate("items", none, lambda k, x: F.when((F.size(k) > 0) & (x["start"] < F.try_element_at(k, F.size(k))["end"]), k).otherwise(F.concat(k, F.array(x))))
-    rows = documents.select("doc_id", "text").join(shown, "doc_id", "left").withColumn("kept", F.coalesce(kept, F.array().cast("array<struct<start:int,end:int,type:string,status:string>>")))
+    kind = "struct<start:int,end:int,type:string,status:string>"
+    kept = disjoint(F.col("items"), kind)
+    rows = documents.select("doc_id", "text").join(shown, "doc_id", "left").withColumn("kept", F.coalesce(kept, none(kind)))
     spans = rows.select("doc_id", "text", F.explode("kept").alias("x")).select("doc_id", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.lit("span").alias("kind"), F.when(F.col("x.status") == "accepted", screen_marker(F.lit(mode), F.col("x.type"), F.col("x.start"), F.col("x.end"))).otherwise(F.expr("substr(text, x.start + 1, x.end - x.start)")).alias("shown"))
     edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("kept", lambda x: F.array(x["start"], x["end"]))), F.array(F.length("text")))
     gaps = rows.select("doc_id", "text", F.explode(F.transform(F.sequence(F.lit(0), F.size("kept")), lambda k: F.struct(F.element_at(edges, 2 * k + 1).alias("start"), F.element_at(edges, 2 * k + 2).alias("end")))).alias("x"))

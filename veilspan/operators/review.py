@@ -1,15 +1,15 @@
 """Review: a queue of findings, an undoable log of decisions, counters, preview and gated export.
 
-A document's log is replayed in order of ``seq``; the state after it depends only on the findings and the log, so a
-review is a pair of tables and needs no session in memory.
+A review is a pair of tables: findings, and a log of actions numbered by ``seq`` in each document. What stands after
+the log is a set of joins and windows over both. An undo takes back the last action before it that is still standing,
+so actions and undos pair up like brackets: a running depth tells which undo closes which action. Of what is left,
+the last decision on an item counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,84 +18,98 @@ from ..functions.scalars import sentence
 from .render import legend, rendered
 
 ITEM = "id string, start int, end int, text string, type string, confidence double, sources array<string>, reason string, normalized_value string, tier int, linked array<struct<start:int,end:int>>"
-STATE = f"doc_id long, {ITEM}, status string"
-
-
-class Replay:
-    """The state of one document's review: items, decisions and a stack of what each action changed."""
-
-    def __init__(self, items: dict[str, dict[str, Any]], length: int):
-        self.items, self.length = dict(items), length
-        self.status = dict.fromkeys(items, "pending")
-        self.stack: list[tuple[str, Any]] = []
-
-    def apply(self, action: dict[str, Any]) -> str | None:
-        """Applies an action; the code of its error if it has one, and then nothing changes."""
-        kind = action["type"]
-        if kind in ("accept", "dismiss"):
-            return self._decide(action.get("target_id"), "accepted" if kind == "accept" else "dismissed")
-        if kind == "add_missed":
-            return self._add(action.get("start"), action.get("end"), action.get("pii_type"))
-        if kind == "undo":
-            return self._undo()
-        return "unknown_action"
-
-    def _decide(self, target: str | None, status: str) -> str | None:
-        if target not in self.items:
-            return "unknown_item"
-        places = set(self.items[target]["linked"])
-        group = [target, *(k for k, m in self.items.items() if k != target and (m["start"], m["end"]) in places)]
-        self.stack.append(("decided", [(k, self.status[k]) for k in group]))
-        self.status.update(dict.fromkeys(group, status))
-        return None
-
-    def _add(self, start: int | None, end: int | None, kind: str | None) -> str | None:
-        if start is None or end is None:
-            return "missing_selection"
-        if not 0 <= start <= end <= self.length:
-            return "span_offsets_out_of_range"
-        name = f"manual:{start}-{end}"
-        self.items[name] = {"id": name, "start": start, "end": end, "type": kind or "OTHER", "linked": (), "manual": True}
-        self.status[name] = "accepted"
-        self.stack.append(("added", name))
-        return None
-
-    def _undo(self) -> str | None:
-        if not self.stack:
-            return "nothing_to_undo"
-        kind, what = self.stack.pop()
-        if kind == "decided":
-            self.status.update({k: before for k, before in what if k in self.items})
-        else:
-            self.items.pop(what, None)
-            self.status.pop(what, None)
-        return None
-
-
-def _replayed(documents: DataFrame, findings: DataFrame, actions: DataFrame) -> DataFrame:
-    """One row for each item (with its status) and one for each action (with its error)."""
-    sizes = documents.select("doc_id", F.length("text").alias("length"))
-    left = findings.select("doc_id", "id", "start", "end", "linked")
-    right = actions.join(sizes, "doc_id").select("doc_id", "seq", F.col("type").alias("action"), "target_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"), "pii_type", "length")
-    out = "doc_id long, id string, start int, end int, type string, manual boolean, status string, seq long, error string"
+#: The last event of a kind on an item so far.
+SO_FAR = (Window.unboundedPreceding, -1)
+
 
-    def run(key: tuple, own: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        def known(x):
-            return None if x is None or x != x else x
+def _in_order(*more: str) -> Window:
+    return Window.partitionBy("doc_id", *more).orderBy("seq")
 
-        items = {r["id"]: {"start": int(r["start"]), "end": int(r["end"]), "linked": tuple((int(o["start"]), int(o["end"])) for o in r["linked"])} for r in own.to_dict("records")}
-        state = Replay(items, int(log["length"].iloc[0]) if len(log) else 0)
-        rows = []
-        for a in log.sort_values("seq", kind="stable").to_dict("records"):
-            start, end = known(a["a_start"]), known(a["a_end"])
-            error = state.apply({"type": a["action"], "target_id": known(a["target_id"]), "start": None if start is None else int(start), "end": None if end is None else int(end), "pii_type": known(a["pii_type"])})
-            rows.append((key[0], None, None, None, None, None, None, a["seq"], error))
-        for name, m in state.items.items():
-            rows.append((key[0], name, m["start"], m["end"], m.get("type"), bool(m.get("manual")), state.status[name], None, None))
-        frame = pd.DataFrame(rows, columns=["doc_id", "id", "start", "end", "type", "manual", "status", "seq", "error"], dtype=object)
-        return frame
 
-    return left.groupBy("doc_id").cogroup(right.groupBy("doc_id")).applyInPandas(run, out)
+def _checked(documents: DataFrame, findings: DataFrame, actions: DataFrame) -> DataFrame:
+    """The log of the known documents with ``item``, the id that an action is about, and ``fault``, the code of an error
+    that doesn't depend on the actions before it. Decisions on added items are ``open``: they need the item to be there."""
+    sizes = documents.select("doc_id", F.length("text").alias("length"))
+    known = findings.select("doc_id", F.col("id").alias("target_id"), "linked", F.lit(True).alias("known"))
+    log = actions.join(sizes, "doc_id").join(known, ["doc_id", "target_id"], "left")
+    decides, adds = F.col("type").isin("accept", "dismiss"), F.col("type") == "add_missed"
+    added = F.col("target_id").rlike("^manual:[0-9]+-[0-9]+$")
+    inside = (F.col("start") >= 0) & (F.col("start") <= F.col("end")) & (F.col("end") <= F.col("length"))
+    fault = (
+        F.when(decides & F.col("known").isNull() & ~F.coalesce(added, F.lit(False)), "unknown_item")
+        .when(adds & (F.col("start").isNull() | F.col("end").isNull()), "missing_selection")
+        .when(adds & ~inside, "span_offsets_out_of_range")
+        .when(~F.coalesce(decides | adds | (F.col("type") == "undo"), F.lit(False)), "unknown_action")
+    )
+    item = F.when(adds, F.concat(F.lit("manual:"), "start", F.lit("-"), "end")).when(decides, F.col("target_id"))
+    log = log.withColumn("fault", fault).withColumn("item", item).withColumn("open", F.coalesce(decides & F.col("known").isNull() & F.col("fault").isNull(), F.lit(False)))
+    return log.select("doc_id", "seq", "type", "item", "start", "end", "pii_type", "linked", "open", "fault")
+
+
+def _paired(log: DataFrame) -> DataFrame:
+    """Adds ``undone``: for an action without a fault the seq of the undo that takes it back; undos with nothing left to
+    take back get the fault nothing_to_undo."""
+    step = F.when(F.col("fault").isNotNull(), 0).when(F.col("type") == "undo", -1).otherwise(1)
+    rows = log.withColumn("height", F.sum(step).over(_in_order()))
+    low, before = F.min("height").over(_in_order()), F.min("height").over(_in_order().rowsBetween(*SO_FAR))
+    rows = rows.withColumn("depth", F.col("height") - F.least(F.lit(0), low)).withColumn("void", (F.col("type") == "undo") & (F.col("height") < F.least(F.lit(0), F.coalesce(before, F.lit(0)))))
+    # An action at a depth is closed by the next undo that leaves this depth; at one depth the two take turns.
+    undo = (F.col("type") == "undo") & ~F.col("void")
+    level = F.when(F.col("fault").isNotNull() | F.col("void"), F.lit(None).cast("long")).when(undo, F.col("depth") + 1).otherwise(F.col("depth"))
+    rows = rows.withColumn("level", level)
+    after = F.lead("seq").over(_in_order("level"))
+    acts = F.col("fault").isNull() & (F.col("type") != "undo")
+    return rows.withColumn("undone", F.when(acts, after)).withColumn("fault", F.when(F.col("void"), "nothing_to_undo").otherwise(F.col("fault"))).drop("height", "depth", "void", "level")
+
+
+def _comings(paired: DataFrame) -> DataFrame:
+    """When added items come and go: doc_id, item, seq, there, start, end, pii_type. An undone addition takes its item away."""
+    added = paired.where("type = 'add_missed' and fault is null")
+    came = added.select("doc_id", "item", "seq", F.lit(True).alias("there"), "start", "end", "pii_type")
+    went = added.where("undone is not null").select("doc_id", "item", F.col("undone").alias("seq"), F.lit(False).alias("there"), "start", "end", "pii_type")
+    return came.unionByName(went)
+
+
+def settled(documents: DataFrame, findings: DataFrame, actions: DataFrame) -> DataFrame:
+    """The log with every action's ``fault`` and ``undone``.
+
+    Whether a decision on an added item holds depends on the actions before it, which may be such decisions again.
+    So they are judged in rounds until none changes; the earliest that was judged wrongly is right after each round,
+    and in a log without them there is no round at all.
+    """
+    log = _checked(documents, findings, actions)
+    if not log.where("open").take(1):
+        return _paired(log)
+    now = log.persist()
+    while True:
+        paired = _paired(now)
+        events = _comings(paired).select("doc_id", "item", "seq", "there").unionByName(log.where("open").select("doc_id", "item", "seq", F.lit(None).cast("boolean").alias("there")))
+        there = F.coalesce(F.last("there", ignorenulls=True).over(_in_order("item").rowsBetween(*SO_FAR)), F.lit(False))
+        judged = events.withColumn("held", there).where("there is null").select("doc_id", "seq", "held")
+        judged = now.join(judged, ["doc_id", "seq"], "left").withColumn("now", F.when(F.col("open") & ~F.col("held"), "unknown_item").when(~F.col("open"), F.col("fault"))).persist()
+        if not judged.where("not (now <=> fault)").take(1):
+            return paired
+        now = judged.drop("fault", "held").withColumnRenamed("now", "fault").select(*log.columns)
+
+
+def _decisions(paired: DataFrame) -> DataFrame:
+    """Standing decisions for each item they reach: doc_id, id, seq, status. One on a finding reaches all places of its value."""
+    decided = paired.where("type in ('accept', 'dismiss') and fault is null and undone is null")
+    status = F.when(F.col("type") == "accept", "accepted").otherwise("dismissed")
+    places = F.transform(F.coalesce("linked", F.array().cast("array<struct<start:int,end:int>>")), lambda o: F.concat(o["start"].cast("string"), F.lit("-"), o["end"].cast("string")))
+    reached = F.concat(F.array("item"), F.transform(places, lambda p: F.concat(F.lit("m:"), p)), F.transform(places, lambda p: F.concat(F.lit("manual:"), p)))
+    return decided.select("doc_id", "seq", status.alias("status"), F.explode(reached).alias("id"))
+
+
+def _after(documents: DataFrame, findings: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, id, status of decided findings; added items: doc_id, id, start, end, type, status)."""
+    paired = settled(documents, findings, actions)
+    decisions = _decisions(paired)
+    own = decisions.groupBy("doc_id", "id").agg(F.max_by("status", "seq").alias("status"))
+    last = _comings(paired).groupBy("doc_id", F.col("item").alias("id")).agg(F.max_by(F.struct("there", "start", "end", "pii_type", "seq"), "seq").alias("x")).where("x.there")
+    added = last.select("doc_id", "id", "x.start", "x.end", F.coalesce("x.pii_type", F.lit("OTHER")).alias("type"), F.col("x.seq").alias("since"))
+    later = added.select("doc_id", "id", "since").join(decisions, ["doc_id", "id"]).where("seq > since").groupBy("doc_id", "id").agg(F.max_by("status", "seq").alias("status"))
+    return own, added.join(later, ["doc_id", "id"], "left").withColumn("status", F.coalesce("status", F.lit("accepted"))).drop("since")
 
 
 def queue(documents: DataFrame, findings: DataFrame, actions: DataFrame | None = None) -> DataFrame:
@@ -104,10 +118,10 @@ def queue(documents: DataFrame, findings: DataFrame, actions: DataFrame | None =
     if actions is None:
         rows = findings.withColumn("status", F.lit("pending"))
     else:
-        after = _replayed(documents, findings, actions).where("id is not null")
-        seen = findings.join(after.where("not manual").select("doc_id", "id", "status"), ["doc_id", "id"], "left").withColumn("status", F.coalesce("status", F.lit("pending")))
+        own, manual = _after(documents, findings, actions)
+        seen = findings.join(own, ["doc_id", "id"], "left").withColumn("status", F.coalesce("status", F.lit("pending")))
         none = F.array().cast("array<struct<start:int,end:int>>")
-        added = after.where("manual").join(texts, "doc_id").select("doc_id", "id", "start", "end", F.expr("substr(whole, start + 1, end - start)").alias("text"), "type", F.lit(1.0).alias("confidence"), F.array(F.lit("manual")).alias("sources"), F.lit(MANUAL_REASON).alias("reason"), F.lit(None).cast("string").alias("normalized_value"), F.lit(1).alias("tier"), none.alias("linked"), "status")
+        added = manual.join(texts, "doc_id").select("doc_id", "id", "start", "end", F.expr("substr(whole, start + 1, end - start)").alias("text"), "type", F.lit(1.0).alias("confidence"), F.array(F.lit("manual")).alias("sources"), F.lit(MANUAL_REASON).alias("reason"), F.lit(None).cast("string").alias("normalized_value"), F.lit(1).alias("tier"), none.alias("linked"), "status")
         rows = seen.unionByName(added)
     rows = rows.join(texts, "doc_id").withColumn("linked_count", F.size("linked")).withColumn("sentence", sentence("whole", F.col("start"), F.col("end")))
     return rows.drop("whole")
@@ -115,7 +129,7 @@ def queue(documents: DataFrame, findings: DataFrame, actions: DataFrame | None =
 
 def action_errors(documents: DataFrame, findings: DataFrame, actions: DataFrame) -> DataFrame:
     """doc_id, seq, error for the actions that failed: unknown_action, unknown_item, missing_selection, span_offsets_out_of_range, nothing_to_undo."""
-    return _replayed(documents, findings, actions).where("error is not null").select("doc_id", "seq", "error")
+    return settled(documents, findings, actions).where("fault is not null").select("doc_id", "seq", F.col("fault").alias("error"))
 
 
 def ordered(items: DataFrame) -> DataFrame:

@@ -91,3 +91,36 @@ TIER = "CASE WHEN links > 0 OR list_contains(sources, 'regex') OR list_contains(
 
 def sentence(text: str, s: str, e: str) -> str:
     return f"regexp_replace(regexp_extract(substr({text}, 1, {s}), '[^.!?\\n]*\\z') || substr({text}, {s} + 1, {e} - {s}) || regexp_extract(substr({text}, {e} + 1), '\\A[^.!?\\n]*'), '^\\s+|\\s+\\z', '', 'g')"
+
+
+#: WITH clauses up to ``replay`` and ``final``: the review log of the registered queries, replayed one action a step with
+#: a stack of what each changed. Items: id, s, e, key (what links them), status.
+REPLAYED = f"""WITH RECURSIVE own AS MATERIALIZED (SELECT doc_id, s, e, 'm:' || s || '-' || e AS id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS n,
+    CASE WHEN norm <> '' THEN type || ':' || CASE WHEN type = 'PHONE' THEN {canonical('norm')} ELSE norm END END AS key FROM {layer()}),
+  acts AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM (
+    SELECT doc_id, 5 * n AS seq, CASE WHEN s % 2 = 0 THEN 'accept' ELSE 'dismiss' END AS type, id AS target, CAST(NULL AS INTEGER) AS a, CAST(NULL AS INTEGER) AS b FROM own
+    UNION ALL SELECT doc_id, 5 * n + 1, 'undo', NULL, NULL, NULL FROM own WHERE e % 3 = 0
+    UNION ALL SELECT doc_id, 5 * n + 2, 'add_missed', NULL, s, e + 2 FROM own WHERE s % 5 = 0
+    UNION ALL SELECT doc_id, 5 * n + 3, CASE s % 7 WHEN 2 THEN 'fly' WHEN 3 THEN 'add_missed' WHEN 4 THEN 'undo' ELSE 'accept' END, CASE s % 7 WHEN 0 THEN 'manual:' || s || '-' || (e + 2) WHEN 1 THEN 'm:0-0' END, NULL, NULL FROM own WHERE s % 7 < 5
+    UNION ALL SELECT doc_id, 0, 'undo', NULL, NULL, NULL FROM documents WHERE doc_id % 3 = 0)),
+  replay AS (
+    SELECT d.doc_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS seq, length(d.text) AS size, CAST(coalesce(i.items, []) AS STRUCT(id VARCHAR, s INTEGER, e INTEGER, key VARCHAR, status VARCHAR)[]) AS items,
+      CAST([] AS STRUCT(kind VARCHAR, changes STRUCT(id VARCHAR, status VARCHAR)[])[]) AS stack, CAST(NULL AS VARCHAR) AS error
+    FROM documents d LEFT JOIN (SELECT doc_id, list(struct_pack(id := id, s := s, e := e, key := key, status := 'pending') ORDER BY s) AS items FROM own GROUP BY doc_id) i USING (doc_id)
+    UNION ALL
+    SELECT doc_id, k + 1, seq, size,
+      CASE WHEN error IS NOT NULL THEN items
+        WHEN type = 'undo' AND top.kind = 'added' THEN list_filter(items, lambda x: x.id <> top.changes[1].id)
+        WHEN type = 'undo' THEN list_transform(items, lambda x: struct_pack(id := x.id, s := x.s, e := x.e, key := x.key, status := coalesce(list_filter(top.changes, lambda c: c.id = x.id)[1].status, x.status)))
+        WHEN type = 'add_missed' THEN list_append(items, struct_pack(id := 'manual:' || a || '-' || b, s := a, e := b, key := CAST(NULL AS VARCHAR), status := 'accepted'))
+        ELSE list_transform(items, lambda x: struct_pack(id := x.id, s := x.s, e := x.e, key := x.key, status := CASE WHEN x.id = target OR x.key = tkey THEN CASE WHEN type = 'accept' THEN 'accepted' ELSE 'dismissed' END ELSE x.status END)) END,
+      CASE WHEN error IS NOT NULL THEN stack WHEN type = 'undo' THEN stack[1:-2]
+        WHEN type = 'add_missed' THEN list_append(stack, struct_pack(kind := 'added', changes := [struct_pack(id := 'manual:' || a || '-' || b, status := CAST(NULL AS VARCHAR))]))
+        ELSE list_append(stack, struct_pack(kind := 'decided', changes := list_transform(list_filter(items, lambda x: x.id = target OR coalesce(x.key = tkey, false)), lambda x: struct_pack(id := x.id, status := x.status)))) END,
+      error
+    FROM (SELECT r.doc_id, r.k, r.size, r.items, r.stack, c.seq, c.type, c.target, c.a, c.b, r.stack[-1] AS top, list_filter(r.items, lambda x: x.id = c.target)[1].key AS tkey,
+        CASE WHEN c.type IN ('accept', 'dismiss') THEN CASE WHEN len(list_filter(r.items, lambda x: x.id = c.target)) = 0 THEN 'unknown_item' END
+          WHEN c.type = 'add_missed' THEN CASE WHEN c.a IS NULL OR c.b IS NULL THEN 'missing_selection' WHEN NOT (0 <= c.a AND c.a <= c.b AND c.b <= r.size) THEN 'span_offsets_out_of_range' END
+          WHEN c.type = 'undo' THEN CASE WHEN len(r.stack) = 0 THEN 'nothing_to_undo' END ELSE 'unknown_action' END AS error
+      FROM replay r JOIN acts c ON c.doc_id = r.doc_id AND c.k = r.k + 1)),
+  final AS (SELECT doc_id, items FROM replay QUALIFY k = max(k) OVER (PARTITION BY doc_id))"""

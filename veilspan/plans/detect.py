@@ -45,19 +45,22 @@ def detect(documents: DataFrame, known: Sequence[tuple[str, str]] | DataFrame =
         replies = asked(gated(text_windows(docs)), client)
         failed = replies.where("failure is not null").groupBy("doc_id").agg(F.min("failure").alias("failure"))
         found = found.unionByName(_rows(detect_with_model(docs, covered=found, replies=replies)))
-    return Detection(found, ranges, merge(found, ranges), layer_report(docs, found, ranges, names, client is not None, failed))
+    return Detection(found, ranges, merge(found, ranges), layer_report(docs, found, ranges, names, client is not None, failed, analyser))
 
 
-def layer_report(documents: DataFrame, candidates: DataFrame, ranges: DataFrame, names: bool = True, model: bool = False, failed: DataFrame | None = None) -> DataFrame:
+def layer_report(documents: DataFrame, candidates: DataFrame, ranges: DataFrame, names: bool = True, model: bool = False, failed: DataFrame | None = None, analyser=None) -> DataFrame:
     """doc_id, name, status (ok, skipped, error), count, detail: a row for every document and layer.
 
-    Errors inside a lazy plan can't be caught for a layer; the model's calls are, and mark the layer of a document.
+    A layer that was switched off is skipped; the name layer's detail says whether house rules or an analyser ran. Errors inside a lazy plan can't be caught for a layer; the model's calls are, and mark the layer of a document.
     """
     spark = documents.sparkSession
-    fixed = spark.createDataFrame(
-        [("regex", "ok", "structured PII (phone/email/ID)"), ("dictionary", "ok", ""), ("ner", "ok", "names / addresses (Presidio)") if names else ("ner", "error", "unavailable (ModuleNotFoundError); install en_core_web_sm to enable"), ("llm", "ok", "relational/implicit PII") if model else ("llm", "skipped", "disabled (offline/no key) — enable to catch relational PII")],
-        "name string, status string, detail string",
-    )
+    layers = [
+        ("regex", "ok", "structured PII (phone/email/ID)"),
+        ("dictionary", "ok", ""),
+        ("ner", "ok", "names / addresses (rules)" if analyser is None else "names / addresses (analyser)") if names else ("ner", "skipped", "switched off"),
+        ("llm", "ok", "relational/implicit PII") if model else ("llm", "skipped", "disabled (offline/no key)"),
+    ]
+    fixed = spark.createDataFrame(layers, "name string, status string, detail string")
     own = candidates.groupBy("doc_id", F.col("source").alias("name")).agg(F.count("*").alias("count"))
     allowed = ranges.groupBy("doc_id").agg(F.count("*").alias("allowed"))
     every = documents.select("doc_id").crossJoin(F.broadcast(fixed))  # four rows

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle as O
@@ -32,11 +32,6 @@ NOTE = (
     "Post to 27 Riverbank Street, Newtown NSW 2042. Sent by her supervisor, Martin Sorvik, who asked for it. Anna has since agreed.\nChecked against Coastline Mutual, a partner."
 )
 REPLIES = [(1, 0, "Her manager, Bo Li, met Bo Li and Dr Bo.", '```json\n{"entities": [{"text": "Bo Li", "type": "person", "reason": " boss "}, {"text": "Bo Li", "type": "X"}, {"text": "Bo", "type": null, "reason": " "}, {"text": "Al", "type": "ORG"}]}\n```'), (2, 0, "nothing", "not json"), (3, 680, "the doctor Eve", '[{"text": "Eve", "type": "PERSON", "reason": "named"}]'), (3, 0, "Eve", "{}")]
-ACTIONS = [
-    (1, 1, "accept", "m:9-21", None, None, None), (1, 2, "dismiss", "m:9-21", None, None, None), (1, 3, "undo", None, None, None, None), (1, 4, "add_missed", None, 0, 5, "ORG"), (1, 5, "fly", None, None, None, None),
-    (2, 1, "undo", None, None, None, None), (2, 2, "accept", "m:1-2", None, None, None), (2, 3, "add_missed", None, 3, None, None), (2, 4, "add_missed", None, 0, 4, None), (2, 5, "add_missed", None, 0, 4, None), (2, 6, "undo", None, None, None, None),
-]
-REVIEWED = [(1, "Numbers: 0413 552 760 and +61 413 552 760."), (2, "Code CR-1-A here."), (3, "Nothing here.")]
 WORDS = [(1, 0, k, w, c, *key, 10 * k, 5, 8, 4) for k, (w, c, key) in enumerate([("Call", "91", (1, 1, 1)), (" ", "95", (1, 1, 1)), ("0413", "88.5", (1, 1, 1)), ("552", "80", (1, 1, 1)), ("x", "-1", (1, 1, 1)), ("760", "77", (1, 1, 1)), ("now", "n/a", (1, 1, 2)), ("Bye", "60", (1, 1, 2)), ("Page", "50", (2, 1, 1))])]
 
 
@@ -88,14 +83,18 @@ def scan_account_luhn(spark, sf_dir):
     return _family(patterns.accounts, docs(spark, sf_dir))
 
 
-@query(_hits(O.SSN, "CAST(NULL AS VARCHAR)", source=O.values(CASES)))
+#: The documents and the cases that they lack.
+BOTH = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {O.values(CASES)})"
+
+
+@query(_hits(O.SSN, "CAST(NULL AS VARCHAR)", source=BOTH))
 def scan_ssn(spark, sf_dir):
-    return _family(patterns.ssns, rows(spark, CASES))
+    return _family(patterns.ssns, docs(spark, sf_dir).union(rows(spark, CASES)))
 
 
-@query(_hits(O.REFERENCE, "CAST(NULL AS VARCHAR)", "regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')", O.values(CASES)))
+@query(_hits(O.REFERENCE, "CAST(NULL AS VARCHAR)", "regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')", BOTH))
 def scan_reference(spark, sf_dir):
-    return _family(patterns.references, rows(spark, CASES))
+    return _family(patterns.references, docs(spark, sf_dir).union(rows(spark, CASES)))
 
 
 @query(_hits(O.EMAIL, "lower(v)", source=PAGES))
@@ -273,16 +272,18 @@ def queue_by_tier(spark, sf_dir):
     return review.by_tier(docs(spark, sf_dir), _items(spark, sf_dir)).select("doc_id", "tier", F.size("items").alias("items"))
 
 
-@query(f"""{FOUND}, n AS (SELECT doc_id, source AS name, count(*) AS c FROM cand GROUP BY ALL), a AS (SELECT doc_id, count(*) AS c FROM allow GROUP BY doc_id)
-SELECT d.doc_id, l.name, l.status, coalesce(n.c, 0) AS count, CASE WHEN l.name = 'dictionary' THEN 'closed-world entities; ' || coalesce(a.c, 0) || ' allowlisted range(s)' ELSE l.detail END AS detail
-FROM documents d CROSS JOIN (VALUES ('regex', 'ok', 'structured PII (phone/email/ID)'), ('dictionary', 'ok', ''), ('ner', 'ok', 'names / addresses (Presidio)'), ('llm', 'skipped', 'disabled (offline/no key) — enable to catch relational PII')) l(name, status, detail)
-LEFT JOIN n ON n.doc_id = d.doc_id AND n.name = l.name LEFT JOIN a ON a.doc_id = d.doc_id""")
+LAYERS = f"""{FOUND}, n AS (SELECT doc_id, source AS name, count(*) AS c FROM cand GROUP BY ALL), a AS (SELECT doc_id, count(*) AS c FROM allow GROUP BY doc_id),
+layers AS (SELECT d.doc_id, l.name, l.status, coalesce(n.c, 0) AS count, CASE WHEN l.name = 'dictionary' THEN 'closed-world entities; ' || coalesce(a.c, 0) || ' allowlisted range(s)' ELSE l.detail END AS detail
+FROM documents d CROSS JOIN (VALUES ('regex', 'ok', 'structured PII (phone/email/ID)'), ('dictionary', 'ok', ''), ('ner', 'skipped', 'switched off'), ('llm', 'skipped', 'disabled (offline/no key)')) l(name, status, detail)
+LEFT JOIN n ON n.doc_id = d.doc_id AND n.name = l.name LEFT JOIN a ON a.doc_id = d.doc_id)"""
+
+
+@query(f"{LAYERS} SELECT * FROM layers")
 def layer_counts(spark, sf_dir):
-    d = _detected(spark, sf_dir)
-    return layer_report(docs(spark, sf_dir), d.candidates, d.ranges)
+    return _detected(spark, sf_dir).layers
 
 
-@query("SELECT doc_id, CAST(3 AS BIGINT) AS ok, CAST(1 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS error FROM documents")
+@query(f"{LAYERS} SELECT doc_id, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'error') AS error FROM layers GROUP BY doc_id")
 def layer_tally(spark, sf_dir):
     return layer_tallies(layer_counts(spark, sf_dir))
 
@@ -338,30 +339,60 @@ def full_pipeline_note(spark, sf_dir):
     return detect(rows(spark, [(1, NOTE)]), client=Replies({"supervisor": '{"entities": [{"text": "Martin Sorvik", "type": "PERSON"}]}'})).findings
 
 
-def _reviewed(spark):
-    d = rows(spark, REVIEWED)
-    return d, detect(d, names=False).findings, review.action_rows(spark, ACTIONS)
+def _log(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """Actions of all kinds, sound and unsound ones, made of each finding's offsets; the log of every third document starts with an undo."""
+    n, s, e = F.col("n").cast("long"), F.col("start"), F.col("end")
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    added = F.concat(F.lit("manual:"), s, F.lit("-"), e + 2)
+
+    def act(seq, kind, target=text, start=number, end=number):
+        return F.struct(seq.alias("seq"), kind.alias("type"), target.alias("target_id"), start.cast("int").alias("start"), end.cast("int").alias("end"), text.alias("pii_type"))
+
+    made = F.array(
+        act(n * 5, F.when(s % 2 == 0, "accept").otherwise("dismiss"), F.col("id")),
+        act(n * 5 + 1, F.when(e % 3 == 0, "undo")),
+        act(n * 5 + 2, F.when(s % 5 == 0, "add_missed"), text, s, e + 2),
+        act(n * 5 + 3, F.when(s % 7 < 2, "accept").when(s % 7 == 2, "fly").when(s % 7 == 3, "add_missed").when(s % 7 == 4, "undo"), F.when(s % 7 == 0, added).when(s % 7 == 1, "m:0-0")),
+    )
+    own = found.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("start"))).select("doc_id", F.explode(made).alias("a")).select("doc_id", "a.*")
+    first = documents.where("doc_id % 3 = 0").select("doc_id", F.lit(0).cast("long").alias("seq"), F.lit("undo").alias("type"), text.alias("target_id"), number.alias("start"), number.alias("end"), text.alias("pii_type"))
+    return own.where("type is not null").unionByName(first)
+
+
+def _reviewed(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    found = merge.merge(patterns.detect_patterns(d)).persist()
+    return d, found, _log(d, found)
 
 
-@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'm:9-21', 'accepted'), (1, 'm:26-41', 'accepted'), (1, 'manual:0-5', 'accepted'), (2, 'm:5-11', 'pending')) t(doc_id, id, status)""")
+@query(f"{O.REPLAYED} SELECT doc_id, x.id AS id, x.status AS status FROM (SELECT doc_id, unnest(items) AS x FROM final)")
 def action_fold(spark, sf_dir):
-    return review.queue(*_reviewed(spark)).select("doc_id", "id", "status")
+    return review.queue(*_reviewed(spark, sf_dir)).select("doc_id", "id", "status")
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(5 AS BIGINT), 'unknown_action'), (2, 1, 'nothing_to_undo'), (2, 2, 'unknown_item'), (2, 3, 'missing_selection')) t(doc_id, seq, error)")
+@query(f"{O.REPLAYED} SELECT doc_id, seq, error FROM replay WHERE error IS NOT NULL")
 def action_errors(spark, sf_dir):
-    return review.action_errors(*_reviewed(spark))
+    return review.action_errors(*_reviewed(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), '[ORG_1]rs: [PHONE_1] and [PHONE_1].'), (2, 'Code CR-1-A here.'), (3, 'Nothing here.')) t(doc_id, output_text)")
+@query(f"""{O.REPLAYED}, acc AS (SELECT doc_id, x.s AS s, x.e AS e FROM (SELECT doc_id, unnest(items) AS x FROM final) WHERE x.status = 'accepted'),
+  p AS (SELECT doc_id, s, e, lag(e) OVER (PARTITION BY doc_id ORDER BY s, e) AS before FROM acc)
+  SELECT d.doc_id, CASE WHEN max(CAST(p.s < p.before AS INTEGER)) = 1 THEN NULL ELSE
+    coalesce(string_agg(substr(d.text, coalesce(p.before, 0) + 1, p.s - coalesce(p.before, 0)) || '[REDACTED]', '' ORDER BY p.s), '') || substr(d.text, coalesce(max(p.e), 0) + 1) END AS output_text
+  FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY d.doc_id, d.text""")
 def review_preview(spark, sf_dir):
-    d, found, log = _reviewed(spark)
-    return review.preview(d, review.queue(d, found, log), "ANONYMIZE")[0].select("doc_id", "output_text")
+    d, found, log = _reviewed(spark, sf_dir)
+    return review.preview(d, review.queue(d, found, log), "REDACT")[0].select("doc_id", "output_text")
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(5 AS BIGINT)), (1, 4), (2, 6), (2, 5)) t(doc_id, seq)")
+@query(f"{O.REPLAYED} SELECT doc_id, seq FROM acts QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) <= 2")
 def recent_actions(spark, sf_dir):
-    return review.recent_actions(review.action_rows(spark, ACTIONS), 2).select("doc_id", "seq")
+    return review.recent_actions(_reviewed(spark, sf_dir)[2], 2).select("doc_id", "seq")
+
+
+@query(f'{FOUND} SELECT doc_id, s AS "start", CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {O.TIER}, s, e) AS INTEGER) AS place FROM found')
+def ranked_findings(spark, sf_dir):
+    return review.ordered(_detected(spark, sf_dir).findings).select("doc_id", "start", "place")
 
 
 @query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 3, 'SSN', CAST(NULL AS VARCHAR)), (1, 0, 3, 'SSN', 'span_offset_mismatch'), (1, 5, 99, NULL, 'span_offsets_out_of_range'), (7, 0, 0, '', NULL), (1, 4, 2, NULL, 'span_offsets_out_of_range')) t(doc_id, "start", "end", text, error)""")
@@ -370,10 +401,9 @@ def span_check(spark, sf_dir):
     return spans.checked(claims, rows(spark, CASES)).select("doc_id", "start", "end", "text", F.col("error.code").alias("error"))
 
 
-@query(f"""SELECT doc_id, s AS "start", e AS "end", p AS previous_end FROM (SELECT doc_id, s, e, lag(e) OVER (PARTITION BY doc_id ORDER BY s, e) AS p FROM {O.families()}) WHERE s < p""")
+@query(f"""SELECT doc_id, s AS "start", e AS "end", p AS previous_end FROM (SELECT doc_id, s, e, lag(e) OVER (PARTITION BY doc_id ORDER BY s, e) AS p FROM {O.candidates(KNOWN)}) WHERE s < p""")
 def overlapping_spans(spark, sf_dir):
-    found = docs(spark, sf_dir).select("doc_id", F.explode(patterns.pattern_candidates("text")).alias("c")).select("doc_id", "c.start", "c.end")
-    return spans.overlapping(found)
+    return spans.overlapping(_detected(spark, sf_dir).candidates)
 
 
 @query(f"""SELECT x.doc_id, x.id FROM (SELECT doc_id, 'regex:' || s || '-' || (e + s % 2) AS id FROM {O.layer()}) x WHERE NOT EXISTS (SELECT 1 FROM {O.layer()} l WHERE l.doc_id = x.doc_id AND 'regex:' || l.s || '-' || l.e = x.id)""")
@@ -418,7 +448,12 @@ def resolve_occurrences(spark, sf_dir):
     return consistency.resolved_occurrences(rows(spark, CASES), wanted).select("doc_id", "text", "occurrence", "start", "end")
 
 
-@query()
+WORD = r"[\p{L}\p{N}_]{3,}"
+
+
+@query(rf"""SELECT w.doc_id, w.s AS "start", w.e AS "end", w.v AS text FROM {O.hits(WORD)} w
+SEMI JOIN (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(v, '{WORD}'))) AS part FROM {O.layer()}) p ON p.doc_id = w.doc_id AND p.part = lower(w.v)
+WHERE NOT EXISTS (SELECT 1 FROM {O.layer()} l WHERE l.doc_id = w.doc_id AND w.s < l.e AND l.s < w.e)""")
 def leaked_parts(spark, sf_dir):
     d = docs(spark, sf_dir)
     return consistency.leaked_parts(d, patterns.detect_patterns(d))
@@ -430,7 +465,13 @@ def score_against_labels(spark, sf_dir):
     return consistency.scored(detect(rows(spark, [(1, NOTE)])).findings, truth)
 
 
-@query()
+@query(f"""{FOUND}, k AS (SELECT doc_id, s, e, {STATUS} AS status FROM found WHERE {STATUS} <> 'dismissed'),
+g AS (SELECT d.doc_id, d.text, k.s, k.e, k.status, coalesce(lag(k.e) OVER (PARTITION BY d.doc_id ORDER BY k.s), 0) AS before FROM documents d JOIN k ON k.doc_id = d.doc_id),
+last AS (SELECT d.doc_id, d.text, coalesce(max(k.e), 0) AS before FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id, d.text),
+parts AS (SELECT doc_id, s, e, 'span' AS kind, CASE WHEN status = 'accepted' THEN repeat('█', greatest(3, e - s)) ELSE substr(text, s + 1, e - s) END AS shown FROM g
+  UNION ALL SELECT doc_id, before, s, 'text', substr(text, before + 1, s - before) FROM g WHERE before < s
+  UNION ALL SELECT doc_id, before, CAST(length(text) AS INTEGER), 'text', substr(text, before + 1) FROM last WHERE before < length(text))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, e, kind) AS INTEGER) AS ord, s AS "start", e AS "end", kind, shown FROM parts""")
 def render_segments(spark, sf_dir):
     return render.segments(docs(spark, sf_dir), _items(spark, sf_dir), "REDACT")
 
