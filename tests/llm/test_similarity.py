@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from veilspan.llm.ann_multiprobe import nearest
-from veilspan.llm.binary_dedup import Coded, dedup
+from veilspan.llm.binary_dedup import Coded, dedup, undecided
 from veilspan.llm.components import connected_components
 from veilspan.llm.ngram_jaccard import linked, ngram_components, parities, suffix_bound, without_near_copies
 from veilspan.llm.shingles import shingle_sets
@@ -183,6 +183,32 @@ def test_dedup_of_few_rows(spark):
     assert sorted(map(tuple, twice)) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
 
 
+def test_very_large_and_very_small_vectors(spark):
+    kind = "vec_id long, embedding array<double>"
+    got = dedup(spark.createDataFrame([(1, [1e200, 0.0]), (2, [1e200, 0.0]), (3, [1e-200, 1e-201]), (4, [0.0, 5e-324]), (5, [0.0, 1e308])], kind)).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
+    near = nearest(spark.createDataFrame([(20, [1e-200, 0.0]), (3, [1e-200, 1e-200]), (2, [3e-200, 0.0]), (40, [1e200, 1e200])], kind)).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in near) == [(20, 1, 40), (20, 2, 2), (20, 3, 3), (40, 1, 2), (40, 2, 3), (40, 3, 20)]
+
+
+@pytest.mark.parametrize("width", [7, 64, 130])
+def test_codes_rule_out_no_pair_that_links(width):
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(600, width))
+    x[300:] = x[:300] + rng.normal(size=(300, width)) * rng.uniform(0, 0.6, size=(300, 1))
+    c = Coded(x)
+    side = (c.codes(), c.factors, *c.planes())
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    link = y @ y.T >= 0.95
+    np.fill_diagonal(link, False)
+    in_a, in_b = undecided(side, side, width, 0.95, True)
+    assert link.any() and not (link.any(axis=1) & ~in_a).any() and not (link.any(axis=0) & ~in_b).any()
+    if width >= 64:  # of unrelated vectors few are undecided
+        c = Coded(rng.normal(size=(600, width)))
+        side = (c.codes(), c.factors, *c.planes())
+        assert undecided(side, side, width, 0.95, True)[0].mean() < 0.1
+
+
 def test_code_estimates_are_bounded_and_unbiased():
     rng = np.random.default_rng(2)
     c = Coded(rng.normal(size=(1500, 64)))

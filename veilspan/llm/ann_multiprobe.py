@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, tidy
-from .vectors import chunked, joined_parts
+from .vectors import chunked, joined_parts, scaled, unit
 
 CHUNK_ROWS, QUERY_ROWS = 16384, 1024
 TABLES, DIRECTIONS, REACH = 6, 4, 3
@@ -87,14 +87,19 @@ _VALUES = np.array([0.5 * (1 + erf(x / sqrt(2))) for x in _GRID])
 
 
 def as_points(vectors: np.ndarray, largest: float) -> np.ndarray:
-    scaled = vectors / largest
-    rest = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", scaled, scaled)))
-    return np.concatenate([scaled, rest[:, None]], axis=1)
+    own = vectors / largest
+    rest = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", own, own)))
+    return np.concatenate([own, rest[:, None]], axis=1)
 
 
 def as_queries(vectors: np.ndarray) -> np.ndarray:
-    unit = vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
-    return np.concatenate([unit, np.zeros((len(unit), 1))], axis=1)
+    return np.concatenate([unit(vectors), np.zeros((len(vectors), 1))], axis=1)
+
+
+def largest_norm(vectors: np.ndarray) -> float:
+    own, exponent = scaled(vectors)
+    with np.errstate(over="ignore"):
+        return float(np.minimum(np.ldexp(np.sqrt(np.einsum("ij,ij->i", own, own)), exponent), np.finfo(float).max).max())
 
 
 def search(hashes: Hashes, vectors: np.ndarray, keys: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_keys: np.ndarray, largest: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -122,10 +127,9 @@ def search(hashes: Hashes, vectors: np.ndarray, keys: np.ndarray, ids: np.ndarra
     visit(np.arange(len(queries)), np.full(len(queries), hashes.distance))
     met &= other
     far = np.full(len(queries), np.inf)
-    products = queries @ vectors.T
-    lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries)) * largest
+    products = asked @ points.T
     for q in np.flatnonzero(met.sum(axis=1) >= k):
-        product = products[q, met[q]] / lengths[q]
+        product = products[q, met[q]]
         far[q] = np.sqrt(max(1e-6, 2 - 2 * np.partition(product, len(product) - k)[len(product) - k]))
     met[np.isinf(far)] = True
     again = np.flatnonzero(np.isfinite(far) & (far > hashes.distance))
@@ -135,10 +139,10 @@ def search(hashes: Hashes, vectors: np.ndarray, keys: np.ndarray, ids: np.ndarra
     rows, columns, scores = [], [], []
     for q in range(len(queries)):
         candidates = np.flatnonzero(met[q])
-        # The matrix product rounds otherwise: it leaves those that may be among the best, which are scored anew.
+        # The product of directions rounds otherwise: it leaves those that may be among the best, which are scored anew.
         rough = products[q, candidates]
         if len(rough) > k:
-            candidates = candidates[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9 * lengths[q]]
+            candidates = candidates[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
         score = np.einsum("ij,j->i", vectors[candidates], queries[q])
         if len(score) > k:
             least = np.partition(score, len(score) - k)[len(score) - k]
@@ -187,9 +191,9 @@ def nearest(embeddings: DataFrame, query_filter: str = "vec_id % 20 = 0", k: int
         for batch in batches:
             for raw, keys in zip(batch.column(0), batch.column(1), strict=True):
                 x = np.frombuffer(raw.as_buffer(), dtype="<f8").reshape(len(keys.as_buffer()) // 8, -1)
-                yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))])], names=["norm"])
+                yield pa.RecordBatch.from_arrays([pa.array([largest_norm(x)])], names=["norm"])
 
-    largest = base.select("vectors", "keys").mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0]
+    largest = base.select("vectors", "keys").mapInArrow(tidy(norms), "norm double").agg(F.max("norm")).first()[0]
     layout = "query_id long, query_key long, vec_id long, score double"
     if largest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -213,7 +217,7 @@ def nearest(embeddings: DataFrame, query_filter: str = "vec_id % 20 = 0", k: int
                 x = np.frombuffer(vectors.as_buffer(), dtype="<f8").reshape(len(ids_), -1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), c.as_py(), dtype=np.int32)), pa.array(np.frombuffer(keys.as_buffer(), dtype="<i8")), pa.array(ids_), pa.array([v.tobytes() for v in x], pa.binary())], names=["chunk", "key", "id", "vector"])
 
-    single = base.mapInArrow(asked_only, "chunk int, key long, id long, vector binary")
+    single = base.mapInArrow(tidy(asked_only), "chunk int, key long, id long, vector binary")
     queries = single.join(query_rule.withColumnRenamed("vec_id", "id"), "id", "left_semi").withColumn("lot", F.pmod(F.xxhash64("key"), F.lit(lots)).cast("int"))
     queries = stored(queries.select("lot", "key", "id", "vector"), "queries", "lz4")
     left = base.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).select("chunk", "lot", "keys", "ids", "vectors")

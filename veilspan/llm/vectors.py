@@ -10,6 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 
 def usable(batch: pa.RecordBatch, vec_at: int) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers, matrix) of the vectors that are neither null nor zero and hold only finite components.
@@ -31,6 +33,21 @@ def usable(batch: pa.RecordBatch, vec_at: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows, dtype=np.int64), np.array(kept).reshape(len(kept), width or 0)
 
 
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows times powers of two that bring their largest components near 1, and the exponents taken out.
+
+    Squares of what remains neither over- nor underflow, and no digit is lost.
+    """
+    exponent = np.frexp(np.abs(vectors).max(axis=1, initial=0.0))[1]
+    return np.ldexp(vectors, -exponent[:, None]), exponent
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """The rows' directions."""
+    own, _ = scaled(vectors)
+    return own / np.sqrt(np.einsum("ij,ij->i", own, own))[:, None]
+
+
 def chunked(embeddings: DataFrame, chunks: int, where: str | None = None) -> DataFrame:
     """A row for each part of a chunk: chunk, keys, ids, vectors (as bytes).
 
@@ -51,7 +68,7 @@ def chunked(embeddings: DataFrame, chunks: int, where: str | None = None) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([keys[own].tobytes()], pa.binary()), pa.array([ids[own].astype("<i8").tobytes()], pa.binary()), pa.array([vectors[own].astype("<f8").tobytes()], pa.binary())], names=["chunk", "keys", "ids", "vectors"])
 
     source = embeddings if where is None else embeddings.where(where)
-    return source.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "chunk int, keys binary, ids binary, vectors binary")
+    return source.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(tidy(run), "chunk int, keys binary, ids binary, vectors binary")
 
 
 def joined_parts(parts: list[tuple[bytes, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
