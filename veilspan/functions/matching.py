@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 MATCH = "struct<start:int,end:int,text:string>"
 #: Results of a fold are appended to blocks of so many, as appending to one long array copies it each time.
 BLOCK = 256
+#: Steps of a fold that gathers matches.
+STEPS = 64
 
 
 def none(kind: str) -> Column:
@@ -48,12 +50,36 @@ def all_matches(text: Column | str, pattern: str) -> Column:
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), appended(state["out"], F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text"))).alias("out"))
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
 
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))
     pairs = F.transform(pairs, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit")))
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), buffer(MATCH).alias("out")), step, lambda s: unrolled(s["out"]))
-    return F.when(text.rlike(pattern), folded).otherwise(none(MATCH))
+    start_state = F.struct(F.lit(0).alias("at"), none(MATCH).alias("out"))
+    # Spark copies a fold's state at each step, so blocks are folded one by one and then moved by the lengths before them.
+    blocks = F.transform(in_blocks(pairs), lambda x: F.aggregate(x, start_state, step))
+    shift = lambda m, by: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["text"].alias("text"))
+
+    def moved(done: Column) -> Column:
+        both = F.arrays_zip(done.alias("block"), before_each(F.transform(done, lambda x: x["at"])).alias("by"))
+        return F.flatten(F.transform(both, lambda x: F.transform(x["block"]["out"], lambda m: shift(m, x["by"]))))
+
+    whole = F.element_at(F.transform(F.array(blocks), moved), 1)  # names the blocks, so they are folded once
+    return F.when(text.rlike(pattern), whole).otherwise(none(MATCH))
+
+
+def in_blocks(items: Column) -> Column:
+    """An array in parts of up to STEPS. The array is named first, as a lambda's body is evaluated for each part."""
+
+    def parts(own: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(own), F.lit(1)) - 1) / STEPS).cast("int")), lambda k: F.slice(own, k * STEPS + 1, F.lit(STEPS)))
+
+    return F.element_at(F.transform(F.array(items), parts), 1)
+
+
+def before_each(sizes: Column) -> Column:
+    """For each number of an array the sum of those before it."""
+    start = F.struct(F.lit(0).alias("at"), none("int").alias("out"))
+    return F.aggregate(sizes, start, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
 
 
 def literal(term: str) -> str:
