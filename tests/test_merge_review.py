@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from veilspan.functions import scalars
 from veilspan.functions.contract import SpanError, error_envelope
 from veilspan.operators import consistency, merge, render, review, spans
 from veilspan.plans.service import Service, as_json
@@ -217,3 +219,12 @@ def test_second_looks(spark):
     assert tuple(consistency.scored(marked, truth).first()) == ("ORG", 4, 2, 0.25, 0.5)
     mixed = spark.createDataFrame([(1, 0, 5, "ORG"), (1, 3, 9, "PERSON"), (1, 9, 12, "PERSON")], "doc_id long, start int, end int, type string")
     assert [(r["a_type"], r["b_type"]) for r in consistency.conflicts(mixed).collect()] == [("ORG", "PERSON")]
+
+
+def test_highlight_and_selection(spark):
+    rows = spark.createDataFrame([(1, "Ask Bo or Bo.", "Bo"), (2, "Ask", "Bo"), (3, "", "")], "k int, sentence string, value string")
+    got = rows.orderBy("k").select(scalars.highlight("sentence", "value").alias("h")).select("h.*").collect()
+    assert [tuple(r) for r in got] == [("Ask ", "Bo", " or Bo."), ("… ", "Bo", " …"), ("", "", "")]
+    texts = spark.createDataFrame([(1, "a\U0001f600b\U0001f601 c", 5, 1), (2, "a\U0001f600b", 2, 9), (3, "ab  c", 2, 4), (4, "ab", 1, 1), (5, "\uffffab", 0, 2), (6, None, 0, 1)], "k int, text string, a int, b int")
+    found = texts.select("k", scalars.selected_range("text", scalars.from_utf16("text", F.col("a")), scalars.from_utf16("text", F.col("b"))).alias("r")).orderBy("k").collect()
+    assert [r["r"] and tuple(r["r"]) for r in found] == [(1, 4), (2, 3), None, None, (0, 2), None]

@@ -128,3 +128,27 @@ def places(linked_count: Column | str) -> Column:
 def capped(score: Column | str, ceiling: float) -> Column:
     """A score cut at the ceiling and rounded to two digits, half to even."""
     return F.bround(F.least(_c(score), F.lit(ceiling)), 2)
+
+
+def highlight(sentence: Column | str, value: Column | str) -> Column:
+    """The sentence in three parts, the middle one being the value at its first place; between dots where it isn't there."""
+    whole, v = _c(sentence), _c(value)
+    at = F.position(v, whole)
+    return F.struct(
+        F.when(at > 0, whole.substr(F.lit(1), at - 1)).otherwise("… ").alias("before"),
+        v.alias("marked"),
+        F.when(at > 0, whole.substr(at + F.length(v), F.length(whole))).otherwise(" …").alias("after"),
+    )
+
+
+def from_utf16(text: Column | str, units: Column) -> Column:
+    """How many code points begin within the first ``units`` UTF-16 units, in which screens count."""
+    filler = "\uffff"
+    wide = F.regexp_replace(F.replace(_c(text), F.lit(filler), F.lit("x")), r"([\x{10000}-\x{10FFFF}])", f"$1{filler}")
+    return F.length(F.replace(wide.substr(F.lit(1), units), F.lit(filler), F.lit("")))
+
+
+def selected_range(text: Column | str, anchor: Column, focus: Column) -> Column:
+    """The range (start, end) between two places in either order; null for one that holds nothing but white space."""
+    start, end = F.least(anchor, focus), F.greatest(anchor, focus)
+    return F.when((start < end) & piece(text, start, end).rlike(r"(?U)\S"), F.struct(start.alias("start"), end.alias("end")))

@@ -122,7 +122,7 @@ def detect_with_model(documents: DataFrame, client=None, covered: DataFrame | No
 
 def settle_disagreements(documents: DataFrame, disputed: DataFrame, client) -> DataFrame:
     """Spans among ``disputed`` (doc_id, start, end) that the model calls sensitive, at their offsets."""
-    rows = disputed.join(documents.select("doc_id", "text"), "doc_id").select("doc_id", "start", "end", piece("text", F.col("start"), F.col("end")).alias("value"), model_sentence("text", F.col("start"), F.col("end")).alias("sentence"))
+    rows = disputed.select("doc_id", "start", "end").join(documents.select("doc_id", "text"), "doc_id").select("doc_id", "start", "end", piece("text", F.col("start"), F.col("end")).alias("value"), model_sentence("text", F.col("start"), F.col("end")).alias("sentence"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

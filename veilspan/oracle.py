@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 # The patterns in RE2's dialect.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\+?\d[\d\s().\-]{7,}\d"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
 ACCOUNT = r"\b\d[\d \-]{11,21}\d\b"
 REFERENCE = r"\b[A-Z0-9]+(?:-[A-Z0-9]+)+\b"
+STREET_TYPES = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl|Boulevard|Blvd|Way|Terrace|Tce|Crescent|Cres"
+NAME = r"[A-Z][a-zà-öø-ÿ]+"
+#: The name rules: type, reason, confidence, what stands before a match, the match, what stands after it.
+NAME_RULES = [
+    ("ADDRESS", "matched a full street address", 0.8, "", rf"\b\d{{1,5}}\s+[A-Z][A-Za-z]+(?:\s+[A-Za-z]+)*?\s+(?:{STREET_TYPES})\b[^\n]*?\b\d{{4}}\b", ""),
+    ("PERSON", "took this for a person name", 0.85, r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.? ", rf"{NAME}(?:[ -]{NAME}){{0,3}}", ""),
+    ("PERSON", "took this for a person name", 0.75, r"\b(?:supervisor|manager|colleague|partner|spouse|wife|husband|mother|father|son|daughter|brother|sister|friend|landlord|tenant|assistant|director|officer|doctor|nurse), ", f"{NAME} {NAME}", ""),
+    ("PERSON", "took this for a person name", 0.6, r"[.!?\n] ", NAME, " (?:has|said|asked|called|confirmed|told|wrote) "),
+    ("ORG", "took this for an organisation", 0.7, "", r"\b[A-Z][a-z]+(?: [A-Z][a-z]+){0,3} (?:Mutual|Ltd|Limited|Inc|Pty|Bank|Group|Court|University)\b", ""),
+]
 
 
 def text_literal(value: str | None) -> str:
@@ -25,6 +37,8 @@ def hits(pattern: str, source: str = "documents") -> str:
 
 def terms(pairs: list[tuple[str, str]], source: str = "documents") -> str:
     """Every whole-word match of the terms: doc_id, ord, type, s, e, v."""
+    if not pairs:
+        return f"(SELECT doc_id, 0 AS ord, '' AS type, 0 AS s, 0 AS e, '' AS v FROM {source} WHERE false)"
     rows = ", ".join(f"({k}, {text_literal(t.lower())}, {text_literal(kind)})" for k, (t, kind) in enumerate(pairs))
     return f"""(SELECT doc_id, ord, type, CAST(pos AS INTEGER) AS s, CAST(pos + length(term) AS INTEGER) AS e, substr(text, CAST(pos AS BIGINT) + 1, length(term)) AS v FROM (
       SELECT doc_id, text, ord, type, term, list_sum(list_transform(g[1:k], lambda x: length(x))) + (k - 1) * length(term) AS pos
@@ -65,16 +79,30 @@ def canonical(digits: str) -> str:
     return f"(CASE WHEN starts_with({digits}, '0') THEN substr({digits}, 2) WHEN starts_with({digits}, '61') THEN substr({digits}, 3) ELSE {digits} END)"
 
 
-def candidates(known: list[tuple[str, str]]) -> str:
-    """Pattern and dictionary candidates: doc_id, arrival, s, e, v, type, confidence, source, reason, norm."""
-    return f"""(SELECT doc_id, CAST(ord AS BIGINT) AS arrival, s, e, v, type, 0.99::DOUBLE AS confidence, 'regex' AS source, reason, norm FROM {layer()}
-    UNION ALL SELECT doc_id, 1099511627776 + CAST(s AS BIGINT) * 65536 + ord, s, e, v, type, 0.98::DOUBLE, 'dictionary', 'exact match against the closed-world ' || type || ' list', NULL FROM {terms(known)})"""
+def names_layer(source: str = "documents", allowed: Sequence[str] = ()) -> str:
+    """The name rules' spans after greedy resolution, without those that overlap an allowed term: doc_id, s, e, v, type, reason, confidence, ord."""
+    found = " UNION ALL ".join(
+        f"""SELECT doc_id, CAST(s + a AS INTEGER) AS s, CAST(e - b AS INTEGER) AS e, substr(v, a + 1, length(v) - a - b) AS v, '{kind}' AS type, 'name rules {reason}' AS reason, {confidence}::DOUBLE AS confidence
+        FROM (SELECT *, length(regexp_extract(v, {text_literal(f"^(?:{lead})")})) AS a, length(regexp_extract(v, {text_literal(f"(?:{trail})$")})) AS b FROM {hits(f"{lead}(?:{pattern}){trail}", source)})"""
+        for kind, reason, confidence, lead, pattern, trail in NAME_RULES
+    )
+    return f"""(SELECT doc_id, x.s AS s, x.e AS e, x.v AS v, x.type AS type, x.reason AS reason, x.confidence AS confidence, row_number() OVER (PARTITION BY doc_id ORDER BY x.s) - 1 AS ord FROM (
+      SELECT doc_id, unnest(list_reduce(list_transform(l, lambda y: [y]), lambda kept, y: CASE WHEN len(list_filter(kept, lambda k: y[1].s < k.e AND k.s < y[1].e)) > 0 THEN kept ELSE list_concat(kept, y) END)) AS x FROM (
+        SELECT doc_id, list_sort(list({{'n': s - e, 'c': -confidence, 's': s, 'e': e, 'v': v, 'type': type, 'reason': reason, 'confidence': confidence}})) AS l FROM ({found}) f
+        WHERE NOT EXISTS (SELECT 1 FROM {terms([(a, "") for a in allowed], source)} r WHERE r.doc_id = f.doc_id AND f.s < r.e AND r.s < f.e) GROUP BY doc_id)))"""
+
+
+def candidates(known: list[tuple[str, str]], source: str = "documents", names: str | None = None) -> str:
+    """Pattern and dictionary candidates, and those of ``names`` (a names_layer): doc_id, arrival, s, e, v, type, confidence, source, reason, norm."""
+    named = "" if names is None else f" UNION ALL SELECT doc_id, 2199023255552 + CAST(ord AS BIGINT), s, e, v, type, confidence, 'ner', reason, NULL FROM {names}"
+    return f"""(SELECT doc_id, CAST(ord AS BIGINT) AS arrival, s, e, v, type, 0.99::DOUBLE AS confidence, 'regex' AS source, reason, norm FROM {layer(source)}
+    UNION ALL SELECT doc_id, 1099511627776 + CAST(s AS BIGINT) * 65536 + ord, s, e, v, type, 0.98::DOUBLE, 'dictionary', 'exact match against the closed-world ' || type || ' list', NULL FROM {terms(known, source)}{named})"""
 
 
-def findings(known: list[tuple[str, str]], allowed: list[str]) -> str:
+def findings(known: list[tuple[str, str]], allowed: Sequence[str], source: str = "documents", names: bool = False) -> str:
     """WITH clauses up to ``found``: the merged findings."""
     linkable = f"norm IS NOT NULL AND norm <> ''"
-    return f"""WITH cand AS {candidates(known)}, allow AS {terms([(a, '') for a in allowed])},
+    return f"""WITH cand AS {candidates(known, source, names_layer(source, allowed) if names else None)}, allow AS {terms([(a, '') for a in allowed], source)},
     kept AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM allow a WHERE a.doc_id = c.doc_id AND c.s < a.e AND a.s < c.e)),
     marked AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY doc_id ORDER BY s, e, arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM kept),
     isl AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e, arrival ROWS UNBOUNDED PRECEDING) AS island FROM marked),
@@ -93,6 +121,10 @@ def sentence(text: str, s: str, e: str) -> str:
     return f"regexp_replace(regexp_extract(substr({text}, 1, {s}), '[^.!?\\n]*\\z') || substr({text}, {s} + 1, {e} - {s}) || regexp_extract(substr({text}, {e} + 1), '\\A[^.!?\\n]*'), '^\\s+|\\s+\\z', '', 'g')"
 
 
+def model_sentence(text: str, s: str, e: str) -> str:
+    return f"trim(regexp_extract(substr({text}, 1, {s}), '[^.\\n]*\\z') || substr({text}, {s} + 1, {e} - {s}) || regexp_extract(substr({text}, {e} + 1), '\\A[^.\\n]*[.\\n]?'), ' ' || chr(10))"
+
+
 #: WITH clauses up to ``replay`` and ``final``: the review log of the registered queries, replayed one action a step with
 #: a stack of what each changed. Items: id, s, e, key (what links them), status.
 REPLAYED = f"""WITH RECURSIVE own AS MATERIALIZED (SELECT doc_id, s, e, 'm:' || s || '-' || e AS id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS n,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .functions import scalars
-from .functions.contract import SpanError
+from .functions.contract import DEFAULT_ALLOWLIST, SpanError
 from .operators import consistency, dictionary, merge, model_layer, names, patterns, raster, render, review, spans
 from .plans.detect import detect, layer_report, layer_tallies
 from .sources.models import Replies
@@ -193,11 +193,15 @@ def _accepted(spark, sf_dir):
     return patterns.detect_patterns(docs(spark, sf_dir))
 
 
-NUMBERED = f"""WITH l AS (SELECT *, type || chr(1) || CASE WHEN type = 'PHONE' AND norm <> '' THEN {O.canonical('norm')} WHEN norm <> '' THEN norm ELSE lower(v) END AS identity FROM {O.layer()}),
+def _numbered(where: str = "true") -> str:
+    return f"""WITH l AS (SELECT *, type || chr(1) || CASE WHEN type = 'PHONE' AND norm <> '' THEN {O.canonical('norm')} WHEN norm <> '' THEN norm ELSE lower(v) END AS identity FROM {O.layer()} WHERE {where}),
   f AS (SELECT *, min(s) OVER (PARTITION BY doc_id, identity) AS first FROM l),
   t AS (SELECT *, '[' || type || '_' || dense_rank() OVER (PARTITION BY doc_id, type ORDER BY first, identity) || ']' AS token FROM f)"""
 
 
+NUMBERED = _numbered()
+
+
 @query(f'{NUMBERED} SELECT doc_id, s AS "start", token FROM t')
 def token_numbering(spark, sf_dir):
     return render.tokens(_accepted(spark, sf_dir), "ANONYMIZE").select("doc_id", "start", "token")
@@ -208,8 +212,8 @@ def legend(spark, sf_dir):
     return render.legend(_accepted(spark, sf_dir), "ANONYMIZE")
 
 
-def _text_sql(token: str) -> str:
-    return f"""{NUMBERED}, p AS (SELECT doc_id, s, e, {token} AS token, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s, e), 0) AS before FROM t)
+def _text_sql(token: str, where: str = "true") -> str:
+    return f"""{_numbered(where)}, p AS (SELECT doc_id, s, e, {token} AS token, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s, e), 0) AS before FROM t)
     SELECT d.doc_id, coalesce(string_agg(substr(d.text, p.before + 1, p.s - p.before) || p.token, '' ORDER BY p.s), '') || substr(d.text, coalesce(max(p.e), 0) + 1) AS output_text
     FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY d.doc_id, d.text"""
 
@@ -229,6 +233,16 @@ def blackout_text(spark, sf_dir):
     return render.rendered(docs(spark, sf_dir), _accepted(spark, sf_dir), "REDACT", "blackout").select("doc_id", "output_text")
 
 
+@query(_text_sql("token", "s % 2 = 0"))
+def session_export(spark, sf_dir):
+    """Texts with those of the session's spans taken out that were handed in by id."""
+    own = _accepted(spark, sf_dir)
+    submitted = own.where("start % 2 = 0").select("doc_id", F.col("start").alias("ord"), "id")
+    chosen = spans.selected(submitted, own)
+    spans.require_disjoint(chosen)
+    return render.rendered(docs(spark, sf_dir), chosen, "ANONYMIZE").select("doc_id", "output_text")
+
+
 @query(r"SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED]', 'g') AS output_text FROM documents")
 def redact_email(spark, sf_dir):
     d = docs(spark, sf_dir)
@@ -317,26 +331,72 @@ def llm_reanchor(spark, sf_dir):
     return model_layer.model_hits(_replies(spark)).select("doc_id", "start", "end", "text", "type", "reason")
 
 
-@query()
+ONE_NOTE = O.values([(1, NOTE)])
+#: A claim for the model layer that the name layer also makes.
+NAMED = Replies({"supervisor": '{"entities": [{"text": "Martin Sorvik", "type": "PERSON", "reason": "named by role"}]}'})
+CANDIDATE = """id, s AS "start", e AS "end", v AS text, type, confidence, source, reason, CAST(NULL AS VARCHAR) AS normalized_value"""
+
+
+@query(f"""SELECT doc_id, 3298534883328 + s * 65536 + e - s AS arrival, 'llm:' || s || '-' || e AS {CANDIDATE} FROM (
+  SELECT doc_id, CAST(strpos(text, v) - 1 AS INTEGER) AS s, CAST(strpos(text, v) - 1 + length(v) AS INTEGER) AS e, v, 'PERSON' AS type, 0.55::DOUBLE AS confidence, 'llm' AS source, 'named by role' AS reason FROM (SELECT *, 'Martin Sorvik' AS v FROM {ONE_NOTE}))""")
 def llm_layer(spark, sf_dir):
-    client = Replies({"supervisor": '{"entities": [{"text": "Martin Sorvik", "type": "PERSON", "reason": "named by role"}]}'})
-    return model_layer.detect_with_model(rows(spark, [(1, NOTE)]), client)
+    return model_layer.detect_with_model(rows(spark, [(1, NOTE)]), NAMED)
 
 
-@query()
+def _names_sql(source: str, allowed=()) -> str:
+    return f"SELECT doc_id, 2199023255552 + CAST(ord AS BIGINT) AS arrival, 'ner:' || s || '-' || e AS {CANDIDATE} FROM (SELECT *, 'ner' AS source FROM {O.names_layer(source, allowed)})"
+
+
+@query(_names_sql(ONE_NOTE, DEFAULT_ALLOWLIST))
 def ner_layer(spark, sf_dir):
     d = rows(spark, [(1, NOTE)])
     return names.detect_names(d, dictionary.allow_ranges(d))
 
 
-@query()
+#: The documents, and a note as they hold no names.
+WITH_NOTE = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {O.values([(-1, NOTE)])})"
+
+
+@query(_names_sql(WITH_NOTE))
 def ner_layer_corpus(spark, sf_dir):
-    return names.detect_names(docs(spark, sf_dir))
+    return names.detect_names(docs(spark, sf_dir).union(rows(spark, [(-1, NOTE)])))
+
 
+NOTE_FOUND = O.findings([], DEFAULT_ALLOWLIST, ONE_NOTE, names=True)
 
-@query()
+
+@query(f"""{NOTE_FOUND} SELECT doc_id, 'm:' || s || '-' || e AS id, s AS "start", e AS "end", v AS text, type, confidence, sources, reason, norm AS normalized_value, CAST({O.TIER} AS INTEGER) AS tier, CAST(links AS INTEGER) AS linked_count FROM found""")
 def full_pipeline_note(spark, sf_dir):
-    return detect(rows(spark, [(1, NOTE)]), client=Replies({"supervisor": '{"entities": [{"text": "Martin Sorvik", "type": "PERSON"}]}'})).findings
+    found = detect(rows(spark, [(1, NOTE)]), client=NAMED).findings
+    return found.withColumn("linked_count", F.size("linked")).drop("linked")
+
+
+@query(f"""SELECT l.doc_id, 'llm:' || s || '-' || e AS id, s AS "start", e AS "end", v AS text, 'EMAIL' AS type, 0.55::DOUBLE AS confidence, 'llm' AS source, 'address' AS reason
+FROM {O.layer()} l JOIN documents d ON d.doc_id = l.doc_id WHERE contains(v, '@') OR contains({O.model_sentence('d.text', 'l.s', 'l.e')}, '@')""")
+def settled_disagreements(spark, sf_dir):
+    client = Replies({"@": '{"is_pii": true, "type": "email", "reason": " address "}'}, '{"is_pii": false}')
+    return model_layer.settle_disagreements(docs(spark, sf_dir), patterns.detect_patterns(docs(spark, sf_dir)), client)
+
+
+@query(f"""SELECT doc_id, s AS "start", CASE WHEN p > 0 THEN substr(sentence, 1, p - 1) ELSE '… ' END AS before, v AS marked, CASE WHEN p > 0 THEN substr(sentence, p + length(v)) ELSE ' …' END AS after
+FROM (SELECT *, strpos(sentence, v) AS p FROM (SELECT l.*, {O.sentence('d.text', 'l.s', 'l.e')} AS sentence FROM {O.layer()} l JOIN documents d ON d.doc_id = l.doc_id))""")
+def highlighted_sentences(spark, sf_dir):
+    found = patterns.detect_patterns(docs(spark, sf_dir)).select("doc_id", "start", "end", F.col("text").alias("value")).join(docs(spark, sf_dir), "doc_id")
+    return found.select("doc_id", "start", scalars.highlight(scalars.sentence("text", F.col("start"), F.col("end")), "value").alias("h")).select("doc_id", "start", "h.*")
+
+
+def _points(units: str) -> str:
+    """Code points that begin within so many UTF-16 units, of which the queries use fewer than 200."""
+    return rf"len(list_filter(range(0, least(length(text), 200)), lambda i: i + length(regexp_replace(substr(text, 1, i), '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) < {units}))"
+
+
+@query(rf"""SELECT doc_id, least(a, b) AS "start", greatest(a, b) AS "end" FROM (SELECT doc_id, text, CAST({_points('doc_id * 7 % 90')} AS INTEGER) AS a, CAST({_points('doc_id * 13 % 110')} AS INTEGER) AS b FROM {BOTH})
+WHERE a <> b AND regexp_matches(substr(text, least(a, b) + 1, abs(a - b)), '\S')""")
+def selected_ranges(spark, sf_dir):
+    """Selections made of each document's id, in UTF-16 units as screens give them."""
+    both = docs(spark, sf_dir).union(rows(spark, CASES))
+    anchor, focus = scalars.from_utf16("text", (F.col("doc_id") * 7 % 90).cast("int")), scalars.from_utf16("text", (F.col("doc_id") * 13 % 110).cast("int"))
+    return both.select("doc_id", scalars.selected_range("text", anchor, focus).alias("r")).where("r is not null").select("doc_id", "r.start", "r.end")
 
 
 def _log(documents: DataFrame, found: DataFrame) -> DataFrame:
@@ -459,9 +519,15 @@ def leaked_parts(spark, sf_dir):
     return consistency.leaked_parts(d, patterns.detect_patterns(d))
 
 
-@query()
+TRUTH = [(1, "PERSON", NOTE.index("Anna Hartwell"), NOTE.index("Anna Hartwell") + 13), (1, "PERSON", NOTE.index("Martin"), NOTE.index("Martin") + 13), (1, "PERSON", NOTE.index("Anna has"), NOTE.index("Anna has") + 4)] + [(1, kind, NOTE.index(v), NOTE.index(v) + len(v)) for kind, v in (("PHONE", "0413 555 760"), ("PHONE", "+61 413 555 760"), ("EMAIL", "anna.h@mail.example.org"), ("ADDRESS", "27 Riverbank Street, Newtown NSW 2042"), ("ID_NUMBER", "CR-10442-AC"), ("OTHER", "Claimant"))]
+
+
+@query(f"""{NOTE_FOUND}, truth(doc_id, type, s, e) AS (VALUES {', '.join(str(r) for r in TRUTH)}),
+p AS (SELECT type, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM truth t WHERE t.doc_id = f.doc_id AND t.type = f.type AND t.s < f.e AND f.s < t.e)) AS r FROM found f GROUP BY type),
+t AS (SELECT type, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM found f WHERE t.doc_id = f.doc_id AND t.type = f.type AND t.s < f.e AND f.s < t.e)) AS r FROM truth t GROUP BY type)
+SELECT type, coalesce(p.n, 0) AS predicted, coalesce(t.n, 0) AS "true", p.r / p.n AS precision, t.r / t.n AS recall FROM p FULL JOIN t USING (type)""")
 def score_against_labels(spark, sf_dir):
-    truth = spark.createDataFrame([(1, "PERSON", 14, 27), (1, "PHONE", 72, 84), (1, "PHONE", 92, 107)], "doc_id long, type string, start int, end int")
+    truth = spark.createDataFrame(TRUTH, "doc_id long, type string, start int, end int")
     return consistency.scored(detect(rows(spark, [(1, NOTE)])).findings, truth)
 
 
