@@ -47,11 +47,24 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows sent to a Python task at once, in sessions that set no bound of their own.
+BATCH_BYTES = 4 << 20
+
+
+def _bound_batches() -> None:
+    """Sets the session's bound on the bytes of a batch, unless it has one: 10,000 rows of any length aren't bounded,
+    and each task holds several copies of a batch, some of them outside the heap."""
+    spark, name = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None and spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def tidy(run: Callable) -> Callable:
-    """A task function that gives its freed memory back at the end.
+    """A task function that gives its freed memory back at the end; its batches are bounded in bytes.
 
     Python workers are kept for later tasks, so what their allocators hold would stand beside all later stages.
     """
+    _bound_batches()
 
     @wraps(run)
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,8 @@ DIGIT = re.compile("[0-9]")
 TERM = re.compile(r"[^\W_](?:[^\W_]|['-](?=[^\W_]))*")
 #: A term of more characters is named by a digest in the statistics.
 LONGEST_TERM = 64
+#: A task passes its counts on when it holds so many terms.
+HELD_TERMS = 100_000
 #: Disclosing terms are broadcast up to so many, of so many characters together, and joined beyond.
 BROADCAST_TERMS, BROADCAST_CHARS = 200_000, 4_000_000
 
@@ -169,7 +171,7 @@ def scan(documents: DataFrame, window: int) -> DataFrame:
                     rows["entities"].append(list({entity(k, text[a:b]) for k, a, b in spans}))
                 none = [None] * len(texts)
                 yield pa.RecordBatch.from_pydict({"doc_key": part.column(0), "doc_id": part.column(1), **rows, "term": none, "n": none}, schema=layout)
-                if len(counts) > 300_000:
+                if len(counts) > HELD_TERMS:
                     yield counted()
         yield counted()
 
