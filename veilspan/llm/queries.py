@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_multiprobe, binary_dedup, bpe_matrix, ngram_jaccard, packing, pii_terms, ppm, token_counts, token_files, toxicity
+from . import ann_multiprobe, binary_dedup, bpe_matrix, divergence, filter_audit, ngram_jaccard, packing, pii_terms, ppm, sharding, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -66,6 +66,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assignments(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multiprobe": op1_multiprobe,
     "op2_token_files": op2_token_files,
@@ -77,9 +89,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_binary_dedup": op8_binary_dedup,
     "op9_pii_terms": op9_pii_terms,
     "op10_token_counts": op10_token_counts,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_divergence": op12_divergence,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_jaccard": ngram_jaccard.ORACLE,
     "op8_binary_dedup": binary_dedup.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op12_divergence": divergence.ORACLE,
+    "op13_sharding": sharding.ORACLE,
 }
