@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.matching import all_matches, literal_places
-from ..functions.scalars import link_key, overlaps, piece
+from ..functions.scalars import link_key, piece
+from .intervals import apart, pairs, touched
 
 #: What a second look takes for a network address, a link and a case number.
 EXTRA_FORMATS = {"IP": r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", "URL": r"https?://[^\s<>\"']+", "POLICY": r"\b(?:[Pp]olicy|[Cc]ase|[Cc]laim) (?:[Nn]o\.? |[Nn]umber |#)?[A-Z0-9][A-Z0-9-]{3,30}\b"}
@@ -22,8 +23,7 @@ def resolved_occurrences(documents: DataFrame, suggestions: DataFrame) -> DataFr
 
 def visible(spans: DataFrame, hidden: DataFrame) -> DataFrame:
     """Spans that overlap none of the hidden ones."""
-    s, h = spans.alias("s"), hidden.select("doc_id", "start", "end").alias("h")
-    return s.join(h, (F.col("s.doc_id") == F.col("h.doc_id")) & overlaps(F.col("s.start"), F.col("s.end"), F.col("h.start"), F.col("h.end")), "left_anti")
+    return apart(spans, hidden)
 
 
 def extra_formats(documents: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -52,19 +52,18 @@ def repeated_values(spans: DataFrame, hidden: DataFrame) -> DataFrame:
 
 def scored(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """Precision and recall by type: a prediction that overlaps a true span of its type counts as found."""
-    p, t = predicted.select("doc_id", "type", "start", "end").alias("p"), truth.select("doc_id", "type", "start", "end").alias("t")
-    same = (F.col("p.doc_id") == F.col("t.doc_id")) & (F.col("p.type") == F.col("t.type")) & overlaps(F.col("p.start"), F.col("p.end"), F.col("t.start"), F.col("t.end"))
-    right = p.join(t, same, "left_semi").groupBy("type").agg(F.count("*").alias("right"))
-    found = t.join(p, same, "left_semi").groupBy("type").agg(F.count("*").alias("found"))
+    p, t = predicted.select("doc_id", "type", "start", "end"), truth.select("doc_id", "type", "start", "end")
+    right = touched(p, t, ("doc_id", "type")).groupBy("type").agg(F.count("*").alias("right"))
+    found = touched(t, p, ("doc_id", "type")).groupBy("type").agg(F.count("*").alias("found"))
     out = predicted.groupBy("type").agg(F.count("*").alias("predicted")).join(truth.groupBy("type").agg(F.count("*").alias("true")), "type", "full").join(right, "type", "left").join(found, "type", "left").na.fill(0)
     return out.select("type", "predicted", "true", F.try_divide("right", "predicted").alias("precision"), F.try_divide("found", "true").alias("recall"))
 
 
 def conflicts(spans: DataFrame) -> DataFrame:
     """Pairs of one document's spans that overlap and differ in type."""
-    a, b = spans.alias("a"), spans.alias("b")
-    met = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & overlaps(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end")) & (F.col("a.type") < F.col("b.type")))
-    return met.select("a.doc_id", F.col("a.start").alias("a_start"), F.col("a.end").alias("a_end"), F.col("a.type").alias("a_type"), F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"), F.col("b.type").alias("b_type"))
+    own = spans.select("doc_id", "start", "end", "type")
+    met = pairs(own, own).where("a.type < b.type")
+    return met.select("doc_id", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("a", "b") for c in ("start", "end", "type")])
 
 
 def slices(documents: DataFrame, spans: DataFrame) -> DataFrame:

@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contract import STRUCTURAL_SOURCES, TIER_HIGH, TIER_LOW_CONFIDENCE, TIER_SOFT_REVIEW
-from ..functions.scalars import link_key, overlaps
+from ..functions.scalars import link_key
+from .intervals import apart
 
 
 def suppressed(candidates: DataFrame, ranges: DataFrame) -> DataFrame:
     """Candidates that overlap no harmless range, whatever layer they are from."""
-    c, r = candidates.alias("c"), ranges.select("doc_id", "start", "end").alias("r")
-    return c.join(r, (F.col("c.doc_id") == F.col("r.doc_id")) & overlaps(F.col("c.start"), F.col("c.end"), F.col("r.start"), F.col("r.end")), "left_anti")
+    return apart(candidates, ranges)
 
 
 def clustered(candidates: DataFrame) -> DataFrame:
@@ -49,25 +49,46 @@ def tier(sources: Column | str, linked: Column) -> Column:
     return F.when(linked | F.arrays_overlap(own, F.array(*map(F.lit, STRUCTURAL_SOURCES))), TIER_HIGH).when(own == F.array(F.lit("llm")), TIER_SOFT_REVIEW).otherwise(TIER_LOW_CONFIDENCE)
 
 
+def grouped(findings: DataFrame) -> DataFrame:
+    """Adds ``link_group``, which findings of one value in a document share, and ``linked_count``, how many others there are.
+
+    A finding that links with none has no group.
+    """
+    key = link_key("type", "normalized_value")
+    # Findings without a key are groups of their own, so no window gathers them all.
+    own = F.coalesce(key, F.concat(F.lit("\1"), F.col("start"), F.lit("-"), F.col("end")))
+    counted = findings.withColumn("link_group", own).withColumn("linked_count", F.count("*").over(Window.partitionBy("doc_id", "link_group")) - 1)
+    return counted.withColumn("link_group", F.when(F.col("linked_count") > 0, F.col("link_group")))
+
+
 def linked(findings: DataFrame) -> DataFrame:
-    """Adds ``linked``: the other places of the same value in the document, in order."""
-    own = F.concat(F.lit("\1"), F.col("start"), F.lit("-"), F.col("end"))
-    # A finding that links with none is a group of its own, so no group gathers them all.
-    keyed = findings.withColumn("key", F.coalesce(link_key("type", "normalized_value"), own))
-    every = F.collect_list(F.struct("start", "end")).over(Window.partitionBy("doc_id", "key"))
-    others = F.array_sort(F.filter(every, lambda o: (o["start"] != F.col("start")) | (o["end"] != F.col("end"))))
-    return keyed.withColumn("linked", others).drop("key")
+    """Adds ``linked`` to findings with groups: the other places of the same value in the document, in order.
+
+    Each of k equal values gets k - 1 places. Jobs that need only the groups leave the column out, and it isn't computed.
+    """
+    every = F.collect_list(F.struct("start", "end")).over(Window.partitionBy("doc_id", F.coalesce("link_group", "id")))
+    return findings.withColumn("linked", F.array_sort(F.filter(every, lambda o: (o["start"] != F.col("start")) | (o["end"] != F.col("end")))))
+
+
+def with_groups(findings: DataFrame) -> DataFrame:
+    """Findings with ``link_group`` and ``linked_count``; where they lack them, of their ``linked`` places."""
+    if "link_group" in findings.columns:
+        return findings
+    first = F.array_min(F.array_append("linked", F.struct("start", "end")))
+    group = F.when(F.size("linked") > 0, F.concat(first["start"], F.lit("-"), first["end"]))
+    return findings.withColumn("link_group", group).withColumn("linked_count", F.size("linked").cast("long"))
 
 
 def merge(candidates: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
-    """Findings: doc_id, id, start, end, text, type, confidence, sources, reason, normalized_value, tier, linked.
+    """Findings: doc_id, id, start, end, text, type, confidence, sources, reason, normalized_value, tier, linked, link_group, linked_count.
 
     Rank them by doc_id, tier, start, end.
     """
     kept = candidates if ranges is None else suppressed(candidates, ranges)
     islands = clustered(kept)
-    found = linked(winners(islands).join(facts(islands), ["doc_id", "island"]).drop("island"))
-    return found.select("doc_id", F.concat(F.lit("m:"), F.col("start"), F.lit("-"), F.col("end")).alias("id"), "start", "end", "text", "type", "confidence", "sources", "reason", "normalized_value", tier("sources", F.size("linked") > 0).alias("tier"), "linked")
+    found = winners(islands).join(facts(islands), ["doc_id", "island"]).drop("island").withColumn("id", F.concat(F.lit("m:"), F.col("start"), F.lit("-"), F.col("end")))
+    found = linked(grouped(found))
+    return found.select("doc_id", "id", "start", "end", "text", "type", "confidence", "sources", "reason", "normalized_value", tier("sources", F.col("linked_count") > 0).alias("tier"), "linked", "link_group", "linked_count")
 
 
 def ranked(findings: DataFrame) -> DataFrame:

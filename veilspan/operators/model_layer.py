@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.contract import CONFIDENCE
 from ..functions.matching import literal_places
-from ..functions.scalars import mapped_type, model_sentence, overlaps, piece, reason_or, unfenced
+from ..functions.scalars import mapped_type, model_sentence, piece, reason_or, unfenced
+from .intervals import apart
 
 # Window geometry, and the cue words.
 WINDOW, OVERLAP, LONGEST_ENTITY = 800, 120, 80
@@ -112,8 +113,7 @@ def detect_with_model(documents: DataFrame, client=None, covered: DataFrame | No
         replies = replies.join(failed, "doc_id", "left_anti")
     hits = model_hits(replies)
     if covered is not None:
-        c, h = covered.select("doc_id", "start", "end").alias("c"), hits.alias("h")
-        hits = h.join(c, (F.col("h.doc_id") == F.col("c.doc_id")) & overlaps(F.col("h.start"), F.col("h.end"), F.col("c.start"), F.col("c.end")), "left_anti")
+        hits = apart(hits, covered.select("doc_id", "start", "end"))
     return hits.select(
         "doc_id", (F.lit(3 << 40) + F.col("start").cast("long") * 65536 + (F.col("end") - F.col("start"))).alias("arrival"), F.concat(F.lit("llm:"), F.col("start"), F.lit("-"), F.col("end")).alias("id"), "start", "end", "text", "type",
         F.lit(CONFIDENCE["llm"]).alias("confidence"), F.lit("llm").alias("source"), "reason", F.lit(None).cast("string").alias("normalized_value"),

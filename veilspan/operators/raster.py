@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import overlaps
+from .intervals import pairs
 
 #: Fixed value: a page with fewer characters has no text layer worth the name.
 DIGITAL_MIN_CHARS = 10
@@ -52,9 +52,8 @@ def page_texts(placed: DataFrame) -> DataFrame:
 
 def span_boxes(spans: DataFrame, placed: DataFrame) -> DataFrame:
     """doc_id, page, start, end, box for every word that a span overlaps; a word under two spans comes twice."""
-    s, w = spans.alias("s"), placed.alias("w")
-    met = s.join(w, (F.col("s.doc_id") == F.col("w.doc_id")) & (F.col("s.page") == F.col("w.page")) & overlaps(F.col("s.start"), F.col("s.end"), F.col("w.start"), F.col("w.end")))
-    return met.select("s.doc_id", "s.page", "s.start", "s.end", "w.ord", "w.box")
+    met = pairs(spans.select("doc_id", "page", "start", "end"), placed.select("doc_id", "page", "start", "end", "ord", "box"), ("doc_id", "page"))
+    return met.select("doc_id", "page", "a.start", "a.end", "b.ord", "b.box")
 
 
 def burnt(pixels: np.ndarray, boxes: Sequence[tuple[int, int, int, int]], pad: int = 1) -> np.ndarray:

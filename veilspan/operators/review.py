@@ -1,9 +1,8 @@
 """Review: a queue of findings, an undoable log of decisions, counters, preview and gated export.
 
-A review is a pair of tables: findings, and a log of actions numbered by ``seq`` in each document. What stands after
-the log is a set of joins and windows over both. An undo takes back the last action before it that is still standing,
-so actions and undos pair up like brackets: a running depth tells which undo closes which action. Of what is left,
-the last decision on an item counts.
+A review is a pair of tables: findings, and a log of actions numbered by ``seq`` in each document. Joins tell what an
+action is about and which faults don't depend on other actions; one pass over each log in its order settles the rest.
+Of what stands, the last decision on an item counts; decisions on findings that link count for their group.
 """
 
 from __future__ import annotations
@@ -15,22 +14,18 @@ from pyspark.sql import functions as F
 
 from ..functions.contract import MANUAL_REASON, PII_TYPES
 from ..functions.scalars import sentence
+from .merge import with_groups
 from .render import legend, rendered
+from .replay import replayed
 
 ITEM = "id string, start int, end int, text string, type string, confidence double, sources array<string>, reason string, normalized_value string, tier int, linked array<struct<start:int,end:int>>"
-#: The last event of a kind on an item so far.
-SO_FAR = (Window.unboundedPreceding, -1)
-
-
-def _in_order(*more: str) -> Window:
-    return Window.partitionBy("doc_id", *more).orderBy("seq")
 
 
 def _checked(documents: DataFrame, findings: DataFrame, actions: DataFrame) -> DataFrame:
-    """The log of the known documents with ``item``, the id that an action is about, and ``fault``, the code of an error
-    that doesn't depend on the actions before it. Decisions on added items are ``open``: they need the item to be there."""
+    """The log of the known documents with ``item``, the id that an action is about, its ``link_group``, and ``fault``, the code of
+    an error that doesn't depend on the actions before it. Decisions on added items are ``open``: they need the item to be there."""
     sizes = documents.select("doc_id", F.length("text").alias("length"))
-    known = findings.select("doc_id", F.col("id").alias("target_id"), "linked", F.lit(True).alias("known"))
+    known = findings.select("doc_id", F.col("id").alias("target_id"), "link_group", F.lit(True).alias("known"))
     log = actions.join(sizes, "doc_id").join(known, ["doc_id", "target_id"], "left")
     decides, adds = F.col("type").isin("accept", "dismiss"), F.col("type") == "add_missed"
     added = F.col("target_id").rlike("^manual:[0-9]+-[0-9]+$")
@@ -43,88 +38,64 @@ def _checked(documents: DataFrame, findings: DataFrame, actions: DataFrame) -> D
     )
     item = F.when(adds, F.concat(F.lit("manual:"), "start", F.lit("-"), "end")).when(decides, F.col("target_id"))
     log = log.withColumn("fault", fault).withColumn("item", item).withColumn("open", F.coalesce(decides & F.col("known").isNull() & F.col("fault").isNull(), F.lit(False)))
-    return log.select("doc_id", "seq", "type", "item", "start", "end", "pii_type", "linked", "open", "fault")
+    return log.select("doc_id", F.col("seq").cast("long").alias("seq"), "type", "item", "start", "end", "pii_type", "link_group", "open", "fault")
 
 
-def _paired(log: DataFrame) -> DataFrame:
-    """Adds ``undone``: for an action without a fault the seq of the undo that takes it back; undos with nothing left to
-    take back get the fault nothing_to_undo."""
-    step = F.when(F.col("fault").isNotNull(), 0).when(F.col("type") == "undo", -1).otherwise(1)
-    rows = log.withColumn("height", F.sum(step).over(_in_order()))
-    low, before = F.min("height").over(_in_order()), F.min("height").over(_in_order().rowsBetween(*SO_FAR))
-    rows = rows.withColumn("depth", F.col("height") - F.least(F.lit(0), low)).withColumn("void", (F.col("type") == "undo") & (F.col("height") < F.least(F.lit(0), F.coalesce(before, F.lit(0)))))
-    # An action at a depth is closed by the next undo that leaves this depth; at one depth the two take turns.
-    undo = (F.col("type") == "undo") & ~F.col("void")
-    level = F.when(F.col("fault").isNotNull() | F.col("void"), F.lit(None).cast("long")).when(undo, F.col("depth") + 1).otherwise(F.col("depth"))
-    rows = rows.withColumn("level", level)
-    after = F.lead("seq").over(_in_order("level"))
-    acts = F.col("fault").isNull() & (F.col("type") != "undo")
-    return rows.withColumn("undone", F.when(acts, after)).withColumn("fault", F.when(F.col("void"), "nothing_to_undo").otherwise(F.col("fault"))).drop("height", "depth", "void", "level")
+def settled(documents: DataFrame, findings: DataFrame, actions: DataFrame) -> DataFrame:
+    """The log with every action's ``fault`` and ``undone``, the seq of the undo that takes it back."""
+    return replayed(_checked(documents, with_groups(findings), actions))
 
 
 def _comings(paired: DataFrame) -> DataFrame:
     """When added items come and go: doc_id, item, seq, there, start, end, pii_type. An undone addition takes its item away."""
     added = paired.where("type = 'add_missed' and fault is null")
-    came = added.select("doc_id", "item", "seq", F.lit(True).alias("there"), "start", "end", "pii_type")
-    went = added.where("undone is not null").select("doc_id", "item", F.col("undone").alias("seq"), F.lit(False).alias("there"), "start", "end", "pii_type")
-    return came.unionByName(went)
+    both = F.array(F.struct("seq", F.lit(True).alias("there")), F.struct(F.col("undone").alias("seq"), F.lit(False).alias("there")))
+    return added.select("doc_id", "item", F.explode(both).alias("x"), "start", "end", "pii_type").select("doc_id", "item", "x.seq", "x.there", "start", "end", "pii_type").where("seq is not null")
 
 
-def settled(documents: DataFrame, findings: DataFrame, actions: DataFrame) -> DataFrame:
-    """The log with every action's ``fault`` and ``undone``.
+def _after(documents: DataFrame, findings: DataFrame, actions: DataFrame) -> DataFrame:
+    """What a log leaves: rows of decided findings (doc_id, id, status) and of added items (with start, end, type too).
 
-    Whether a decision on an added item holds depends on the actions before it, which may be such decisions again.
-    So they are judged in rounds until none changes; the earliest that was judged wrongly is right after each round,
-    and in a log without them there is no round at all.
+    A decision on a finding reaches the findings of its group, and items added at the places of the others of it.
     """
-    log = _checked(documents, findings, actions)
-    if not log.where("open").take(1):
-        return _paired(log)
-    now = log.persist()
-    while True:
-        paired = _paired(now)
-        events = _comings(paired).select("doc_id", "item", "seq", "there").unionByName(log.where("open").select("doc_id", "item", "seq", F.lit(None).cast("boolean").alias("there")))
-        there = F.coalesce(F.last("there", ignorenulls=True).over(_in_order("item").rowsBetween(*SO_FAR)), F.lit(False))
-        judged = events.withColumn("held", there).where("there is null").select("doc_id", "seq", "held")
-        judged = now.join(judged, ["doc_id", "seq"], "left").withColumn("now", F.when(F.col("open") & ~F.col("held"), "unknown_item").when(~F.col("open"), F.col("fault"))).persist()
-        if not judged.where("not (now <=> fault)").take(1):
-            return paired
-        now = judged.drop("fault", "held").withColumnRenamed("now", "fault").select(*log.columns)
-
-
-def _decisions(paired: DataFrame) -> DataFrame:
-    """Standing decisions for each item they reach: doc_id, id, seq, status. One on a finding reaches all places of its value."""
+    paired = settled(documents, findings, actions)
     decided = paired.where("type in ('accept', 'dismiss') and fault is null and undone is null")
     status = F.when(F.col("type") == "accept", "accepted").otherwise("dismissed")
-    places = F.transform(F.coalesce("linked", F.array().cast("array<struct<start:int,end:int>>")), lambda o: F.concat(o["start"].cast("string"), F.lit("-"), o["end"].cast("string")))
-    reached = F.concat(F.array("item"), F.transform(places, lambda p: F.concat(F.lit("m:"), p)), F.transform(places, lambda p: F.concat(F.lit("manual:"), p)))
-    return decided.select("doc_id", "seq", status.alias("status"), F.explode(reached).alias("id"))
-
-
-def _after(documents: DataFrame, findings: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, id, status of decided findings; added items: doc_id, id, start, end, type, status)."""
-    paired = settled(documents, findings, actions)
-    decisions = _decisions(paired)
-    own = decisions.groupBy("doc_id", "id").agg(F.max_by("status", "seq").alias("status"))
-    last = _comings(paired).groupBy("doc_id", F.col("item").alias("id")).agg(F.max_by(F.struct("there", "start", "end", "pii_type", "seq"), "seq").alias("x")).where("x.there")
-    added = last.select("doc_id", "id", "x.start", "x.end", F.coalesce("x.pii_type", F.lit("OTHER")).alias("type"), F.col("x.seq").alias("since"))
-    later = added.select("doc_id", "id", "since").join(decisions, ["doc_id", "id"]).where("seq > since").groupBy("doc_id", "id").agg(F.max_by("status", "seq").alias("status"))
-    return own, added.join(later, ["doc_id", "id"], "left").withColumn("status", F.coalesce("status", F.lit("accepted"))).drop("since")
+    last = decided.groupBy("doc_id", "item").agg(F.max("seq").alias("seq"), F.max_by(status, "seq").alias("status"), F.first("link_group").alias("link_group"))
+    newest = F.row_number().over(Window.partitionBy("doc_id", "link_group").orderBy(F.desc("seq")))
+    # The two items of a group that were decided last: of the places that aren't an item's own, one of them was decided last.
+    groups = last.where("link_group is not null").withColumn("n", newest).where("n <= 2").groupBy("doc_id", "link_group").agg(F.array_sort(F.collect_list(F.struct("n", "item", "seq", "status"))).alias("newest"))
+    own = last.where("link_group is null").select("doc_id", F.col("item").alias("id"), "seq", "status")
+    linked = findings.where("link_group is not null").select("doc_id", "id", "start", "end", "link_group").join(groups, ["doc_id", "link_group"])
+    there = _comings(paired).groupBy("doc_id", F.col("item").alias("id")).agg(F.max_by(F.struct("there", "start", "end", "pii_type", "seq"), "seq").alias("x")).where("x.there")
+    added = there.select("doc_id", "id", "x.start", "x.end", F.coalesce("x.pii_type", F.lit("OTHER")).alias("type"), F.col("x.seq").alias("since"))
+    at_place = linked.select("doc_id", "start", "end", F.get(F.filter("newest", lambda d: d["item"] != F.col("id")), F.lit(0)).alias("by_group"))
+    later = added.join(own.withColumnsRenamed({"seq": "own_seq", "status": "own_status"}), ["doc_id", "id"], "left").join(at_place, ["doc_id", "start", "end"], "left")
+    candidates = F.array(F.struct(F.col("since").alias("seq"), F.lit("accepted").alias("status")), F.struct(F.col("own_seq").alias("seq"), F.col("own_status").alias("status")), F.struct("by_group.seq", "by_group.status"))
+    manual = later.select("doc_id", "id", "start", "end", "type", F.array_max(F.filter(candidates, lambda c: c["seq"].isNotNull()))["status"].alias("status"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("end", "int"), ("type", "string"))]
+    found = own.select("doc_id", "id", *none, "status").unionByName(linked.select("doc_id", "id", *none, F.col("newest")[0]["status"].alias("status")))
+    return found.withColumn("manual", F.lit(False)).unionByName(manual.withColumn("manual", F.lit(True)))
 
 
 def queue(documents: DataFrame, findings: DataFrame, actions: DataFrame | None = None) -> DataFrame:
-    """All items with their status after the log, and their sentence: the columns of findings, status, linked_count, sentence."""
+    """All items with their status after the log, and their sentence: the columns of findings, status, linked_count, sentence.
+
+    Findings without a ``linked_count`` get one from their ``linked`` places.
+    """
     texts = documents.select("doc_id", F.col("text").alias("whole"))
+    grouped = with_groups(findings)
     if actions is None:
-        rows = findings.withColumn("status", F.lit("pending"))
+        rows = grouped.withColumn("status", F.lit("pending"))
     else:
-        own, manual = _after(documents, findings, actions)
-        seen = findings.join(own, ["doc_id", "id"], "left").withColumn("status", F.coalesce("status", F.lit("pending")))
-        none = F.array().cast("array<struct<start:int,end:int>>")
-        added = manual.join(texts, "doc_id").select("doc_id", "id", "start", "end", F.expr("substr(whole, start + 1, end - start)").alias("text"), "type", F.lit(1.0).alias("confidence"), F.array(F.lit("manual")).alias("sources"), F.lit(MANUAL_REASON).alias("reason"), F.lit(None).cast("string").alias("normalized_value"), F.lit(1).alias("tier"), none.alias("linked"), "status")
+        after = _after(documents, grouped, actions)
+        seen = grouped.join(after.where("not manual").select("doc_id", "id", "status"), ["doc_id", "id"], "left").withColumn("status", F.coalesce("status", F.lit("pending")))
+        manual = after.where("manual").select("doc_id", "id", "start", "end", "type", "status")
+        added = manual.join(texts, "doc_id").select("doc_id", "id", "start", "end", F.expr("substr(whole, start + 1, end - start)").alias("text"), "type", F.lit(1.0).alias("confidence"), F.array(F.lit("manual")).alias("sources"), F.lit(MANUAL_REASON).alias("reason"), F.lit(None).cast("string").alias("normalized_value"), F.lit(1).alias("tier"), F.lit(None).cast("string").alias("link_group"), F.lit(0).cast("long").alias("linked_count"), "status")
+        if "linked" in grouped.columns:
+            added = added.withColumn("linked", F.array().cast("array<struct<start:int,end:int>>"))
         rows = seen.unionByName(added)
-    rows = rows.join(texts, "doc_id").withColumn("linked_count", F.size("linked")).withColumn("sentence", sentence("whole", F.col("start"), F.col("end")))
-    return rows.drop("whole")
+    return rows.join(texts, "doc_id").withColumn("sentence", sentence("whole", F.col("start"), F.col("end"))).drop("whole")
 
 
 def action_errors(documents: DataFrame, findings: DataFrame, actions: DataFrame) -> DataFrame:

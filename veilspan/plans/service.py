@@ -47,7 +47,7 @@ class Service:
     def create_review(self, documents: DataFrame, client=None) -> str:
         """Detects once and keeps documents, findings and the layers' report; all items are pending."""
         found, name = detect(documents, client=client), uuid.uuid4().hex
-        self.reviews.put(name, documents=documents.select("doc_id", "text"), findings=found.findings, layers=found.layers)
+        self.reviews.put(name, documents=documents.select("doc_id", "text"), findings=found.findings.drop("linked"), layers=found.layers)
         return name
 
     def act(self, name: str, actions: DataFrame) -> DataFrame:

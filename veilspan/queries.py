@@ -175,7 +175,7 @@ def link_duplicates(spark, sf_dir):
 
 @query(f"""{FOUND} SELECT doc_id, 'm:' || s || '-' || e AS id, s AS "start", e AS "end", v AS text, type, confidence, sources, reason, norm AS normalized_value, CAST({O.TIER} AS INTEGER) AS tier, CAST(links AS INTEGER) AS linked_count FROM found""")
 def tiered_findings(spark, sf_dir):
-    return _detected(spark, sf_dir).findings.withColumn("linked_count", F.size("linked")).drop("linked")
+    return _detected(spark, sf_dir).findings.drop("linked", "link_group").withColumn("linked_count", F.col("linked_count").cast("int"))
 
 
 @query(f"SELECT doc_id, v AS text, {O.canonical(O.DIGITS)} AS subscriber, 'PHONE:' || {O.canonical(O.DIGITS)} AS link_key FROM {O.hits(O.PHONE)} WHERE length({O.DIGITS}) BETWEEN 9 AND 15")
@@ -368,7 +368,7 @@ NOTE_FOUND = O.findings([], DEFAULT_ALLOWLIST, ONE_NOTE, names=True)
 @query(f"""{NOTE_FOUND} SELECT doc_id, 'm:' || s || '-' || e AS id, s AS "start", e AS "end", v AS text, type, confidence, sources, reason, norm AS normalized_value, CAST({O.TIER} AS INTEGER) AS tier, CAST(links AS INTEGER) AS linked_count FROM found""")
 def full_pipeline_note(spark, sf_dir):
     found = detect(rows(spark, [(1, NOTE)]), client=NAMED).findings
-    return found.withColumn("linked_count", F.size("linked")).drop("linked")
+    return found.drop("linked", "link_group").withColumn("linked_count", F.col("linked_count").cast("int"))
 
 
 @query(f"""SELECT l.doc_id, 'llm:' || s || '-' || e AS id, s AS "start", e AS "end", v AS text, 'EMAIL' AS type, 0.55::DOUBLE AS confidence, 'llm' AS source, 'address' AS reason
@@ -545,7 +545,7 @@ def render_segments(spark, sf_dir):
 @query(f"""{FOUND} SELECT doc_id, s AS "start", CASE WHEN confidence >= 0.95 THEN 'certain' WHEN confidence >= 0.8 THEN 'strong' WHEN confidence >= 0.6 THEN 'likely' ELSE 'weak' END AS word, round(0.35 + 0.65 * confidence, 6) AS opacity, CAST(links + 1 AS INTEGER) AS places FROM found""")
 def confidence_display(spark, sf_dir):
     f = _detected(spark, sf_dir).findings
-    return f.select("doc_id", "start", scalars.confidence_word("confidence").alias("word"), F.round(scalars.confidence_opacity("confidence"), 6).alias("opacity"), scalars.places(F.size("linked")).alias("places"))
+    return f.select("doc_id", "start", scalars.confidence_word("confidence").alias("word"), F.round(scalars.confidence_opacity("confidence"), 6).alias("opacity"), scalars.places(F.col("linked_count").cast("int")).alias("places"))
 
 
 @query(f"""SELECT l.toxic, h.type, count(*) AS n FROM {O.layer()} h JOIN labels l USING (doc_id) GROUP BY l.toxic, h.type""")
@@ -556,7 +556,7 @@ def findings_by_label(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the whole pipeline over the documents."""
-    return detect(docs(spark, sf_dir)).findings
+    return detect(docs(spark, sf_dir)).findings.drop("link_group", "linked_count")
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "SpanError", "flagship"]
