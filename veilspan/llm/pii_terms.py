@@ -140,7 +140,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-FOUND = "doc_key long, doc_id long, near array<struct<entity:string,term:string,start:int,end:int,context:long>>, entities array<string>, term string, n long"
+FOUND = "doc_key long, doc_id long, entity string, term string, low long, high long, n long"
 
 
 def _doc_key() -> Column:
@@ -149,54 +149,77 @@ def _doc_key() -> Column:
 
 
 def scan(documents: DataFrame, window: int) -> DataFrame:
-    """One pass over all texts: a row a document with its entities and the terms near them, and rows (term, n) with
-    the document frequencies of each task. ``doc_key`` is made of the id and the text, so equal rows share it."""
+    """One pass over all texts: what the statistics are made of, every row of the table counting once.
+
+    A row with entity and term says that the term stands near the entity in a document, with the least and the largest
+    hash of the windows that they share; one with an entity, that the document holds it; one with a term, in how many
+    of a task's documents it stands (``n``); one with neither, how many documents a task has read. ``doc_key`` is made of
+    the id and the text, so equal rows share it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        rows: list[tuple] = []
+
+        def told() -> pa.RecordBatch:
+            columns = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), layout, strict=True)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=layout)
 
         def counted() -> pa.RecordBatch:
-            made = {f.name: [None] * len(counts) for f in layout} | {"term": list(counts.keys()), "n": list(counts.values())}
+            none = pa.nulls(len(counts))
+            made = {f.name: none.cast(f.type) for f in layout} | {"term": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())}
             counts.clear()
             return pa.RecordBatch.from_pydict(made, schema=layout)
 
         for batch in batches:
             for part, texts in slices(batch):
-                rows: dict[str, list] = {"near": [], "entities": []}
-                for text in texts:
+                for key, i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
                     counts.update({key_of(t) for t in set(TERM.findall(text))})
                     spans = base_spans(text)
-                    near = near_terms(text, spans, window)
-                    rows["near"].append([dict(zip(("entity", "term", "start", "end", "context"), x, strict=True)) for x in near])
-                    rows["entities"].append(list({entity(k, text[a:b]) for k, a, b in spans}))
-                none = [None] * len(texts)
-                yield pa.RecordBatch.from_pydict({"doc_key": part.column(0), "doc_id": part.column(1), **rows, "term": none, "n": none}, schema=layout)
+                    rows += [(key, i, e, None, None, None, 1) for e in {entity(k, text[a:b]) for k, a, b in spans}]
+                    pairs: dict[tuple[str, str], tuple[int, int]] = {}
+                    for e, t, _, _, context in near_terms(text, spans, window):
+                        low, high = pairs.get((e, t), (context, context))
+                        pairs[e, t] = min(low, context), max(high, context)
+                    rows += [(key, i, e, t, low, high, 1) for (e, t), (low, high) in pairs.items()]
+                    if len(rows) > HELD_TERMS:
+                        yield told()
+                rows.append((None, None, None, None, None, None, len(texts)))
+                yield told()
                 if len(counts) > HELD_TERMS:
                     yield counted()
         yield counted()
 
-    struct = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64())])
-    layout = pa.schema([("doc_key", pa.int64()), ("doc_id", pa.int64()), ("near", pa.list_(struct)), ("entities", pa.list_(pa.string())), ("term", pa.string()), ("n", pa.int64())])
+    layout = pa.schema([("doc_key", pa.int64()), ("doc_id", pa.int64()), ("entity", pa.string()), ("term", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("n", pa.int64())])
     return documents.select(_doc_key().alias("doc_key"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), FOUND)
 
 
 def disclosing(found: DataFrame, threshold: float, support: int) -> DataFrame:
     """The (entity, term) pairs whose disclosure PMI / IC reaches the threshold.
 
-    A pair needs ``support`` documents and two different contexts, so that copies of one passage aren't evidence.
+    All four counts are of rows, so a table whose rows all stand k times gives the same pairs. A pair also needs
+    ``support`` different documents and two different contexts, so that copies of one passage aren't evidence.
     """
-    documents = found.where("term is null")
-    total = max(2, documents.count())
-    near = documents.select("doc_key", "doc_id", F.explode("near").alias("x")).select("doc_key", "doc_id", "x.entity", "x.term", "x.context")
-    together = near.groupBy("entity", "term", "doc_id", "doc_key").agg(F.min("context").alias("low"), F.max("context").alias("high"))
-    together = together.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.min("low").alias("low"), F.max("high").alias("high")).where((F.col("n_both") >= support) & (F.col("low") != F.col("high")))
-    holders = documents.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    frequencies = found.where("term is not null").groupBy("term").agg(F.sum("n").alias("n_term"))
+    total = max(2, found.where("entity is null and term is null").agg(F.sum("n")).first()[0] or 0)
+    near = found.where("entity is not null and term is not null")
+    together = near.groupBy("entity", "term", "doc_id", "doc_key").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    together = together.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_documents"), F.min("low").alias("low"), F.max("high").alias("high")).where((F.col("n_documents") >= support) & (F.col("low") != F.col("high")))
+    holders = found.where("entity is not null and term is null").groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    frequencies = found.where("entity is null and term is not null").groupBy("term").agg(F.sum("n").alias("n_term"))
     scored = together.join(holders, "entity").join(frequencies, "term")
     pmi = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     return scored.withColumn("disclosure", pmi / F.log(F.lit(float(total)) / F.least("n_entity", F.lit(total - 1)))).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
+def unjudged(found: DataFrame, support: int = 2) -> DataFrame:
+    """``entities, judged long``: how many entities a scan has, and of how many any pair has what judging it needs."""
+    near = found.where("entity is not null and term is not null").groupBy("entity", "term").agg(F.count_distinct(F.struct("doc_id", "doc_key")).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    able = near.where((F.col("n") >= support) & (F.col("low") != F.col("high"))).select("entity").distinct().withColumn("able", F.lit(1))
+    every = found.where("entity is not null and term is null").select("entity").distinct()
+    return every.join(able, "entity", "left").agg(F.count("*").alias("entities"), F.count("able").alias("judged"))
+
+
 Rewrite = Callable[[pa.RecordBatch, list[str], list[tuple[list, list]]], pa.RecordBatch]
 
 
