@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +15,40 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def folded_point(c: str) -> str:
+    """A code point's lower case of its upper case, where both are single code points, as patterns without case compare them."""
+    if c == "\u0130":  # its lower case is two code points, of which simple mappings take the first
+        return "i"
+    upper = c.upper()
+    upper = upper if len(upper) == 1 else c
+    lower = upper.lower()
+    return lower if len(lower) == 1 else upper
+
+
+@lru_cache(maxsize=1)
+def point_folds() -> dict[int, str]:
+    """All code points that ``folded_point`` changes."""
+    return {k: f for k in range(sys.maxunicode + 1) if not 0xD800 <= k <= 0xDFFF and (f := folded_point(chr(k))) != chr(k)}
+
+
+def point_folded(text: Column | str) -> Column:
+    """A text of the same length, its code points folded one by one."""
+    odd = {k: f for k, f in point_folds().items() if chr(k).lower() != f and k != 0x130}
+    lower = F.lower(F.translate(_c(text), "\u0130", "i"))
+    return F.translate(lower, "".join(map(chr, odd)), "".join(odd.values()))
+
+
+def casefolded(text: Column | str) -> Column:
+    """What texts share that differ in case only, by full folding: the sharp s and two s are one.
+
+    Lower, upper and lower case one after the other expand what has an upper case of several letters. The dotless i,
+    whose upper case is that of i, is kept apart from it; the final sigma is a sigma.
+    """
+    kept = F.translate(F.lower(_c(text)), "\u0131", "\ue131")
+    # Of changes of case that follow each other directly Spark keeps the last only.
+    return F.translate(F.lower(F.translate(F.upper(kept), "\ue131", "\u0131")), "\u03c2", "\u03c3")
+
+
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Half-open interval overlap; touching intervals don't overlap."""
     return (a_start < b_end) & (b_start < a_end)
@@ -49,9 +86,9 @@ def link_key(pii_type: Column | str, normalized: Column | str) -> Column:
 
 
 def identity_key(pii_type: Column | str, normalized: Column | str, text: Column | str) -> Column:
-    """What shares one replacement token: the linked value, else the lower-cased text."""
+    """What shares one replacement token: the linked value, else the text without its case."""
     kind, value = _c(pii_type), _c(normalized)
-    own = F.when((kind == "PHONE") & _filled(value), canonical_phone(value)).when(_filled(value), value).otherwise(F.lower(_c(text)))
+    own = F.when((kind == "PHONE") & _filled(value), canonical_phone(value)).when(_filled(value), value).otherwise(casefolded(text))
     return F.concat(kind, F.lit("\0"), own)
 
 

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contract import ALLOWLIST_REASON, CONFIDENCE, DEFAULT_ALLOWLIST, PII_TYPES
 from ..functions.matching import MATCH, all_matches, disjoint, whole_word
+from ..functions.scalars import point_folded
+from .automaton import scanned
 
-#: Term lists of up to so many entries become one projection over the text; longer ones are joined on their first word.
+#: Term lists of up to so many entries become one projection over the text; longer ones are found by automata.
 INLINE_TERMS = 200
+#: Characters of terms in one automaton, and how many automata read the texts one after the other; beyond, terms are joined on
+#: their first word.
+AUTOMATON_CHARS, AUTOMATA = 2_000_000, 8
 #: A table of terms is broadcast up to so many terms, and so many characters if all were as long as the longest.
 BROADCAST_TERMS, BROADCAST_CHARS = 100_000, 16_000_000
 
@@ -39,11 +44,11 @@ def joined_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:
     Words of the documents are equi-joined with first words, then the whole term is compared; matches of one term
     that overlap an earlier one of the same term are left out, as a scan from the left would.
     """
-    named = terms.where("term is not null and term <> ''").select("ord", "term", "type", F.lower(F.regexp_extract("term", r"(?U)\w+", 0)).alias("word"), (F.length(F.regexp_extract("term", r"(?U)^\W*", 0))).alias("lead"))
+    named = terms.where("term is not null and term <> ''").select("ord", "term", "type", point_folded(F.regexp_extract("term", r"(?U)\w+", 0)).alias("word"), (F.length(F.regexp_extract("term", r"(?U)^\W*", 0))).alias("lead"))
     longest, n = named.agg(F.max(F.length("term")), F.count("*")).first()
     longest, named = longest or 0, F.broadcast(named) if n <= BROADCAST_TERMS and n * (longest or 0) <= BROADCAST_CHARS else named
     words = documents.select("doc_id", "text", F.explode(all_matches("text", r"(?U)\w+")).alias("w"))
-    words = words.select("doc_id", F.col("w.start").alias("at"), F.lower("w.text").alias("word"), F.col("text").substr(F.greatest(F.lit(1), F.col("w.start") + 1 - longest), F.lit(2 * longest + 2)).alias("near"), F.greatest(F.lit(0), F.col("w.start") - longest).alias("base"))
+    words = words.select("doc_id", F.col("w.start").alias("at"), point_folded("w.text").alias("word"), F.col("text").substr(F.greatest(F.lit(1), F.col("w.start") + 1 - longest), F.lit(2 * longest + 2)).alias("near"), F.greatest(F.lit(0), F.col("w.start") - longest).alias("base"))
     met = words.join(named.where("word <> ''"), "word").withColumn("start", F.col("at") - F.col("lead")).where("start >= base")
     met = met.withColumn("end", F.col("start") + F.length("term")).withColumn("hit", F.expr("substr(near, start - base + 1, length(term))"))
     before, after = F.expr("substr(near, start - base, 1)"), F.expr("substr(near, end - base + 1, 1)")
@@ -51,24 +56,50 @@ def joined_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:
     edge = lambda outer, inner: word_char(outer) != word_char(inner)
     first, last = F.expr("substr(hit, 1, 1)"), F.expr("substr(hit, length(hit), 1)")
     before = F.when(F.col("start") == F.col("base"), F.lit("")).otherwise(before)
-    met = met.where((F.lower("hit") == F.lower("term")) & edge(before, first) & edge(after, last))
+    met = met.where((point_folded("hit") == point_folded("term")) & edge(before, first) & edge(after, last))
     group = met.groupBy("doc_id", "ord", "type").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("hit").alias("text")))).alias("m"))
     return group.select("doc_id", "ord", "type", F.explode(disjoint(F.col("m"), MATCH)).alias("x")).select("doc_id", "ord", "type", "x.start", "x.end", "x.text")
 
 
+def scanned_terms(documents: DataFrame, terms: DataFrame) -> DataFrame | None:
+    """The same by automata over whole texts, each built once a worker from a broadcast part of the terms; None if there
+    are more terms than the automata take. Texts are read once for each automaton and nothing is shuffled."""
+    named = terms.where("term is not null and term <> ''").select(F.col("ord").cast("int").alias("ord"), "term", "type")
+    chars = named.agg(F.sum(F.length("term"))).first()[0] or 0
+    parts = max(1, -(-chars // AUTOMATON_CHARS))
+    if parts > AUTOMATA:
+        return None
+    found = [scanned(documents, named.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k) if parts > 1 else named) for k in range(parts)]
+    whole = found[0]
+    for part in found[1:]:
+        whole = whole.unionByName(part)
+    return whole if parts == 1 else whole.drop("place")
+
+
 def detect_known(documents: DataFrame, known: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
     """Candidates for known entities: (text, type) pairs, or a table (ord, term, type).
 
-    Overlapping matches of different entities all stay, so ids may repeat.
+    Overlapping matches of different entities all stay, so ids may repeat. Their order in a document is that of their
+    starts, then of their entities in the list.
     """
-    if isinstance(known, DataFrame):
-        found = joined_terms(documents, known)
-    else:
+    if not isinstance(known, DataFrame):
         if any(t not in PII_TYPES for _, t in known):
             raise ValueError("an entity has an unknown type")
-        found = _found(documents, known) if len(known) <= INLINE_TERMS else joined_terms(documents, documents.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(known)], "ord int, term string, type string"))
+        if len(known) <= INLINE_TERMS:
+            return _candidates(_found(documents, known).withColumn("place", F.col("start").cast("long") * 256 + F.col("ord")))
+        known = documents.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(known)], "ord int, term string, type string")
+    found = scanned_terms(documents, known)
+    return _candidates(joined_terms(documents, known) if found is None else found)
+
+
+def _candidates(found: DataFrame) -> DataFrame:
+    """Matches as candidates; ``arrival`` puts this layer's matches in a document in order, before those of later layers.
+
+    Where the matches of a document come without ``place``, their number in that order, they are numbered by a window.
+    """
+    place = F.col("place") if "place" in found.columns else F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "ord"))
     return found.select(
-        "doc_id", (F.lit(1 << 40) + F.col("start").cast("long") * 65536 + F.col("ord")).alias("arrival"), F.concat(F.lit("dict:"), F.col("start"), F.lit("-"), F.col("end")).alias("id"), "start", "end", "text", "type",
+        "doc_id", (F.lit(1 << 40) + place).alias("arrival"), F.concat(F.lit("dict:"), F.col("start"), F.lit("-"), F.col("end")).alias("id"), "start", "end", "text", "type",
         F.lit(CONFIDENCE["dictionary"]).alias("confidence"), F.lit("dictionary").alias("source"), F.concat(F.lit("exact match against the closed-world "), F.col("type"), F.lit(" list")).alias("reason"), F.lit(None).cast("string").alias("normalized_value"),
     )
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Rows that are gathered before a batch is sent on, at the end of a document.
 BATCH_ROWS = 5_000
@@ -79,5 +80,5 @@ def replayed(log: DataFrame) -> DataFrame:
             held.append(batch.slice(low))
         yield from sent()
 
-    schema = log.withColumn("undone", log["seq"].cast("long")).schema
+    schema = StructType([StructField(f.name, f.dataType) for f in log.schema] + [StructField("undone", LongType())])
     return log.repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInArrow(run, schema)

@@ -48,6 +48,15 @@ def terms(pairs: list[tuple[str, str]], source: str = "documents") -> str:
         AND NOT regexp_matches(substr(text, CAST(pos AS BIGINT) + length(term) + 1, 1), '[\\p{{L}}\\p{{N}}_]'))"""
 
 
+def phrases(terms: str, source: str = "documents") -> str:
+    """The same for a table of lower-case terms: doc_id, term, s, e, v."""
+    return f"""(SELECT doc_id, term, CAST(pos AS INTEGER) AS s, CAST(pos + length(term) AS INTEGER) AS e, substr(text, CAST(pos AS BIGINT) + 1, length(term)) AS v FROM (
+      SELECT doc_id, text, term, list_sum(list_transform(g[1:k], lambda x: length(x))) + (k - 1) * length(term) AS pos
+      FROM (SELECT doc_id, text, term, g, unnest(range(1, len(g))) AS k FROM (SELECT doc_id, text, term, string_split(low, term) AS g FROM (SELECT doc_id, text, lower(text) AS low FROM {source}) d JOIN {terms} t ON contains(low, term))))
+      WHERE NOT regexp_matches(CASE WHEN pos = 0 THEN ' ' ELSE substr(text, CAST(pos AS BIGINT), 1) END, '[\\p{{L}}\\p{{N}}_]')
+        AND NOT regexp_matches(substr(text, CAST(pos AS BIGINT) + length(term) + 1, 1), '[\\p{{L}}\\p{{N}}_]'))"""
+
+
 DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
 LUHN = f"""(length({DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(0, length({DIGITS})),
   lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr({DIGITS}, CAST(length({DIGITS}) - i AS BIGINT), 1) AS INTEGER)

@@ -132,6 +132,28 @@ def gazetteer_join(spark, sf_dir):
     return dictionary.detect_known(docs(spark, sf_dir), table).select("doc_id", "id", "start", "end", "text", "type", "confidence")
 
 
+#: Names in the business tables, and words and pairs of words of the benchmark, as these stand in the documents.
+TERMS = r"""(SELECT DISTINCT term FROM (SELECT lower(c_name) AS term FROM customer UNION ALL SELECT lower(s_name) FROM supplier UNION ALL SELECT lower(n_name) FROM nation UNION ALL SELECT lower(p_name) FROM part
+  UNION ALL SELECT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) FROM benchmark UNION ALL SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,} [a-z]{4,}')) FROM benchmark))"""
+
+
+def _terms(spark, sf_dir) -> DataFrame:
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    names_ = [read(t).select(F.lower(c).alias("term")) for t, c in (("customer", "c_name"), ("supplier", "s_name"), ("nation", "n_name"), ("part", "p_name"))]
+    words = [read("benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0))).alias("term")) for p in ("[a-z]{7,}", "[a-z]{4,} [a-z]{4,}")]
+    every = names_[0]
+    for part in [*names_[1:], *words]:
+        every = every.union(part)
+    return every.distinct().select(F.xxhash64("term").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("ord"), "term", F.lit("ORG").alias("type"))
+
+
+@query(f"""SELECT h.doc_id, 'dict:' || h.s || '-' || h.e AS id, h.s AS "start", h.e AS "end", h.v AS text, 'ORG' AS type, 0.98::DOUBLE AS confidence
+FROM {O.phrases(TERMS)} h""")
+def gazetteer_tables(spark, sf_dir):
+    found = dictionary.detect_known(docs(spark, sf_dir), _terms(spark, sf_dir))
+    return found.select("doc_id", "id", "start", "end", "text", "type", "confidence")
+
+
 @query(f"""SELECT doc_id, s AS "start", e AS "end", v AS text, 'known non-sensitive entity on the dictionary allowlist' AS reason FROM {O.terms([(a, '') for a in ALLOWED])}""")
 def allowlist_scan(spark, sf_dir):
     return dictionary.allow_ranges(docs(spark, sf_dir), ALLOWED)
