@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import oracle as O
 from .functions import scalars
 from .functions.contract import DEFAULT_ALLOWLIST, SpanError
-from .operators import consistency, dictionary, merge, model_layer, names, patterns, raster, render, review, spans
+from .operators import consistency, dictionary, merge, model_layer, names, patterns, raster, render, review, spans, tagger
 from .plans.detect import detect, layer_report, layer_tallies
 from .sources.models import Replies
 
@@ -384,6 +384,15 @@ def ner_layer_corpus(spark, sf_dir):
     return names.detect_names(docs(spark, sf_dir).union(rows(spark, [(-1, NOTE)])))
 
 
+@query()
+def ner_tagger_corpus(spark, sf_dir):
+    """What a tagger finds in the documents, the conversations and the note; it learns from lessons and from lines of the documents."""
+    own = docs(spark, sf_dir)
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((-2 - F.col("conv_id") * 1000 - F.col("turn")).cast("long").alias("doc_id"), "text")
+    model = tagger.fit(tagger.lesson_sentences(spark).unionByName(tagger.plain_sentences(own)))
+    return names.detect_names(own.union(talks).union(rows(spark, [(-1, NOTE)])), analyser=tagger.analyser(model)).select("doc_id", "start", "end", "text", "type", "confidence")
+
+
 NOTE_FOUND = O.findings([], DEFAULT_ALLOWLIST, ONE_NOTE, names=True)
 
 
