@@ -42,7 +42,7 @@ class HostedModel:
 
 @dataclass(frozen=True)
 class LocalModel:
-    """A chat endpoint on this host, asked for JSON."""
+    """A chat endpoint on this host, asked for JSON; a reply without content is an empty text."""
 
     url: str
     model: str
@@ -51,11 +51,12 @@ class LocalModel:
 
     def complete(self, *, system: str, user: str) -> str:
         body = {"model": self.model, "stream": False, "format": "json", "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
+        url = self.url.rstrip("/")
         try:
-            raw = self.transport(f"{self.url}/api/chat", {"content-type": "application/json"}, json.dumps(body).encode(), self.timeout)
-            return json.loads(raw)["message"]["content"]
-        except (OSError, ValueError, KeyError) as error:
-            raise SpanError(502, "local_model_unavailable", type(error).__name__) from error
+            raw = self.transport(f"{url}/api/chat", {"content-type": "application/json"}, json.dumps(body).encode(), self.timeout)
+        except OSError as error:
+            raise SpanError(502, "llm_backend_unavailable", f"no answer from {url}: {error}") from error
+        return json.loads(raw).get("message", {}).get("content", "")
 
 
 @dataclass(frozen=True)
@@ -90,10 +91,10 @@ class Settings:
 
 
 def make_client(settings: Settings, name: str | None = None, transport: Transport = http_post) -> HostedModel | LocalModel:
-    """The client that a name asks for: cloud, or gemma-local with its aliases gemma_local and local."""
-    wanted = name or settings.model
+    """The client that a name asks for: cloud, or gemma-local with its aliases gemma_local and local; in any case, with blanks around it."""
+    wanted = (name or settings.model).strip().lower()
     if wanted == "cloud":
         return HostedModel(settings.hosted_url, settings.hosted_model, os.environ.get("VEILSPAN_KEY", ""), transport=transport)
     if wanted in ("gemma-local", "gemma_local", "local"):
         return LocalModel(settings.local_url, settings.local_model, transport=transport)
-    raise SpanError(500, "unknown_model", f"no model {wanted!r}")
+    raise SpanError(500, "unknown_model_flag", f"the model must be cloud or gemma-local, not {wanted!r}")

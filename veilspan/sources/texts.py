@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pdf
+
 
 def inline(spark: SparkSession, texts: Sequence[str]) -> DataFrame:
     """doc_id (from 0) and text; an empty text is refused."""
@@ -38,8 +40,11 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, text string, output_mode string").json(path).where(F.length("text") >= 1)
 
 
-def pdf_pages(spark: SparkSession, path: str, reader: Callable[[bytes, int], Sequence[tuple]], dpi: int = 200) -> DataFrame:
-    """Pages of PDF files by a function (file bytes, dpi) -> rows (page, text, width, height, rgb)."""
+def pdf_pages(spark: SparkSession, path: str, reader: Callable[[bytes, int], Sequence[tuple]] | None = None, dpi: int = 200) -> DataFrame:
+    """Pages of PDF files: doc_id, page, text, width, height, rgb. ``reader`` is a function (file bytes, dpi) -> rows of all but the
+    first; without one the package's own parser reads them (``sources.pdf``), and rows of unreadable files are left out."""
+    if reader is None:
+        return pdf.pdf_pages(spark, path).where("error is null").select("doc_id", "page", "text", "width", "height", "rgb")
     blobs = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
