@@ -11,8 +11,10 @@ from . import oracle as O
 from .functions import scalars
 from .functions.contract import DEFAULT_ALLOWLIST, SpanError
 from .operators import consistency, dictionary, merge, model_layer, names, patterns, raster, render, review, spans, tagger
+from .plans import replies
 from .plans.detect import detect, layer_report, layer_tallies
-from .sources.models import Replies
+from .sources import sinks
+from .sources.models import QuotesWord, Replies
 
 #: Terms of the synthetic corpus that stand in for a list of known entities and for harmless terms.
 KNOWN = [("than", "PERSON"), ("example", "ORG"), ("of the", "OTHER")]
@@ -32,7 +34,6 @@ NOTE = (
     "Post to 27 Riverbank Street, Newtown NSW 2042. Sent by her supervisor, Martin Sorvik, who asked for it. Anna has since agreed.\nChecked against Coastline Mutual, a partner."
 )
 REPLIES = [(1, 0, "Her manager, Bo Li, met Bo Li and Dr Bo.", '```json\n{"entities": [{"text": "Bo Li", "type": "person", "reason": " boss "}, {"text": "Bo Li", "type": "X"}, {"text": "Bo", "type": null, "reason": " "}, {"text": "Al", "type": "ORG"}]}\n```'), (2, 0, "nothing", "not json"), (3, 680, "the doctor Eve", '[{"text": "Eve", "type": "PERSON", "reason": "named"}]'), (3, 0, "Eve", "{}")]
-WORDS = [(1, 0, k, w, c, *key, 10 * k, 5, 8, 4) for k, (w, c, key) in enumerate([("Call", "91", (1, 1, 1)), (" ", "95", (1, 1, 1)), ("0413", "88.5", (1, 1, 1)), ("552", "80", (1, 1, 1)), ("x", "-1", (1, 1, 1)), ("760", "77", (1, 1, 1)), ("now", "n/a", (1, 1, 2)), ("Bye", "60", (1, 1, 2)), ("Page", "50", (2, 1, 1))])]
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +117,9 @@ def regex_layer(spark, sf_dir):
     return _layer(docs(spark, sf_dir))
 
 
-@query(_layer_sql(O.values(CASES)))
+@query(_layer_sql(BOTH))
 def regex_layer_cases(spark, sf_dir):
-    return _layer(rows(spark, CASES))
+    return _layer(docs(spark, sf_dir).union(rows(spark, CASES)))
 
 
 @query(f"""SELECT doc_id, 'dict:' || s || '-' || e AS id, s AS "start", e AS "end", v AS text, type, 0.98::DOUBLE AS confidence FROM {O.terms(KNOWN)}""")
@@ -338,50 +339,95 @@ def trigger_gate(spark, sf_dir):
     return model_layer.gated(model_layer.text_windows(docs(spark, sf_dir))).select("doc_id", "w_start")
 
 
-def _replies(spark):
-    return spark.createDataFrame(REPLIES, "doc_id long, w_start int, chunk string, reply string")
+#: The long words of a window, and the replies that a model gives in this corpus: of four kinds, by the document's id.
+LONG = r"[a-z]{6,}"
+WITH_REPLIES = rf"""WITH w AS (SELECT doc_id, w_start, chunk, regexp_extract_all(chunk, '{LONG}') AS l FROM {WINDOWS} WHERE regexp_matches(chunk, '{LONG}') AND doc_id % 4 < 3),
+e AS (SELECT doc_id, w_start, chunk, 0 AS k, l[1] AS text, 'person' AS type, 'boss' AS reason FROM w UNION ALL SELECT doc_id, w_start, chunk, 1, l[1], 'X', NULL FROM w UNION ALL SELECT doc_id, w_start, chunk, 2, l[-1], NULL, ' ' FROM w)"""
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'Bo Li', 'person'), (1, 'Bo Li', 'X'), (1, 'Bo', NULL), (1, 'Al', 'ORG'), (3, 'Eve', 'PERSON')) t(doc_id, text, type)")
+def _replies(spark, sf_dir):
+    """Windows with replies that quote their first and last long word: bare lists, objects, fenced objects, and no JSON."""
+    windows = model_layer.text_windows(docs(spark, sf_dir)).withColumn("l", F.regexp_extract_all("chunk", F.lit(LONG), F.lit(0))).where(F.size("l") > 0)
+
+    def entity(text, kind, reason):
+        return F.struct(text.alias("text"), F.lit(kind).cast("string").alias("type"), F.lit(reason).cast("string").alias("reason"))
+
+    listed = F.to_json(F.array(entity(F.element_at("l", 1), "person", " boss "), entity(F.element_at("l", 1), "X", None), entity(F.element_at("l", -1), None, " ")))
+    whole = F.concat(F.lit('{"entities": '), listed, F.lit("}"))
+    kind = F.col("doc_id") % 4
+    reply = F.when(kind == 0, listed).when(kind == 1, whole).when(kind == 2, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(F.concat(F.lit("I found "), listed))
+    return windows.select("doc_id", "w_start", "chunk", reply.alias("reply")).unionByName(spark.createDataFrame([(-d, *r) for d, *r in REPLIES], "doc_id long, w_start int, chunk string, reply string"))
+
+
+@query(f"{WITH_REPLIES} SELECT doc_id, text, type FROM e UNION ALL SELECT * FROM (VALUES (CAST(-1 AS BIGINT), 'Bo Li', 'person'), (-1, 'Bo Li', 'X'), (-1, 'Bo', NULL), (-1, 'Al', 'ORG'), (-3, 'Eve', 'PERSON')) t(doc_id, text, type)")
 def llm_parse(spark, sf_dir):
-    return _replies(spark).select("doc_id", F.explode(model_layer.parsed_entities("reply")).alias("e")).select("doc_id", "e.text", "e.type")
+    return _replies(spark, sf_dir).select("doc_id", F.explode(model_layer.parsed_entities("reply")).alias("e")).select("doc_id", "e.text", "e.type")
 
 
-@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 13, 18, 'Bo Li', 'PERSON', 'boss'), (1, 24, 29, 'Bo Li', 'OTHER', 'relational/implicit PII the earlier layers missed'),
-  (1, 37, 39, 'Bo', 'OTHER', 'relational/implicit PII the earlier layers missed'), (3, 691, 694, 'Eve', 'PERSON', 'named')) t(doc_id, "start", "end", text, type, reason)""")
+@query(f"""{WITH_REPLIES}, places AS (SELECT *, list_filter(range(1, 802), lambda i: substr(chunk, i, length(text)) = text) AS p FROM e),
+first AS (SELECT doc_id, w_start, max(p[1]) FILTER (k = 0) AS a, max(p[2]) FILTER (k = 1) AS b FROM places GROUP BY ALL),
+hits AS (SELECT doc_id, w_start, k, text, type, reason, CASE k WHEN 0 THEN a WHEN 1 THEN b ELSE list_filter(p, lambda x: x <> a AND x IS DISTINCT FROM b)[1] END AS place FROM places JOIN first USING (doc_id, w_start)),
+found AS (SELECT doc_id, w_start, k, CAST(w_start + place - 1 AS INTEGER) AS s, CAST(w_start + place - 1 + length(text) AS INTEGER) AS e, text, CASE WHEN type = 'person' THEN 'PERSON' ELSE 'OTHER' END AS type, CASE WHEN reason = 'boss' THEN reason ELSE 'relational/implicit PII the earlier layers missed' END AS reason FROM hits WHERE place IS NOT NULL)
+SELECT doc_id, s AS "start", e AS "end", text, type, reason FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, s, e ORDER BY w_start, k) = 1
+UNION ALL SELECT * FROM (VALUES (CAST(-1 AS BIGINT), 13, 18, 'Bo Li', 'PERSON', 'boss'), (-1, 24, 29, 'Bo Li', 'OTHER', 'relational/implicit PII the earlier layers missed'),
+  (-1, 37, 39, 'Bo', 'OTHER', 'relational/implicit PII the earlier layers missed'), (-3, 691, 694, 'Eve', 'PERSON', 'named')) t(doc_id, "start", "end", text, type, reason)""")
 def llm_reanchor(spark, sf_dir):
-    return model_layer.model_hits(_replies(spark)).select("doc_id", "start", "end", "text", "type", "reason")
+    return model_layer.model_hits(_replies(spark, sf_dir)).select("doc_id", "start", "end", "text", "type", "reason")
 
 
-ONE_NOTE = O.values([(1, NOTE)])
 #: A claim for the model layer that the name layer also makes.
 NAMED = Replies({"supervisor": '{"entities": [{"text": "Martin Sorvik", "type": "PERSON", "reason": "named by role"}]}'})
 CANDIDATE = """id, s AS "start", e AS "end", v AS text, type, confidence, source, reason, CAST(NULL AS VARCHAR) AS normalized_value"""
+#: The documents, and a note as they hold no names.
+WITH_NOTE = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {O.values([(-1, NOTE)])})"
+
+
+def noted(spark, sf_dir) -> DataFrame:
+    return docs(spark, sf_dir).union(rows(spark, [(-1, NOTE)]))
 
 
-@query(f"""SELECT doc_id, 3298534883328 + s * 65536 + e - s AS arrival, 'llm:' || s || '-' || e AS {CANDIDATE} FROM (
-  SELECT doc_id, CAST(strpos(text, v) - 1 AS INTEGER) AS s, CAST(strpos(text, v) - 1 + length(v) AS INTEGER) AS e, v, 'PERSON' AS type, 0.55::DOUBLE AS confidence, 'llm' AS source, 'named by role' AS reason FROM (SELECT *, 'Martin Sorvik' AS v FROM {ONE_NOTE}))""")
+def _windows(source: str) -> str:
+    return WINDOWS.replace("FROM documents", f"FROM {source}")
+
+
+#: What the model layer makes of replies that quote a window's first long word.
+QUOTED = rf"""SELECT DISTINCT doc_id, CAST(w_start + strpos(chunk, v) - 1 AS INTEGER) AS s, CAST(w_start + strpos(chunk, v) - 1 + length(v) AS INTEGER) AS e, v
+FROM (SELECT *, regexp_extract(chunk, '{LONG}') AS v FROM {_windows(WITH_NOTE)} WHERE regexp_matches(lower(chunk), '(^|[^\p{{L}}\p{{N}}_])({TRIGGERS})([^\p{{L}}\p{{N}}_]|$)')) WHERE v <> ''"""
+
+
+@query(f"""SELECT doc_id, 3298534883328 + CAST(s AS BIGINT) * 65536 + e - s AS arrival, 'llm:' || s || '-' || e AS {CANDIDATE} FROM (SELECT *, 'PERSON' AS type, 0.55::DOUBLE AS confidence, 'llm' AS source, 'quoted' AS reason FROM ({QUOTED}))""")
 def llm_layer(spark, sf_dir):
-    return model_layer.detect_with_model(rows(spark, [(1, NOTE)]), NAMED)
+    """Replies are asked for through a table of replies, so copies of a passage are asked once."""
+    windows = model_layer.gated(model_layer.text_windows(noted(spark, sf_dir)))
+    replied = replies.answered(windows, QuotesWord(LONG), replies.reply_table(spark, sinks.shared_folder(spark)))
+    return model_layer.detect_with_model(noted(spark, sf_dir), replies=replied)
+
+
+@query(f"""WITH q AS ({QUOTED}), f AS (SELECT * FROM {O.layer(WITH_NOTE)}), own AS (SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = q.doc_id AND q.s < f.e AND f.s < q.e)),
+m AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM own),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT doc_id, s AS "start", e AS "end", CAST(1 AS INTEGER) AS tier FROM f UNION ALL SELECT doc_id, s, e, CAST(3 AS INTEGER) FROM i QUALIFY row_number() OVER (PARTITION BY doc_id, island ORDER BY s, e) = 1""")
+def soft_findings(spark, sf_dir):
+    """Findings of patterns and of a model that quotes: those of the model alone are of the third tier."""
+    d = noted(spark, sf_dir)
+    found = patterns.detect_patterns(d)
+    hits = model_layer.detect_with_model(d, QuotesWord(LONG), covered=found)
+    return merge.merge(found.unionByName(hits)).select("doc_id", "start", "end", "tier")
 
 
 def _names_sql(source: str, allowed=()) -> str:
     return f"SELECT doc_id, 2199023255552 + CAST(ord AS BIGINT) AS arrival, 'ner:' || s || '-' || e AS {CANDIDATE} FROM (SELECT *, 'ner' AS source FROM {O.names_layer(source, allowed)})"
 
 
-@query(_names_sql(ONE_NOTE, DEFAULT_ALLOWLIST))
+@query(_names_sql(WITH_NOTE, DEFAULT_ALLOWLIST))
 def ner_layer(spark, sf_dir):
-    d = rows(spark, [(1, NOTE)])
+    d = noted(spark, sf_dir)
     return names.detect_names(d, dictionary.allow_ranges(d))
 
 
-#: The documents, and a note as they hold no names.
-WITH_NOTE = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {O.values([(-1, NOTE)])})"
-
-
 @query(_names_sql(WITH_NOTE))
 def ner_layer_corpus(spark, sf_dir):
-    return names.detect_names(docs(spark, sf_dir).union(rows(spark, [(-1, NOTE)])))
+    return names.detect_names(noted(spark, sf_dir))
 
 
 @query()
@@ -393,12 +439,12 @@ def ner_tagger_corpus(spark, sf_dir):
     return names.detect_names(own.union(talks).union(rows(spark, [(-1, NOTE)])), analyser=tagger.analyser(model)).select("doc_id", "start", "end", "text", "type", "confidence")
 
 
-NOTE_FOUND = O.findings([], DEFAULT_ALLOWLIST, ONE_NOTE, names=True)
+NOTE_FOUND = O.findings([], DEFAULT_ALLOWLIST, WITH_NOTE, names=True)
 
 
 @query(f"""{NOTE_FOUND} SELECT doc_id, 'm:' || s || '-' || e AS id, s AS "start", e AS "end", v AS text, type, confidence, sources, reason, norm AS normalized_value, CAST({O.TIER} AS INTEGER) AS tier, CAST(links AS INTEGER) AS linked_count FROM found""")
 def full_pipeline_note(spark, sf_dir):
-    found = detect(rows(spark, [(1, NOTE)]), client=NAMED).findings
+    found = detect(noted(spark, sf_dir), client=NAMED).findings
     return found.drop("linked", "link_group").withColumn("linked_count", F.col("linked_count").cast("int"))
 
 
@@ -486,10 +532,14 @@ def ranked_findings(spark, sf_dir):
     return review.ordered(_detected(spark, sf_dir).findings).select("doc_id", "start", "place")
 
 
-@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 3, 'SSN', CAST(NULL AS VARCHAR)), (1, 0, 3, 'SSN', 'span_offset_mismatch'), (1, 5, 99, NULL, 'span_offsets_out_of_range'), (7, 0, 0, '', NULL), (1, 4, 2, NULL, 'span_offsets_out_of_range')) t(doc_id, "start", "end", text, error)""")
+@query(f"""SELECT doc_id, s AS "start", CASE s % 4 WHEN 1 THEN e + 1000000 WHEN 2 THEN s - 1 ELSE e END AS "end", CASE s % 4 WHEN 0 THEN v WHEN 3 THEN v END AS text, CASE s % 4 WHEN 0 THEN NULL WHEN 3 THEN 'span_offset_mismatch' ELSE 'span_offsets_out_of_range' END AS error FROM {O.layer()}""")
 def span_check(spark, sf_dir):
-    claims = spark.createDataFrame([(1, 0, 3, "SSN"), (1, 0, 3, "XYZ"), (1, 5, 99, None), (7, 0, 0, None), (1, 4, 2, None)], "doc_id long, start int, end int, text string")
-    return spans.checked(claims, rows(spark, CASES)).select("doc_id", "start", "end", "text", F.col("error.code").alias("error"))
+    """Claims made of the pattern layer's spans: every fourth is sound, the others end beyond the text or before they start, or claim another text."""
+    d = docs(spark, sf_dir)
+    kind = F.col("start") % 4
+    end = F.when(kind == 1, F.col("end") + 1_000_000).when(kind == 2, F.col("start") - 1).otherwise(F.col("end"))
+    claims = patterns.detect_patterns(d).select("doc_id", "start", end.alias("end"), F.when(kind == 0, F.col("text")).when(kind == 3, F.concat("text", F.lit("?"))).alias("text"))
+    return spans.checked(claims, d).select("doc_id", "start", "end", "text", F.col("error.code").alias("error"))
 
 
 @query(f"""SELECT doc_id, s AS "start", e AS "end", p AS previous_end FROM (SELECT doc_id, s, e, lag(e) OVER (PARTITION BY doc_id ORDER BY s, e) AS p FROM {O.candidates(KNOWN)}) WHERE s < p""")
@@ -510,18 +560,31 @@ def page_kinds(spark, sf_dir):
     return raster.page_kinds(pages)
 
 
-def _words(spark):
-    return raster.placed_words(spark.createDataFrame(WORDS, raster.WORDS))
+#: The documents as recognised words: every seventh is of no confidence; a line feed ends a line. With the words that are
+#: kept and their offsets in the page's text.
+WITH_PAGES = r"""WITH tok AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS k FROM (SELECT doc_id, regexp_extract_all(text, '[^ \n]+|\n') AS w FROM documents)),
+lines AS (SELECT *, count(*) FILTER (t = chr(10)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS line FROM tok),
+kept AS (SELECT *, CASE WHEN lag(line) OVER o IS NULL THEN '' WHEN lag(line) OVER o <> line THEN chr(10) ELSE ' ' END AS sep FROM lines WHERE t <> chr(10) AND k % 7 <> 3 AND regexp_matches(t, '\S') WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+placed AS MATERIALIZED (SELECT doc_id, k, t, sep, line, CAST(sum(length(sep) + length(t)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS INTEGER) AS e FROM kept),
+page AS MATERIALIZED (SELECT doc_id, string_agg(sep || t, '' ORDER BY k) AS text FROM placed GROUP BY doc_id)"""
 
 
-@query("SELECT CAST(1 AS BIGINT) AS doc_id, CAST(0 AS INTEGER) AS page, 'Call 0413 552 760' || chr(10) || 'Bye' || chr(10) || 'Page' AS text")
+def _words(spark, sf_dir):
+    tokens = docs(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \n]+|\n"), F.lit(0))).alias("ord", "text"))
+    line = F.count_if(F.col("text") == "\n").over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    number = lambda c: c.cast("int")
+    made = tokens.select("doc_id", F.lit(0).alias("page"), "ord", "text", F.when(F.col("ord") % 7 == 3, "-1").otherwise("90.5").alias("conf"), F.lit(1).alias("block"), F.lit(1).alias("par"), number(line).alias("line"), number(F.col("ord") * 10).alias("left"), number(line * 12).alias("top"), F.lit(8).alias("width"), F.lit(10).alias("height"))
+    return raster.placed_words(made)
+
+
+@query(f"{WITH_PAGES} SELECT doc_id, CAST(0 AS INTEGER) AS page, text FROM page")
 def ocr_text(spark, sf_dir):
-    return raster.page_texts(_words(spark))
+    return raster.page_texts(_words(spark, sf_dir))
 
 
-@query('SELECT * FROM (VALUES (CAST(1 AS BIGINT), 2, 20, 28), (1, 3, 30, 38), (1, 5, 50, 58)) t(doc_id, ord, x0, x1)')
+@query(f"{WITH_PAGES} SELECT l.doc_id, CAST(p.k AS INTEGER) AS ord, CAST(10 * p.k AS INTEGER) AS x0, CAST(10 * p.k + 8 AS INTEGER) AS x1 FROM {O.layer('page')} l JOIN placed p ON p.doc_id = l.doc_id AND p.e - length(p.t) < l.e AND l.s < p.e")
 def span_boxes(spark, sf_dir):
-    placed = _words(spark)
+    placed = _words(spark, sf_dir)
     found = patterns.detect_patterns(raster.page_texts(placed)).withColumn("page", F.lit(0))
     return raster.span_boxes(found, placed).select("doc_id", "ord", "box.x0", "box.x1")
 
@@ -533,10 +596,13 @@ def visible_ips(spark, sf_dir):
     return consistency.extra_formats(d, patterns.detect_patterns(d)).where("kind = 'IP'").select("doc_id", "start", "end", "text")
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'SSN', 1, 0, 3), (3, '4111 1111 1111', 2, 59, 73), (3, 'none', 1, NULL, NULL)) t(doc_id, text, occurrence, \"start\", \"end\")")
+@query(f"""SELECT doc_id, v AS text, CAST(n AS INTEGER) AS occurrence, CASE WHEN len(g) > n THEN CAST(pos AS INTEGER) END AS "start", CASE WHEN len(g) > n THEN CAST(pos + length(v) AS INTEGER) END AS "end"
+FROM (SELECT *, list_sum(list_transform(g[1:n], lambda x: length(x))) + (n - 1) * length(v) AS pos FROM (SELECT l.doc_id, l.v, 1 + l.s % 2 AS n, string_split(d.text, l.v) AS g FROM {O.layer()} l JOIN documents d USING (doc_id)))""")
 def resolve_occurrences(spark, sf_dir):
-    wanted = spark.createDataFrame([(1, "SSN", 1), (3, "4111 1111 1111", 2), (3, "none", 1)], "doc_id long, text string, occurrence int")
-    return consistency.resolved_occurrences(rows(spark, CASES), wanted).select("doc_id", "text", "occurrence", "start", "end")
+    """The first or second place of each value of the pattern layer, which there may not be."""
+    d = docs(spark, sf_dir)
+    wanted = patterns.detect_patterns(d).select("doc_id", "text", (F.lit(1) + F.col("start") % 2).alias("occurrence"))
+    return consistency.resolved_occurrences(d, wanted).select("doc_id", "text", "occurrence", "start", "end")
 
 
 WORD = r"[\p{L}\p{N}_]{3,}"
@@ -550,16 +616,50 @@ def leaked_parts(spark, sf_dir):
     return consistency.leaked_parts(d, patterns.detect_patterns(d))
 
 
-TRUTH = [(1, "PERSON", NOTE.index("Anna Hartwell"), NOTE.index("Anna Hartwell") + 13), (1, "PERSON", NOTE.index("Martin"), NOTE.index("Martin") + 13), (1, "PERSON", NOTE.index("Anna has"), NOTE.index("Anna has") + 4)] + [(1, kind, NOTE.index(v), NOTE.index(v) + len(v)) for kind, v in (("PHONE", "0413 555 760"), ("PHONE", "+61 413 555 760"), ("EMAIL", "anna.h@mail.example.org"), ("ADDRESS", "27 Riverbank Street, Newtown NSW 2042"), ("ID_NUMBER", "CR-10442-AC"), ("OTHER", "Claimant"))]
+#: What is taken for true: spans of the note, and those of the documents' findings that don't start at a multiple of five, moved by up to three.
+TRUTH = [("PERSON", "Anna Hartwell"), ("PERSON", "Martin Sorvik"), ("PERSON", "Anna has"), ("PHONE", "0413 555 760"), ("PHONE", "+61 413 555 760"), ("EMAIL", "anna.h@mail.example.org"), ("ADDRESS", "27 Riverbank Street, Newtown NSW 2042"), ("ID_NUMBER", "CR-10442-AC"), ("OTHER", "Claimant")]
+TRUE_SPANS = [(-1, kind, NOTE.index(v), NOTE.index(v) + len(v)) for kind, v in TRUTH]
 
 
-@query(f"""{NOTE_FOUND}, truth(doc_id, type, s, e) AS (VALUES {', '.join(str(r) for r in TRUTH)}),
+@query(f"""{NOTE_FOUND}, truth AS (SELECT doc_id, type, s + s % 4 AS s, e + s % 4 AS e FROM {O.layer()} WHERE s % 5 <> 0 UNION ALL SELECT * FROM (VALUES {', '.join(str(r) for r in TRUE_SPANS)}) v(doc_id, type, s, e)),
 p AS (SELECT type, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM truth t WHERE t.doc_id = f.doc_id AND t.type = f.type AND t.s < f.e AND f.s < t.e)) AS r FROM found f GROUP BY type),
 t AS (SELECT type, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM found f WHERE t.doc_id = f.doc_id AND t.type = f.type AND t.s < f.e AND f.s < t.e)) AS r FROM truth t GROUP BY type)
 SELECT type, coalesce(p.n, 0) AS predicted, coalesce(t.n, 0) AS "true", p.r / p.n AS precision, t.r / t.n AS recall FROM p FULL JOIN t USING (type)""")
 def score_against_labels(spark, sf_dir):
-    truth = spark.createDataFrame(TRUTH, "doc_id long, type string, start int, end int")
-    return consistency.scored(detect(rows(spark, [(1, NOTE)])).findings, truth)
+    moved = patterns.detect_patterns(docs(spark, sf_dir)).where("start % 5 <> 0").select("doc_id", "type", (F.col("start") + F.col("start") % 4).alias("start"), (F.col("end") + F.col("start") % 4).alias("end"))
+    truth = moved.union(spark.createDataFrame(TRUE_SPANS, "doc_id long, type string, start int, end int"))
+    return consistency.scored(detect(noted(spark, sf_dir)).findings, truth)
+
+
+@query(f"""WITH l AS (SELECT *, type || ':' || CASE WHEN type = 'PHONE' THEN {O.canonical('norm')} ELSE norm END AS key FROM {O.layer()} WHERE norm <> '' AND s % 3 > 0),
+n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS c FROM l) SELECT doc_id, s AS "start", e AS "end", v AS text FROM n WHERE c >= 2""")
+def repeated_values(spark, sf_dir):
+    """Values that stand twice or more outside hidden spans, which are those that start at a multiple of three."""
+    found = patterns.detect_patterns(docs(spark, sf_dir))
+    return consistency.repeated_values(found, found.where("start % 3 = 0")).select("doc_id", "start", "end", "text")
+
+
+@query(_text_sql("'[REDACTED]'"))
+def exported_once(spark, sf_dir):
+    """Redacted texts through the export sink, handed to it twice, as they are read back."""
+    d = docs(spark, sf_dir)
+    text = render.rendered(d, _accepted(spark, sf_dir), "REDACT")
+    sink = sinks.export_sink(spark, sinks.shared_folder(spark))
+    exports = text.select("doc_id", F.lit(False).alias("gated"), "output_text", F.array().cast("array<struct<ord:int,token:string,type:string,occurrences:bigint>>").alias("legend"), F.array().cast("array<struct<start:int,end:int,id:string>>").alias("unresolved"), "error")
+    for _ in range(2):
+        sinks.put_exports(sink, "all", exports)
+    return sink.read().select("doc_id", "output_text")
+
+
+@query(f"""{FOUND}, q AS (SELECT doc_id, count(*) AS n, count(*) FILTER ({O.TIER} = 1) AS high FROM found GROUP BY doc_id), c AS (SELECT doc_id, count(*) AS n FROM cand GROUP BY doc_id)
+SELECT d.doc_id, 'REDACT' AS output_mode, CAST(4 AS INTEGER) AS layers, coalesce(c.n, 0)::BIGINT AS candidates, CAST(coalesce(q.n, 0) AS INTEGER) AS queue, coalesce(q.high, 0)::BIGINT AS tier1, coalesce(q.high, 0)::BIGINT AS unresolved_high_risk
+FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id WHERE length(d.text) > 0""")
+def review_state(spark, sf_dir):
+    """The nested state of every review that has just begun, in numbers."""
+    d = _detected(spark, sf_dir)
+    whole = docs(spark, sf_dir).where("length(text) > 0")
+    state = review.state(whole, review.queue(whole, d.findings.drop("linked")), d.layers, "REDACT")
+    return state.select("doc_id", "output_mode", F.size("layers").alias("layers"), F.aggregate("layers", F.lit(0).cast("long"), lambda n, x: n + x["count"]).alias("candidates"), F.size(F.coalesce("queue", F.array())).alias("queue"), "counts.tier1", "counts.unresolved_high_risk")
 
 
 @query(f"""{FOUND}, k AS (SELECT doc_id, s, e, {STATUS} AS status FROM found WHERE {STATUS} <> 'dismissed'),

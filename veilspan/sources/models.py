@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -70,6 +71,17 @@ class Replies:
         return next((reply for key, reply in self.by_text.items() if key in user), self.otherwise)
 
 
+@dataclass(frozen=True)
+class QuotesWord:
+    """A stand-in that names the first match of a pattern in the passage as a person."""
+
+    pattern: str
+
+    def complete(self, *, system: str, user: str) -> str:
+        found = re.search(self.pattern, user.split("\n\n", 1)[-1])
+        return json.dumps({"entities": [{"text": found[0], "type": "PERSON", "reason": "quoted"}] if found else []})
+
+
 @dataclass(frozen=True)
 class Settings:
     """Settings of the service, from the environment."""
