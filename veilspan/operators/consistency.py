@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.matching import all_matches, literal_places
 from ..functions.scalars import link_key, piece
 from .intervals import apart, pairs, touched
+from .merge import clustered
+from .model_layer import detect_with_model
+from .render import rendered
 
 #: What a second look takes for a network address, a link and a case number.
 EXTRA_FORMATS = {"IP": r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", "URL": r"https?://[^\s<>\"']+", "POLICY": r"\b(?:[Pp]olicy|[Cc]ase|[Cc]laim) (?:[Nn]o\.? |[Nn]umber |#)?[A-Z0-9][A-Z0-9-]{3,30}\b"}
@@ -50,6 +53,33 @@ def repeated_values(spans: DataFrame, hidden: DataFrame) -> DataFrame:
     return keyed.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "key"))).where("n >= 2").drop("n", "key")
 
 
+def semantic_lens(documents: DataFrame, hidden: DataFrame, client) -> DataFrame:
+    """doc_id, start, end, text of what a model still finds once the hidden spans are blacked out.
+
+    Blocks are as long as what they hide, so offsets are those of the document. A document with a call that fails has none.
+    """
+    spans = hidden.select("doc_id", "start", "end", F.lit("").alias("text"), F.lit("OTHER").alias("type"), F.lit(None).cast("string").alias("normalized_value"))
+    shown = rendered(documents, spans, "REDACT", "blackout").where("error is null").select("doc_id", F.col("output_text").alias("text"))
+    return visible(detect_with_model(shown, client).select("doc_id", "start", "end", "text"), hidden)
+
+
+def second_looks(documents: DataFrame, hidden: DataFrame, client=None) -> DataFrame:
+    """doc_id, ord, start, end, text, lenses, severity: what each lens finds in the visible text, overlapping finds as one.
+
+    Formats and leaked parts are suggestions; what only a model finds is for review, and nothing of this enters findings, so it
+    can't hold an export back. In each document leaked parts come first, then formats, then the model's.
+    """
+    found = leaked_parts(documents, hidden).withColumn("lens", F.lit("consistency")).unionByName(extra_formats(documents, hidden).drop("kind").withColumn("lens", F.lit("format")))
+    if client is not None:
+        found = found.unionByName(semantic_lens(documents, hidden, client).withColumn("lens", F.lit("semantic")))
+    islands = clustered(found.withColumn("arrival", F.lit(0)))
+    whole = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("lens")).alias("lenses"))
+    severity = F.when(F.col("lenses") == F.array(F.lit("semantic")), "review").otherwise("suggest")
+    risk = F.when(F.array_contains("lenses", "consistency"), 0).when(F.array_contains("lenses", "format"), 1).otherwise(2)
+    order = Window.partitionBy("doc_id").orderBy(risk, "start")
+    return slices(documents, whole.withColumn("severity", severity).withColumn("ord", F.row_number().over(order))).select("doc_id", "ord", "start", "end", "text", "lenses", "severity")
+
+
 def scored(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """Precision and recall by type: a prediction that overlaps a true span of its type counts as found."""
     p, t = predicted.select("doc_id", "type", "start", "end"), truth.select("doc_id", "type", "start", "end")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contract import STRUCTURAL_SOURCES, TIER_HIGH, TIER_LOW_CONFIDENCE, TIER_SOFT_REVIEW
-from ..functions.scalars import link_key
+from ..functions.scalars import link_key, piece
 from .intervals import apart
 
 
@@ -79,14 +79,23 @@ def with_groups(findings: DataFrame) -> DataFrame:
     return findings.withColumn("link_group", group).withColumn("linked_count", F.size("linked").cast("long"))
 
 
-def merge(candidates: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+def widened(best: DataFrame, islands: DataFrame, documents: DataFrame) -> DataFrame:
+    """Winners with the offsets of their whole island, and the text between them; type and all else stay the winner's."""
+    reach = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    rows = best.drop("start", "end", "text").join(reach, ["doc_id", "island"]).join(documents.select("doc_id", F.col("text").alias("whole")), "doc_id")
+    return rows.withColumn("text", piece("whole", F.col("start"), F.col("end"))).drop("whole")
+
+
+def merge(candidates: DataFrame, ranges: DataFrame | None = None, whole: DataFrame | None = None) -> DataFrame:
     """Findings: doc_id, id, start, end, text, type, confidence, sources, reason, normalized_value, tier, linked, link_group, linked_count.
 
-    Rank them by doc_id, tier, start, end.
+    Rank them by doc_id, tier, start, end. A finding's offsets are the winner's; with the documents as ``whole`` they are those of
+    all that overlaps it, so no part of a losing candidate stays uncovered.
     """
     kept = candidates if ranges is None else suppressed(candidates, ranges)
     islands = clustered(kept)
-    found = winners(islands).join(facts(islands), ["doc_id", "island"]).drop("island").withColumn("id", F.concat(F.lit("m:"), F.col("start"), F.lit("-"), F.col("end")))
+    best = winners(islands) if whole is None else widened(winners(islands), islands, whole)
+    found = best.join(facts(islands), ["doc_id", "island"]).drop("island").withColumn("id", F.concat(F.lit("m:"), F.col("start"), F.lit("-"), F.col("end")))
     found = linked(grouped(found))
     return found.select("doc_id", "id", "start", "end", "text", "type", "confidence", "sources", "reason", "normalized_value", tier("sources", F.col("linked_count") > 0).alias("tier"), "linked", "link_group", "linked_count")
 

@@ -605,6 +605,14 @@ def resolve_occurrences(spark, sf_dir):
     return consistency.resolved_occurrences(d, wanted).select("doc_id", "text", "occurrence", "start", "end")
 
 
+@query(f"""{FOUND}, w AS (SELECT doc_id, island, min(s) AS s, max(e) AS e FROM isl GROUP BY ALL)
+SELECT w.doc_id, CAST(w.s AS INTEGER) AS "start", CAST(w.e AS INTEGER) AS "end", substr(d.text, w.s + 1, w.e - w.s) AS text, b.type FROM w JOIN best b ON b.doc_id = w.doc_id AND b.island = w.island JOIN documents d ON d.doc_id = w.doc_id""")
+def wide_findings(spark, sf_dir):
+    """Findings whose offsets are those of all candidates that overlap."""
+    d = _detected(spark, sf_dir)
+    return merge.merge(d.candidates, d.ranges, whole=docs(spark, sf_dir)).select("doc_id", "start", "end", "text", "type")
+
+
 WORD = r"[\p{L}\p{N}_]{3,}"
 
 
@@ -616,6 +624,26 @@ def leaked_parts(spark, sf_dir):
     return consistency.leaked_parts(d, patterns.detect_patterns(d))
 
 
+SECOND = rf"""WITH l AS MATERIALIZED (SELECT * FROM {O.layer()}), p AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(v, '{WORD}'))) AS part FROM l),
+c AS (SELECT w.doc_id, s, e, 'consistency' AS lens FROM {O.hits(WORD)} w JOIN p ON p.doc_id = w.doc_id AND p.part = lower(w.v) UNION ALL SELECT doc_id, s, e, 'format' FROM {O.hits(consistency.EXTRA_FORMATS["IP"])}
+  UNION ALL SELECT doc_id, s, e, 'format' FROM {O.hits(consistency.EXTRA_FORMATS["URL"])} UNION ALL SELECT doc_id, s, e, 'format' FROM {O.hits(consistency.EXTRA_FORMATS["POLICY"])}
+  UNION ALL SELECT doc_id, CAST(w_start + strpos(chunk, v) - 1 AS INTEGER), CAST(w_start + strpos(chunk, v) - 1 + length(v) AS INTEGER), 'semantic'
+    FROM (SELECT *, regexp_extract(chunk, '{LONG}') AS v FROM {_windows("black")} WHERE regexp_matches(lower(chunk), '(^|[^\p{{L}}\p{{N}}_])({TRIGGERS})([^\p{{L}}\p{{N}}_]|$)')) WHERE v <> ''),
+k AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id = c.doc_id AND c.s < l.e AND l.s < c.e)),
+m AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM k),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m),
+g AS (SELECT doc_id, min(s) AS s, max(e) AS e, list_sort(list(DISTINCT lens)) AS lenses FROM i GROUP BY doc_id, island)
+SELECT g.doc_id, CAST(row_number() OVER (PARTITION BY g.doc_id ORDER BY CASE WHEN list_contains(lenses, 'consistency') THEN 0 WHEN list_contains(lenses, 'format') THEN 1 ELSE 2 END, s) AS INTEGER) AS ord,
+  CAST(s AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end", substr(d.text, s + 1, e - s) AS text, lenses, CASE WHEN lenses = ['semantic'] THEN 'review' ELSE 'suggest' END AS severity FROM g JOIN documents d ON d.doc_id = g.doc_id"""
+
+
+@query(SECOND.replace("WITH l AS MATERIALIZED", f"WITH black AS MATERIALIZED ({_text_sql(chr(39) + chr(39)).replace('output_text', 'text').replace('p.token', 'repeat(chr(9608), p.e - p.s)')}), l AS MATERIALIZED"))
+def second_looks(spark, sf_dir):
+    """What formats, parts of hidden values and a quoting model still find once the pattern layer's spans are hidden."""
+    d = docs(spark, sf_dir)
+    return consistency.second_looks(d, patterns.detect_patterns(d), QuotesWord(LONG))
+
+
 #: What is taken for true: spans of the note, and those of the documents' findings that don't start at a multiple of five, moved by up to three.
 TRUTH = [("PERSON", "Anna Hartwell"), ("PERSON", "Martin Sorvik"), ("PERSON", "Anna has"), ("PHONE", "0413 555 760"), ("PHONE", "+61 413 555 760"), ("EMAIL", "anna.h@mail.example.org"), ("ADDRESS", "27 Riverbank Street, Newtown NSW 2042"), ("ID_NUMBER", "CR-10442-AC"), ("OTHER", "Claimant")]
 TRUE_SPANS = [(-1, kind, NOTE.index(v), NOTE.index(v) + len(v)) for kind, v in TRUTH]
