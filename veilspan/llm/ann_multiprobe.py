@@ -19,6 +19,7 @@ blocks of bounded size, so no row set is gathered in one task.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from math import erf, sqrt
 
 import numpy as np
@@ -30,6 +31,8 @@ from .common import stored, tidy
 from .vectors import chunked, joined_parts, scaled, unit
 
 CHUNK_ROWS, QUERY_ROWS = 16384, 1024
+#: Queries whose candidates are held at once.
+PART_QUERIES = 128
 TABLES, DIRECTIONS, REACH = 6, 4, 3
 #: Bound of the sample that the expected distance and the bucket width are fitted on.
 SAMPLE_ROWS = 4096
@@ -103,18 +106,42 @@ def largest_norm(vectors: np.ndarray) -> float:
 
 
 def search(hashes: Hashes, vectors: np.ndarray, keys: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_keys: np.ndarray, largest: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query row, vector row, score) of each query's ``k`` best among its candidates in this chunk; the number of candidates."""
+    """(query row, vector row, score) of each query's ``k`` best among its candidates in this chunk; the number of candidates.
+
+    Products are made for a query's candidates only. Queries are taken in parts, so what is held of candidates is bounded.
+    """
     points, asked = as_points(vectors, largest), as_queries(queries)
-    met = np.zeros((len(queries), len(vectors)), dtype=bool)
     tables = []
     for t in range(TABLES):
         own = hashes.keys(np.floor(hashes.places(points, t)))
         order = np.argsort(own, kind="stable")
         tables.append((order, *np.unique(own[order], return_index=True, return_counts=True), hashes.places(asked, t)))
+    rows, columns, scores, candidates = [], [], [], 0
+    for low in range(0, len(queries), PART_QUERIES):
+        part = np.arange(low, min(low + PART_QUERIES, len(queries)))
+        for q, own, rough in _candidates(hashes, tables, points, asked, keys, query_keys, part, k):
+            candidates += len(own)
+            # The product of directions rounds otherwise: it leaves those that may be among the best, which are scored anew.
+            if len(rough) > k:
+                own = own[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
+            score = np.einsum("ij,j->i", vectors[own], queries[q])
+            if len(score) > k:
+                least = np.partition(score, len(score) - k)[len(score) - k]
+                own, score = own[score >= least], score[score >= least]
+            best = np.lexsort((ids[own], -score))[:k]
+            rows.append(np.full(len(best), q))
+            columns.append(own[best])
+            scores.append(score[best])
+    return np.concatenate(rows), np.concatenate(columns), np.concatenate(scores), candidates
+
+
+def _candidates(hashes: Hashes, tables: list[tuple], points: np.ndarray, asked: np.ndarray, keys: np.ndarray, query_keys: np.ndarray, part: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, its candidates, their products) for a part of the queries; of the second visits only what is new is multiplied."""
+    met = np.zeros((len(part), len(points)), dtype=bool)
 
     def visit(which: np.ndarray, distance: np.ndarray) -> None:
         for order, buckets, first, size, places in tables:
-            query, bucket, whole = hashes.probes(places[which], distance)
+            query, bucket, whole = hashes.probes(places[part[which]], distance)
             at = np.minimum(np.searchsorted(buckets, bucket), len(buckets) - 1)
             hit = buckets[at] == bucket
             query, at = query[hit], at[hit]
@@ -123,35 +150,27 @@ def search(hashes: Hashes, vectors: np.ndarray, keys: np.ndarray, ids: np.ndarra
             met[which[np.repeat(query, n)], order[spot]] = True
             met[which[~whole]] = True
 
-    other = keys[None, :] != query_keys[:, None]
-    visit(np.arange(len(queries)), np.full(len(queries), hashes.distance))
+    other = keys[None, :] != query_keys[part][:, None]
+    visit(np.arange(len(part)), np.full(len(part), hashes.distance))
     met &= other
-    far = np.full(len(queries), np.inf)
-    products = asked @ points.T
-    for q in np.flatnonzero(met.sum(axis=1) >= k):
-        product = products[q, met[q]]
-        far[q] = np.sqrt(max(1e-6, 2 - 2 * np.partition(product, len(product) - k)[len(product) - k]))
+    far = np.full(len(part), np.inf)
+    known: list[tuple[np.ndarray, np.ndarray]] = []
+    for j, q in enumerate(part):
+        own = np.flatnonzero(met[j])
+        rough = points[own] @ asked[q]
+        known.append((own, rough))
+        if len(own) >= k:
+            far[j] = np.sqrt(max(1e-6, 2 - 2 * np.partition(rough, len(rough) - k)[len(rough) - k]))
     met[np.isinf(far)] = True
     again = np.flatnonzero(np.isfinite(far) & (far > hashes.distance))
     if len(again):
         visit(again, far[again])
     met &= other
-    rows, columns, scores = [], [], []
-    for q in range(len(queries)):
-        candidates = np.flatnonzero(met[q])
-        # The product of directions rounds otherwise: it leaves those that may be among the best, which are scored anew.
-        rough = products[q, candidates]
-        if len(rough) > k:
-            candidates = candidates[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
-        score = np.einsum("ij,j->i", vectors[candidates], queries[q])
-        if len(score) > k:
-            least = np.partition(score, len(score) - k)[len(score) - k]
-            candidates, score = candidates[score >= least], score[score >= least]
-        best = np.lexsort((ids[candidates], -score))[:k]
-        rows.append(np.full(len(best), q))
-        columns.append(candidates[best])
-        scores.append(score[best])
-    return np.concatenate(rows), np.concatenate(columns), np.concatenate(scores), int(met.sum())
+    for j, q in enumerate(part):
+        own, rough = known[j]
+        met[j, own] = False
+        fresh = np.flatnonzero(met[j])
+        yield q, np.concatenate([own, fresh]), np.concatenate([rough, points[fresh] @ asked[q]])
 
 
 def fit(sample: np.ndarray, largest: float, total: int, k: int, target: float) -> Hashes:
@@ -183,7 +202,7 @@ def nearest(embeddings: DataFrame, query_filter: str = "vec_id % 20 = 0", k: int
     total = rows.count()
     chunks, lots = max(1, -(-total // CHUNK_ROWS)), max(1, -(-rows.where(query_filter).count() // QUERY_ROWS))
     marked = rows.select("vec_id", "embedding", F.expr(query_filter).alias("asked"))
-    base = stored(chunked(marked, chunks), "vectors", "lz4")
+    base = stored(chunked(marked, chunks, "asked"), "vectors", "lz4")
 
     def norms(batches):
         import pyarrow as pa
@@ -198,28 +217,26 @@ def nearest(embeddings: DataFrame, query_filter: str = "vec_id % 20 = 0", k: int
     if largest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample, held = [], 0
-    for row in base.orderBy(F.xxhash64("chunk", "keys")).limit(16).toLocalIterator():
+    for row in base.drop("marks").orderBy(F.xxhash64("chunk", "keys")).limit(16).toLocalIterator():
         x = joined_parts([(row["keys"], row["ids"], row["vectors"])])[2][: SAMPLE_ROWS - held]
         sample.append(x)
         held += len(x)
         if held >= SAMPLE_ROWS:
             break
     hashes = fit(np.concatenate(sample), largest, total, k, target)
-    query_rule = rows.where(query_filter).select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
 
     def asked_only(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for c, keys, ids, vectors in zip(*(batch.column(j) for j in range(4)), strict=True):
+            for c, keys, ids, vectors, marks in zip(*(batch.column(j) for j in range(5)), strict=True):
                 ids_ = np.frombuffer(ids.as_buffer(), dtype="<i8")
-                own = np.arange(len(ids_))
+                own = np.flatnonzero(np.frombuffer(marks.as_buffer(), dtype=np.uint8))
                 x = np.frombuffer(vectors.as_buffer(), dtype="<f8").reshape(len(ids_), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), c.as_py(), dtype=np.int32)), pa.array(np.frombuffer(keys.as_buffer(), dtype="<i8")), pa.array(ids_), pa.array([v.tobytes() for v in x], pa.binary())], names=["chunk", "key", "id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), c.as_py(), dtype=np.int32)), pa.array(np.frombuffer(keys.as_buffer(), dtype="<i8")[own]), pa.array(ids_[own]), pa.array([x[k].tobytes() for k in own], pa.binary())], names=["chunk", "key", "id", "vector"])
 
-    single = base.mapInArrow(tidy(asked_only), "chunk int, key long, id long, vector binary")
-    queries = single.join(query_rule.withColumnRenamed("vec_id", "id"), "id", "left_semi").withColumn("lot", F.pmod(F.xxhash64("key"), F.lit(lots)).cast("int"))
-    queries = stored(queries.select("lot", "key", "id", "vector"), "queries", "lz4")
+    single = base.select("chunk", "keys", "ids", "vectors", "marks").mapInArrow(tidy(asked_only), "chunk int, key long, id long, vector binary")
+    queries = stored(single.withColumn("lot", F.pmod(F.xxhash64("key"), F.lit(lots)).cast("int")).select("lot", "key", "id", "vector"), "queries", "lz4")
     left = base.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).select("chunk", "lot", "keys", "ids", "vectors")
     right = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("chunk", "lot", "key", "id", "vector")
 

@@ -48,12 +48,13 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return own / np.sqrt(np.einsum("ij,ij->i", own, own))[:, None]
 
 
-def chunked(embeddings: DataFrame, chunks: int, where: str | None = None) -> DataFrame:
-    """A row for each part of a chunk: chunk, keys, ids, vectors (as bytes).
+def chunked(embeddings: DataFrame, chunks: int, mark: str | None = None) -> DataFrame:
+    """A row for each part of a chunk: chunk, keys, ids, vectors (as bytes), and marks, if a column of booleans is named.
 
     Rows are dealt out in turn, so all chunks are of one size whatever the ids are. A key names a row: the task's
     number and the row's place in the task. Null ids are left out of ``ids`` by the value -2**63.
     """
+    names = ["chunk", "keys", "ids", "vectors", *(["marks"] if mark else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, at = TaskContext.get().partitionId(), 0
@@ -61,14 +62,16 @@ def chunked(embeddings: DataFrame, chunks: int, where: str | None = None) -> Dat
             rows, vectors = usable(batch, 1)
             ids = batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)[rows]
             keys = (np.int64(task) << np.int64(33)) + at + rows
+            marks = [batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)[rows].astype(np.uint8)] if mark else []
             lot = (task + at + np.arange(len(rows))) % chunks
             at += batch.num_rows
             for c in np.unique(lot).tolist():
                 own = lot == c
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([keys[own].tobytes()], pa.binary()), pa.array([ids[own].astype("<i8").tobytes()], pa.binary()), pa.array([vectors[own].astype("<f8").tobytes()], pa.binary())], names=["chunk", "keys", "ids", "vectors"])
+                parts = [keys[own], ids[own].astype("<i8"), vectors[own].astype("<f8"), *(m[own] for m in marks)]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=names)
 
-    source = embeddings if where is None else embeddings.where(where)
-    return source.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(tidy(run), "chunk int, keys binary, ids binary, vectors binary")
+    columns = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), *([F.col(f"`{mark}`")] if mark else [])]
+    return embeddings.select(*columns).mapInArrow(tidy(run), "chunk int, " + ", ".join(f"{n} binary" for n in names[1:]))
 
 
 def joined_parts(parts: list[tuple[bytes, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
