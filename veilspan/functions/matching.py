@@ -50,9 +50,11 @@ def all_matches(text: Column | str, pattern: str) -> Column:
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
+        taken = F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
+        return F.when(x["hit"].isNull(), state).otherwise(taken)
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))
+    # Each array is named once, as an expression that stands twice is evaluated twice; the gap after the last match has no hit.
+    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
     pairs = F.transform(pairs, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit")))
     start_state = F.struct(F.lit(0).alias("at"), none(MATCH).alias("out"))
     # Spark copies a fold's state at each step, so blocks are folded one by one and then moved by the lengths before them.
