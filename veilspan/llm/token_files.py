@@ -134,6 +134,9 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int, pa
     Texts are range-partitioned by doc_id once; they are tokenised once, into provisional blocks that are kept
     until the frequencies of all ids are known. What is held at once is a block of about a million ids; the ranks
     (one row an id of the vocabulary) and one total a shard come to the driver.
+
+    A null text counts as empty and is written as the end id alone. Null ids stand before all others, rows that share an id in the
+    order of their texts, repeated rows each; further columns are ignored; an empty table writes files without documents.
     """
     spark = documents.sparkSession
     size = max(library_encoder(tokenizer_path).library.get_vocab_size(), end_id + 1)
@@ -168,7 +171,10 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int, pa
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of a set of token files: doc_id, start, n_tokens long, ids_crc32 long, ids (as little-endian unsigned 32-bit bytes)."""
+    """The documents of a set of token files: doc_id, start, n_tokens long, ids_crc32 long, ids (as little-endian unsigned 32-bit bytes).
+
+    A row for each that was written, null ids and repeats too; none for files without documents.
+    """
     ranks = spark.read.parquet(f"{path}/ranks").collect()
     id_of = np.zeros(len(ranks), dtype="<u4")
     for row in ranks:
