@@ -54,6 +54,16 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
     return (a_start < b_end) & (b_start < a_end)
 
 
+def span_struct(arrival: Column, source: str, start: Column, end: Column, text: Column, kind: Column, confidence: Column, reason: Column, normalized: Column | None = None) -> Column:
+    """A candidate of a layer as a struct: the columns of a table of candidates but for doc_id."""
+    prefix = {"dictionary": "dict"}.get(source, source)
+    norm = F.lit(None).cast("string") if normalized is None else normalized
+    return F.struct(
+        arrival.alias("arrival"), F.concat(F.lit(f"{prefix}:"), start, F.lit("-"), end).alias("id"), start.alias("start"), end.alias("end"), text.alias("text"), kind.alias("type"),
+        confidence.cast("double").alias("confidence"), F.lit(source).alias("source"), reason.alias("reason"), norm.alias("normalized_value"),
+    )
+
+
 def piece(text: Column | str, start: Column, end: Column) -> Column:
     """The slice [start, end) by code points."""
     return _c(text).substr(start + 1, end - start)

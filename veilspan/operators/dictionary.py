@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contract import ALLOWLIST_REASON, CONFIDENCE, DEFAULT_ALLOWLIST, PII_TYPES
 from ..functions.matching import MATCH, all_matches, disjoint, whole_word
-from ..functions.scalars import point_folded
+from ..functions.scalars import point_folded, span_struct
 from .automaton import scanned
 
 #: Term lists of up to so many entries become one projection over the text; longer ones are found by automata.
@@ -30,12 +30,25 @@ def _marked(matches: Column, ord_: int, kind: str) -> Column:
     return F.transform(matches, lambda m: F.struct(F.lit(ord_).alias("ord"), F.lit(kind).alias("type"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text")))
 
 
-def _found(documents: DataFrame, terms: Sequence[tuple[str, str]]) -> DataFrame:
-    """doc_id, ord, type, start, end, text for every match of every (term, type)."""
-    hits = [_marked(term_matches("text", term), k, kind) for k, (term, kind) in enumerate(terms) if term]
-    if not hits:
-        return documents.limit(0).select("doc_id", F.lit(0).alias("ord"), F.lit("").alias("type"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("text"))
-    return documents.select("doc_id", F.explode(F.concat(*hits)).alias("m")).select("doc_id", "m.*")
+def _hits(text: Column | str, terms: Sequence[tuple[str, str]]) -> Column:
+    """ord, type, start, end, text of every match of every (term, type), as an array."""
+    hits = [_marked(term_matches(text, term), k, kind) for k, (term, kind) in enumerate(terms) if term]
+    return F.concat(*hits) if hits else F.array().cast("array<struct<ord:int,type:string,start:int,end:int,text:string>>")
+
+
+def known_rows(text: Column | str, terms: Sequence[tuple[str, str]]) -> Column:
+    """The candidates of up to ``INLINE_TERMS`` (term, type) pairs as an array of structs."""
+    return F.transform(_hits(text, terms), lambda m: _candidate(m["start"].cast("long") * 256 + m["ord"], m["start"], m["end"], m["text"], m["type"]))
+
+
+def harmless_hits(text: Column | str, terms: Sequence[str]) -> Column:
+    """start, end, text of the harmless terms in a text, as an array of structs."""
+    return _hits(text, [(t, "") for t in terms])
+
+
+def _candidate(place: Column, start: Column, end: Column, text: Column, kind: Column) -> Column:
+    reason = F.concat(F.lit("exact match against the closed-world "), kind, F.lit(" list"))
+    return span_struct(F.lit(1 << 40) + place, "dictionary", start, end, text, kind, F.lit(CONFIDENCE["dictionary"]), reason)
 
 
 def joined_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:
@@ -86,7 +99,7 @@ def detect_known(documents: DataFrame, known: Sequence[tuple[str, str]] | DataFr
         if any(t not in PII_TYPES for _, t in known):
             raise ValueError("an entity has an unknown type")
         if len(known) <= INLINE_TERMS:
-            return _candidates(_found(documents, known).withColumn("place", F.col("start").cast("long") * 256 + F.col("ord")))
+            return documents.select("doc_id", F.explode(known_rows("text", known)).alias("c")).select("doc_id", "c.*")
         known = documents.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(known)], "ord int, term string, type string")
     found = scanned_terms(documents, known)
     return _candidates(joined_terms(documents, known) if found is None else found)
@@ -98,15 +111,13 @@ def _candidates(found: DataFrame) -> DataFrame:
     Where the matches of a document come without ``place``, their number in that order, they are numbered by a window.
     """
     place = F.col("place") if "place" in found.columns else F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "ord"))
-    return found.select(
-        "doc_id", (F.lit(1 << 40) + place).alias("arrival"), F.concat(F.lit("dict:"), F.col("start"), F.lit("-"), F.col("end")).alias("id"), "start", "end", "text", "type",
-        F.lit(CONFIDENCE["dictionary"]).alias("confidence"), F.lit("dictionary").alias("source"), F.concat(F.lit("exact match against the closed-world "), F.col("type"), F.lit(" list")).alias("reason"), F.lit(None).cast("string").alias("normalized_value"),
-    )
+    return found.select("doc_id", _candidate(place, *(F.col(c) for c in ("start", "end", "text", "type"))).alias("c")).select("doc_id", "c.*")
 
 
 def allow_ranges(documents: DataFrame, terms: Sequence[str] = DEFAULT_ALLOWLIST) -> DataFrame:
     """Ranges of harmless terms: doc_id, start, end, text, reason. They are not spans and have no type."""
-    return _found(documents, [(t, "") for t in terms]).select("doc_id", "start", "end", "text", F.lit(ALLOWLIST_REASON).alias("reason"))
+    rows = documents.select("doc_id", F.explode(harmless_hits("text", terms)).alias("m"))
+    return rows.select("doc_id", "m.start", "m.end", "m.text", F.lit(ALLOWLIST_REASON).alias("reason"))
 
 
 def parse_entities(specs: Sequence[str]) -> list[tuple[str, str]]:

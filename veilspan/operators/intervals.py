@@ -33,6 +33,15 @@ def with_overlap(spans: DataFrame, ranges: DataFrame, name: str, keys: Sequence[
     return swept.select(*kept, F.coalesce(F.col(f"`{_REACH}`") > F.col("start"), F.lit(False)).alias(name))
 
 
+def swept(rows: DataFrame, given: Column, name: str, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The same for spans and ranges in one table, where ``given`` marks the ranges; these get the column too, without meaning."""
+    sound = given & F.col("start").isNotNull()
+    for key in keys:
+        sound = sound & F.col(key).isNotNull()
+    order = Window.partitionBy(*keys).orderBy(F.when(given, F.col("start")).otherwise(F.col("end")), given).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn(name, F.coalesce(F.max(F.when(sound, F.col("end"))).over(order) > F.col("start"), F.lit(False)))
+
+
 def apart(spans: DataFrame, ranges: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The spans that overlap none of the ranges."""
     return with_overlap(spans, ranges, _SPAN, keys).where(~F.col(f"`{_SPAN}`")).drop(_SPAN)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contract import STRUCTURAL_SOURCES, TIER_HIGH, TIER_LOW_CONFIDENCE, TIER_SOFT_REVIEW
 from ..functions.scalars import link_key, piece
-from .intervals import apart
+from .intervals import apart, swept
 
 
 def suppressed(candidates: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -92,7 +92,17 @@ def merge(candidates: DataFrame, ranges: DataFrame | None = None, whole: DataFra
     Rank them by doc_id, tier, start, end. A finding's offsets are the winner's; with the documents as ``whole`` they are those of
     all that overlaps it, so no part of a losing candidate stays uncovered.
     """
-    kept = candidates if ranges is None else suppressed(candidates, ranges)
+    return merged(candidates if ranges is None else suppressed(candidates, ranges), whole)
+
+
+def merge_scan(rows: DataFrame) -> DataFrame:
+    """The same for candidates and harmless ranges in one table, whose column ``harmless`` tells them apart; it is read once."""
+    own = swept(rows, F.col("harmless"), "hidden")
+    return merged(own.where("not harmless and not hidden").drop("harmless", "hidden"))
+
+
+def merged(kept: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """Findings of candidates that no range suppresses."""
     islands = clustered(kept)
     best = winners(islands) if whole is None else widened(winners(islands), islands, whole)
     found = best.join(facts(islands), ["doc_id", "island"]).drop("island").withColumn("id", F.concat(F.lit("m:"), F.col("start"), F.lit("-"), F.col("end")))

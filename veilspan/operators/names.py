@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contract import CONFIDENCE
 from ..functions.matching import all_matches, greedy
-from ..functions.scalars import capped, overlaps
+from ..functions.scalars import capped, overlaps, piece, span_struct
 
 # The entity types this layer owns, with their span type.
 ENTITY_MAP = {"PERSON": "PERSON", "ORGANIZATION": "ORG", "ORG": "ORG", "LOCATION": "ADDRESS", "STREET_ADDRESS": "ADDRESS"}
@@ -30,6 +30,7 @@ STREET_END = rf"(?:{STREET_TYPES})\b[^\n]*?\b\d{{4}}\b"
 STREET_ADDRESS = rf"(?U)\b\d{{1,5}}\s+[A-Z][A-Za-z]+(?:\s++(?!{STREET_END})[A-Za-z]++)*+\s+{STREET_END}"
 NAME = r"[A-Z][a-zà-öø-ÿ]+(?:[ -][A-Z][a-zà-öø-ÿ]+){0,3}"
 RESULT = "array<struct<start:int,end:int,entity:string,score:double>>"
+ALLOWED = "array<struct<start:int,end:int>>"
 NAMED = "struct<start:int,end:int,type:string,reason:string,confidence:double>"
 
 
@@ -83,19 +84,20 @@ def detect_names(documents: DataFrame, ranges: DataFrame | None = None, analyser
     rest are resolved (a suppressed long candidate must not hide a short one). Longer candidates win, then those of
     higher confidence, then earlier ones.
     """
-    kinds = F.create_map(*[F.lit(x) for pair in ENTITY_MAP.items() for x in pair])
     who = "name rules" if analyser is None else "the analyser"
-    reasons = F.create_map(*[F.lit(x) for e, called in CALLED.items() for x in (e, f"{who} {called}")])
     rows = analysed(documents, analyser, recognisers)
+    allowed = F.array().cast(ALLOWED)
     if ranges is not None:
         own = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("allowed"))
-        rows = rows.join(own, "doc_id", "left")
-        rows = rows.withColumn("found", F.filter("found", lambda c: ~F.exists(F.coalesce("allowed", F.array().cast("array<struct<start:int,end:int>>")), lambda a: overlaps(c["start"], c["end"], a["start"], a["end"]))))
-    owned = F.filter("found", lambda c: c["entity"].isin(*ENTITY_MAP))
+        rows, allowed = rows.join(own, "doc_id", "left"), F.coalesce("allowed", allowed)
+    return rows.select("doc_id", F.explode(name_rows(F.col("text"), F.col("found"), allowed, who)).alias("c")).select("doc_id", "c.*")
+
+
+def name_rows(text: Column, found: Column, allowed: Column, who: str = "name rules") -> Column:
+    """The layer's candidates, of what was found in a text and the harmless ranges (start, end), as an array of structs."""
+    kinds = F.create_map(*[F.lit(x) for pair in ENTITY_MAP.items() for x in pair])
+    reasons = F.create_map(*[F.lit(x) for e, called in CALLED.items() for x in (e, f"{who} {called}")])
+    owned = F.filter(found, lambda c: c["entity"].isin(*ENTITY_MAP) & ~F.exists(allowed, lambda a: overlaps(c["start"], c["end"], a["start"], a["end"])))
     shaped = F.transform(owned, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.element_at(kinds, c["entity"]).alias("type"), F.element_at(reasons, c["entity"]).alias("reason"), capped(c["score"], CONFIDENCE["ner"]).alias("confidence")))
     kept = greedy(shaped, [lambda c: c["start"] - c["end"], lambda c: -c["confidence"], lambda c: c["start"]], NAMED)
-    rows = rows.select("doc_id", F.col("text").alias("whole"), F.posexplode(kept).alias("k", "c"))
-    return rows.select(
-        "doc_id", (F.lit(2 << 40) + F.col("k")).alias("arrival"), F.concat(F.lit("ner:"), F.col("c.start"), F.lit("-"), F.col("c.end")).alias("id"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.expr("substr(whole, c.start + 1, c.end - c.start)").alias("text"), F.col("c.type").alias("type"),
-        F.col("c.confidence").alias("confidence"), F.lit("ner").alias("source"), F.col("c.reason").alias("reason"), F.lit(None).cast("string").alias("normalized_value"),
-    )
+    return F.transform(kept, lambda c, k: span_struct(F.lit(2 << 40) + k, "ner", c["start"], c["end"], piece(text, c["start"], c["end"]), c["type"], c["confidence"], c["reason"]))

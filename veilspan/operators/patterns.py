@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contract import CONFIDENCE
 from ..functions.matching import all_matches, greedy
-from ..functions.scalars import digits, luhn_ok
+from ..functions.scalars import digits, luhn_ok, span_struct
 
 # The patterns, with Unicode digits, white space and word boundaries. The groups of a reference code
 # are possessive, as Java's matcher would need stack for each to come back to; each ends at a word boundary instead.
@@ -68,10 +68,11 @@ def pattern_spans(text: Column | str) -> Column:
     return F.when(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).rlike("[@0-9]"), resolved(pattern_candidates(text))).otherwise(F.array().cast(f"array<{CANDIDATE}>"))
 
 
+def pattern_rows(text: Column | str) -> Column:
+    """The layer's candidates as an array of ``contract.SPAN`` structs."""
+    return F.transform(pattern_spans(text), lambda c, k: span_struct(k.cast("long"), "regex", c["start"], c["end"], c["text"], c["type"], F.lit(CONFIDENCE["regex"]), c["reason"], c["normalized_value"]))
+
+
 def detect_patterns(documents: DataFrame) -> DataFrame:
     """Candidates of the pattern layer for a table of documents (doc_id, text)."""
-    rows = documents.select("doc_id", F.posexplode(pattern_spans("text")).alias("k", "c"))
-    return rows.select(
-        "doc_id", F.col("k").cast("long").alias("arrival"), F.concat(F.lit("regex:"), F.col("c.start"), F.lit("-"), F.col("c.end")).alias("id"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.text").alias("text"), F.col("c.type").alias("type"),
-        F.lit(CONFIDENCE["regex"]).alias("confidence"), F.lit("regex").alias("source"), F.col("c.reason").alias("reason"), F.col("c.normalized_value").alias("normalized_value"),
-    )
+    return documents.select("doc_id", F.explode(pattern_rows("text")).alias("c")).select("doc_id", "c.*")
