@@ -19,6 +19,31 @@ def test_all_grams_of_the_training_texts_count(spark, monkeypatch):
     assert np.allclose([got[k] for k in range(len(texts))], [plain_ppm(training, t.encode()) for t in texts], atol=1e-3)
 
 
+def test_a_dominant_context_is_dealt_out_and_scores_stay(spark, monkeypatch):
+    for bound in ("FREQUENT_WINDOWS", "FREQUENT_WORDS"):
+        monkeypatch.setattr(ppm, bound, 40)
+    monkeypatch.setattr(ppm, "SHARD_WINDOWS", 160)
+    rng = np.random.default_rng(14)
+    letter = lambda: "abcdefghijklm"[rng.integers(13)]
+    texts = ["".join(f"{letter()}{letter()}{letter()}the{letter()}" for _ in range(rng.integers(1, 40))) + " tail" * (k % 3) for k in range(60)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in ppm.score(documents).collect()}
+    training = [t.encode() for k, t in enumerate(texts) if fold(k) % 10]
+    assert np.allclose([got[k]["score"] for k in range(len(texts))], [plain_ppm(training, t.encode()) for t in texts], atol=1e-3)
+    known = {w for t in training for w in t.split()}
+    assert [got[k]["n_known"] for k in range(len(texts))] == [sum(w in known for w in t.encode().split()) + 1 for t in texts]
+
+    codes = np.unique(np.concatenate([c for c, _ in ppm.windows([t.encode() for t in texts])]))
+    the = int.from_bytes(b"the", "big")
+    assert np.mean((codes >> np.uint64(8)) & np.uint64(0xFFFFFF) == the) > 0.1
+    grams = spark.createDataFrame([(int(c), 1, 1) for c in codes], "key long, n long, m long")
+    rows = ppm._sharded(grams).toPandas()
+    own = rows[~rows["sent"]]
+    assert sorted(own["key"]) == sorted(codes.tolist()) and own["depth"].max() > ppm.LOW and rows["sent"].any()
+    assert own.groupby("shard").size().max() <= 2 * ppm.SHARD_WINDOWS
+    assert not rows[rows["sent"]].duplicated(["shard", "depth", "key"]).any()
+
+
 def test_scattered_vectors_beside_tight_groups_find_their_neighbours(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(40, 24))

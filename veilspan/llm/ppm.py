@@ -10,6 +10,8 @@ afresh in every text.
 The trie is pretrained, so a byte's code length depends only on itself and the ``ORDER`` bytes before it. All grams of
 all training texts are in the trie, which is built in shards: a shard has all windows whose ``LOW`` bytes before the last
 one are its own, and with them all longer contexts of these; the shorter contexts are few and every shard has them.
+A context that more windows share than a shard should have is dealt out by the contexts one byte longer, and so on; the shards of
+these get the counts of the shared one, at most 256, beside their own windows.
 Each distinct window of the table is scored once, in its shard. Texts take the code lengths of the most frequent
 windows, those that reach the least count at which no more than ``FREQUENT_WINDOWS`` are left, from a broadcast, and
 all others by a join.
@@ -26,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_fold, give_back, slices, stored, tidy
@@ -37,6 +39,8 @@ FREQUENT_WINDOWS = 2_000_000
 FREQUENT_WORDS = 300_000
 #: Context bytes that windows of one shard share, and the windows that a shard has on average.
 LOW, SHARD_WINDOWS = 3, 200_000
+#: Contexts of a size that are dealt out over shards, because too many windows share them, are no more than so many.
+CROWDED = 1_000_000
 FOLDS = 10
 #: A byte that UTF-8 never holds: it fills the context before a text and marks its end.
 MARK = b"\xff"
@@ -300,30 +304,80 @@ def _lower(grams: tuple[np.ndarray, np.ndarray], order: int) -> tuple[np.ndarray
     return _summed(grams[0] & np.uint64((1 << (8 * (order + 1))) - 1), grams[1])
 
 
+def _context(size: int) -> Column:
+    """The ``size`` bytes before the last one of a window."""
+    return F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * size)) - 1))
+
+
+def _with_depths(grams: DataFrame, limit: int) -> DataFrame:
+    """The windows with ``depth``, the size of the shortest context of LOW bytes or more that no more than ``limit`` windows share.
+
+    Contexts that more of them share are at most as many as ``limit`` goes into the number of windows, so they are
+    broadcast. Windows with the same context of ORDER bytes stay together, as there are no more than 256 of them.
+    """
+    now = grams.withColumn("depth", F.lit(LOW))
+    for size in range(LOW, ORDER):
+        shared = now.where(F.col("depth") == size).groupBy(_context(size).alias("context")).agg(F.count("*").alias("windows"))
+        crowded = stored(shared.where(F.col("windows") > limit).select("context", F.lit(1).alias("crowded")), "crowded")
+        if crowded.isEmpty():
+            break
+        reached = (F.col("depth") == size) & (_context(size) == F.col("context"))
+        now = now.join(F.broadcast(crowded), reached, "left").withColumn("depth", F.col("depth") + F.coalesce("crowded", F.lit(0))).drop("context", "crowded")
+    return now
+
+
+def _sent_along(windows: DataFrame) -> DataFrame:
+    """What shards need of contexts that other shards have windows of too: the counts of their grams, once a shard.
+
+    ``windows`` has key, n, depth and shard. A crowded context has up to 256 grams, and the up to 256 contexts one
+    byte longer take them to their shards. Returns shard, size (of the context), code, n.
+    """
+    split = windows.where(F.col("depth") > LOW).select("key", "n", "shard", F.explode(F.sequence(F.lit(LOW), F.col("depth") - 1)).alias("size"))
+    split = split.withColumn("code", F.expr("key & (shiftleft(1L, 8 * (size + 1)) - 1)")).withColumn("context", F.shiftrightunsigned("code", 8))
+    counts = split.where("n > 0").groupBy("size", "context", "code").agg(F.sum("n").alias("n"))
+    return split.select("size", "context", "shard").distinct().join(counts, ["size", "context"]).select("shard", "size", "code", "n")
+
+
+def _sharded(grams: DataFrame) -> DataFrame:
+    """The rows of each shard: shard, key, n, m, depth, sent.
+
+    These are windows, whose shard has all windows with the same context of ``depth`` bytes, and grams of shorter
+    contexts that were ``sent`` along, with the size of their context as ``depth``. A shard has about SHARD_WINDOWS
+    windows, and no context takes more than an eighth of that into one shard (but for tables of more than
+    CROWDED times as many windows).
+    """
+    total = grams.count()
+    windows = _with_depths(grams, max(SHARD_WINDOWS // 8, total // CROWDED))
+    context = F.coalesce(*[F.when(F.col("depth") == size, _context(size)) for size in range(LOW, ORDER + 1)])
+    windows = windows.withColumn("shard", F.pmod(F.xxhash64(context), F.lit(max(1, -(-total // SHARD_WINDOWS)))).cast("int"))
+    along = _sent_along(windows).select("shard", F.col("code").alias("key"), "n", F.lit(0).cast("long").alias("m"), F.col("size").alias("depth"), F.lit(True).alias("sent"))
+    return windows.select("shard", "key", "n", "m", "depth", F.lit(False).alias("sent")).unionByName(along)
+
+
 def _lengths(grams: DataFrame) -> DataFrame:
     """The code length of every distinct window (key, n in training texts, m in all texts): code, m, log."""
     spark = grams.sparkSession
-    shards = max(1, -(-grams.count() // SHARD_WINDOWS))
     short = grams.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * LOW)) - 1)).alias("code")).agg(F.sum("n").alias("n")).toArrow()
     low = [_summed(short.column(0).to_numpy().view(np.uint64), short.column(1).to_numpy())]
     for k in range(LOW - 2, -1, -1):
         low.insert(0, _lower(low[0], k))
     shared = spark.sparkContext.broadcast(low)
 
-    def run(windows: pd.DataFrame) -> pd.DataFrame:
-        codes, n = windows["key"].to_numpy().view(np.uint64), windows["n"].to_numpy()
-        own = [_summed(codes[n > 0], n[n > 0])]
-        for k in range(ORDER - 1, LOW - 1, -1):
-            own.insert(0, _lower(own[0], k))
-        every = [*shared.value, *own]
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sent = rows["sent"].to_numpy(bool)
+        key, n, depth = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy(), rows["depth"].to_numpy()
+        every = list(shared.value)
+        for k in range(LOW, ORDER + 1):
+            # Counts of a context of k bytes are whole where its windows are all here, or were summed before.
+            whole = (n > 0) & np.where(sent, depth == k, depth <= k)
+            every.append(_summed(key[whole] & np.uint64((1 << (8 * (k + 1))) - 1), n[whole]))
         trie = Trie(every, [_summed(c >> np.uint64(8), x) for c, x in every])
-        out = pd.DataFrame({"code": windows["key"], "m": windows["m"], "log": trie.log10(codes).astype(np.float32)})
-        del trie, every, own
+        out = pd.DataFrame({"code": rows["key"].to_numpy()[~sent], "m": rows["m"].to_numpy()[~sent], "log": trie.log10(key[~sent]).astype(np.float32)})
+        del trie, every
         give_back()
         return out
 
-    shard = F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * LOW)) - 1))), F.lit(shards)).cast("int")
-    return grams.select("key", "n", "m", shard.alias("shard")).groupBy("shard").applyInPandas(run, "code long, m long, log float")
+    return _sharded(grams).groupBy("shard").applyInPandas(run, "code long, m long, log float")
 
 
 def _least_count(counted: DataFrame, bound: int) -> int:
