@@ -1,9 +1,11 @@
 import re
+from dataclasses import replace
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from veilspan.functions.matching import all_matches, whole_word
 from veilspan.operators import dictionary, model_layer, names, patterns
 from veilspan.plans.detect import detect, layer_tallies
 from veilspan.queries import CASES, NOTE
@@ -160,3 +162,22 @@ def test_whole_pipeline(note):
     report = {r["name"]: (r["status"], r["count"]) for r in d.layers.collect()}
     assert report == {"regex": ("ok", 4), "dictionary": ("ok", 0), "ner": ("ok", 4), "llm": ("ok", 1)}
     assert tuple(layer_tallies(d.layers).first())[1:] == (4, 0, 0)
+
+
+def test_texts_are_searched_wherever_a_pattern_could_match(spark):
+    """The cheap conditions before a search leave out no match: odd letters that equal ASCII ones, empty and null texts."""
+    terms = [("Stella Kim", "PERSON"), ("iris", "PERSON"), ("été", "ORG"), ("k-2", "OTHER")]
+    texts = ["STELLA KIM and stella kim", "\u017ftella \u212aim", "\u0130R\u0130S, \u0131ris, IRIS", "ÉTÉ", "\u212a-2 K-2", "stella", "", None]
+    rows = table(spark, texts)
+    gated = rows.select("doc_id", dictionary.known_rows("text", terms).alias("x")).collect()
+    plain = rows.select("doc_id", *[all_matches("text", whole_word(t)).alias(f"t{k}") for k, (t, _) in enumerate(terms)]).collect()
+    for g, p in zip(gated, plain, strict=True):
+        want = sorted((m["start"], m["end"], m["text"]) for k in range(len(terms)) for m in p[f"t{k}"] or [])
+        assert sorted((m["start"], m["end"], m["text"]) for m in g["x"] or []) == want
+    assert [len(r["x"] or []) for r in gated] == [2, 1, 3, 1, 2, 0, 0, 0]
+
+    cues = ["his wife, Ann Smith, left", "wife Ann Smith", "Dr. Weber", "Ms Weber", "Prof Weber", "Weber Mutual", "WeberMutual", "12 Long Hill Terrace, X 1234", "a@b.de", "a at b.de", ""]
+    rows = table(spark, cues)
+    bare = [replace(r, needs=()) for r in names.DEFAULT_RECOGNISERS]
+    for row in rows.select(names.pattern_results("text").alias("g"), names.pattern_results("text", bare).alias("p"), patterns.emails("text").alias("e"), all_matches("text", patterns.EMAIL).alias("a")).collect():
+        assert row["g"] == row["p"] and len(row["e"]) == len(row["a"])

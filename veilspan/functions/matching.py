@@ -1,12 +1,15 @@
 """All matches of a pattern with their offsets, inside the JVM.
 
 The text is split at the matches and the matches are extracted; running lengths of both give each match's offset.
-Texts without a match skip both.
+Texts without a match skip both,
+and those that lack what every match holds aren't searched at all.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,8 +45,11 @@ def unrolled(out: Column) -> Column:
     return F.flatten(F.concat(out["done"], F.array(out["last"])))
 
 
-def all_matches(text: Column | str, pattern: str) -> Column:
-    """Every non-overlapping match, leftmost first: array of start, end, text. ``pattern`` is a Java pattern."""
+def all_matches(text: Column | str, pattern: str, gate: Column | None = None) -> Column:
+    """Every non-overlapping match, leftmost first: array of start, end, text. ``pattern`` is a Java pattern.
+
+    ``gate`` is a cheap condition that holds for every text with a match; other texts aren't searched.
+    """
     text = F.col(text) if isinstance(text, str) else text
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -66,7 +72,8 @@ def all_matches(text: Column | str, pattern: str) -> Column:
         return F.flatten(F.transform(both, lambda x: F.transform(x["block"]["out"], lambda m: shift(m, x["by"]))))
 
     whole = F.element_at(F.transform(F.array(blocks), moved), 1)  # names the blocks, so they are folded once
-    return F.when(text.rlike(pattern), whole).otherwise(none(MATCH))
+    searched = F.when(text.rlike(pattern), whole).otherwise(none(MATCH))
+    return searched if gate is None else F.when(gate, searched).otherwise(none(MATCH))
 
 
 def in_blocks(items: Column) -> Column:
@@ -94,6 +101,19 @@ def whole_word(term: str) -> str:
     return rf"(?iuU)\b{literal(term)}\b"
 
 
+def any_of(text: Column, literals: Sequence[str]) -> Column:
+    """Whether a text holds one of some literals: a search of bytes, far cheaper than a pattern."""
+    return reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in literals])
+
+
+def may_hold(text: Column, lowered: Column, term: str) -> Column:
+    """A condition that holds for every text in which ``whole_word`` matches a term of ASCII characters; ``lowered`` is the text in lower case.
+
+    Beside the letters of ASCII, that pattern takes the long s, the i with and without a dot, and the Kelvin sign.
+    """
+    return F.contains(lowered, F.lit(term.lower())) | any_of(text, "\u017f\u0130\u0131\u212a")
+
+
 def literal_places(text: Column, value: Column) -> Column:
     """Start of every occurrence of a literal value, overlapping ones too.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contract import ALLOWLIST_REASON, CONFIDENCE, DEFAULT_ALLOWLIST, PII_TYPES
-from ..functions.matching import MATCH, all_matches, disjoint, whole_word
+from ..functions.matching import MATCH, all_matches, disjoint, may_hold, whole_word
 from ..functions.scalars import point_folded, span_struct
 from .automaton import scanned
 
@@ -21,9 +21,13 @@ AUTOMATON_CHARS, AUTOMATA = 2_000_000, 8
 BROADCAST_TERMS, BROADCAST_CHARS = 100_000, 16_000_000
 
 
-def term_matches(text: Column | str, term: str) -> Column:
-    """Every whole-word, case-insensitive match; none for an empty term."""
-    return all_matches(text, whole_word(term)) if term else F.array().cast(f"array<{MATCH}>")
+def term_matches(text: Column | str, term: str, lowered: Column | None = None) -> Column:
+    """Every whole-word, case-insensitive match; none for an empty term.
+
+    With ``lowered``, the text in lower case, texts that can't hold a term of ASCII characters aren't searched for it.
+    """
+    gate = may_hold(F.col(text) if isinstance(text, str) else text, lowered, term) if lowered is not None and term.isascii() else None
+    return all_matches(text, whole_word(term), gate) if term else F.array().cast(f"array<{MATCH}>")
 
 
 def _marked(matches: Column, ord_: int, kind: str) -> Column:
@@ -32,8 +36,13 @@ def _marked(matches: Column, ord_: int, kind: str) -> Column:
 
 def _hits(text: Column | str, terms: Sequence[tuple[str, str]]) -> Column:
     """ord, type, start, end, text of every match of every (term, type), as an array."""
-    hits = [_marked(term_matches(text, term), k, kind) for k, (term, kind) in enumerate(terms) if term]
-    return F.concat(*hits) if hits else F.array().cast("array<struct<ord:int,type:string,start:int,end:int,text:string>>")
+    text = F.col(text) if isinstance(text, str) else text
+    named = [(k, term, kind) for k, (term, kind) in enumerate(terms) if term]
+    if not named:
+        return F.array().cast("array<struct<ord:int,type:string,start:int,end:int,text:string>>")
+    # The text in lower case is named, so it is made once for all terms.
+    hits = F.transform(F.array(F.lower(text)), lambda lowered: F.concat(*[_marked(term_matches(text, term, lowered), k, kind) for k, term, kind in named]))
+    return F.element_at(hits, 1)
 
 
 def known_rows(text: Column | str, terms: Sequence[tuple[str, str]]) -> Column:

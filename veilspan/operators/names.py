@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.contract import CONFIDENCE
-from ..functions.matching import all_matches, greedy
+from ..functions.matching import all_matches, any_of, greedy
 from ..functions.scalars import capped, overlaps, piece, span_struct
 
 # The entity types this layer owns, with their span type.
@@ -29,6 +29,8 @@ STREET_END = rf"(?:{STREET_TYPES})\b[^\n]*?\b\d{{4}}\b"
 #: words are possessive, as Java's matcher would need stack for each to come back to.
 STREET_ADDRESS = rf"(?U)\b\d{{1,5}}\s+[A-Z][A-Za-z]+(?:\s++(?!{STREET_END})[A-Za-z]++)*+\s+{STREET_END}"
 NAME = r"[A-Z][a-zà-öø-ÿ]+(?:[ -][A-Z][a-zà-öø-ÿ]+){0,3}"
+#: Words that a comma and a name may follow.
+RELATIONS = "supervisor|manager|colleague|partner|spouse|wife|husband|mother|father|son|daughter|brother|sister|friend|landlord|tenant|assistant|director|officer|doctor|nurse"
 RESULT = "array<struct<start:int,end:int,entity:string,score:double>>"
 ALLOWED = "array<struct<start:int,end:int>>"
 NAMED = "struct<start:int,end:int,type:string,reason:string,confidence:double>"
@@ -36,20 +38,24 @@ NAMED = "struct<start:int,end:int,type:string,reason:string,confidence:double>"
 
 @dataclass(frozen=True)
 class Recogniser:
-    """A pattern (Java) for an entity type. With ``cue``, matches start after a match of that pattern."""
+    """A pattern (Java) for an entity type. With ``cue``, matches start after a match of that pattern.
+
+    Every match, with its cue, holds one of the literals ``needs``, if there are any: other texts aren't searched.
+    """
 
     entity: str
     pattern: str
     score: float
     cue: str = ""
+    needs: tuple[str, ...] = ()
 
 
 DEFAULT_RECOGNISERS = (
-    Recogniser("STREET_ADDRESS", STREET_ADDRESS, 0.8),
-    Recogniser("PERSON", NAME, 0.85, cue=r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.? "),
-    Recogniser("PERSON", r"[A-Z][a-zà-öø-ÿ]+ [A-Z][a-zà-öø-ÿ]+", 0.75, cue=r"\b(?:supervisor|manager|colleague|partner|spouse|wife|husband|mother|father|son|daughter|brother|sister|friend|landlord|tenant|assistant|director|officer|doctor|nurse), "),
+    Recogniser("STREET_ADDRESS", STREET_ADDRESS, 0.8, needs=tuple(STREET_TYPES.split("|"))),
+    Recogniser("PERSON", NAME, 0.85, cue=r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.? ", needs=("Mr", "Ms", "Miss", "Dr", "Prof")),
+    Recogniser("PERSON", r"[A-Z][a-zà-öø-ÿ]+ [A-Z][a-zà-öø-ÿ]+", 0.75, cue=rf"\b(?:{RELATIONS}), ", needs=tuple(f"{x}, " for x in RELATIONS.split("|"))),
     Recogniser("PERSON", r"(?<=[.!?\n] )[A-Z][a-zà-öø-ÿ]+(?= (?:has|said|asked|called|confirmed|told|wrote) )", 0.6),
-    Recogniser("ORGANIZATION", r"\b[A-Z][a-z]+(?: [A-Z][a-z]+){0,3} (?:Mutual|Ltd|Limited|Inc|Pty|Bank|Group|Court|University)\b", 0.7),
+    Recogniser("ORGANIZATION", r"\b[A-Z][a-z]+(?: [A-Z][a-z]+){0,3} (?:Mutual|Ltd|Limited|Inc|Pty|Bank|Group|Court|University)\b", 0.7, needs=(" Mutual", " Ltd", " Limited", " Inc", " Pty", " Bank", " Group", " Court", " University")),
 )
 
 Analyser = Callable[[pd.Series], pd.Series]
@@ -62,7 +68,8 @@ def pattern_results(text: Column | str, recognisers: Sequence[Recogniser] = DEFA
 
 
 def _recognised(text: Column | str, r: Recogniser) -> Column:
-    found = all_matches(text, f"(?:{r.cue})(?:{r.pattern})" if r.cue else r.pattern)
+    text = F.col(text) if isinstance(text, str) else text
+    found = all_matches(text, f"(?:{r.cue})(?:{r.pattern})" if r.cue else r.pattern, any_of(text, r.needs) if r.needs else None)
 
     def lead(m: Column) -> Column:
         return F.length(F.regexp_extract(m["text"], f"^(?:{r.cue})", 0)) if r.cue else F.lit(0)

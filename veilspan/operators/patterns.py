@@ -30,8 +30,12 @@ def _as(matches: Column, pii_type: str, reason: str, priority: int, normalized=N
     )
 
 
+def _holds(text: Column | str, sign: str) -> Column:
+    return F.contains(F.col(text) if isinstance(text, str) else text, F.lit(sign))
+
+
 def emails(text: Column | str) -> Column:
-    return _as(all_matches(text, EMAIL), "EMAIL", "email-address pattern", 0, F.lower)
+    return _as(all_matches(text, EMAIL, _holds(text, "@")), "EMAIL", "email-address pattern", 0, F.lower)
 
 
 def phones(text: Column | str) -> Column:
@@ -40,7 +44,7 @@ def phones(text: Column | str) -> Column:
 
 
 def ssns(text: Column | str) -> Column:
-    return _as(all_matches(text, SSN), "ID_NUMBER", "US SSN pattern (NNN-NN-NNNN)", 2)
+    return _as(all_matches(text, SSN, _holds(text, "-")), "ID_NUMBER", "US SSN pattern (NNN-NN-NNNN)", 2)
 
 
 def accounts(text: Column | str) -> Column:
@@ -49,7 +53,7 @@ def accounts(text: Column | str) -> Column:
 
 
 def references(text: Column | str) -> Column:
-    found = F.filter(all_matches(text, REFERENCE), lambda m: m["text"].rlike("[A-Z]") & m["text"].rlike("[0-9]"))
+    found = F.filter(all_matches(text, REFERENCE, _holds(text, "-")), lambda m: m["text"].rlike("[A-Z]") & m["text"].rlike("[0-9]"))
     return _as(found, "ID_NUMBER", "alphanumeric reference/ID code", 3)
 
 
