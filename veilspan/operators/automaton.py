@@ -6,6 +6,8 @@ terms. Folding maps a code point to one code point, as case-insensitive patterns
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +26,14 @@ MATCHES = "doc_id long, ord int, type string, start int, end int, text string, p
 
 def folded(text: str) -> str:
     """A text of the same length whose equal code points differ in case at most."""
-    return text.lower() if text.isascii() else text.translate(point_folds())
+    return text.lower() if text.isascii() or not _odd().search(text) else text.translate(point_folds())
+
+
+@lru_cache(maxsize=1)
+def _odd() -> re.Pattern:
+    """Code points whose lower case is not their fold, and the sigma, whose lower case depends on what follows."""
+    odd = sorted({k for k, f in point_folds().items() if chr(k).lower() != f} | {k for k in range(sys.maxunicode + 1) if k not in point_folds() and not 0xD800 <= k <= 0xDFFF and chr(k).lower() != chr(k)} | {0x3A3})
+    return re.compile("[" + "".join(map(re.escape, map(chr, odd))) + "]")
 
 
 @lru_cache(maxsize=1 << 16)

@@ -17,6 +17,8 @@ INLINE_TERMS = 200
 #: Characters of terms in one automaton, and how many automata read the texts one after the other; beyond, terms are joined on
 #: their first word.
 AUTOMATON_CHARS, AUTOMATA = 2_000_000, 8
+#: A word that more terms hold is told apart by a broadcast.
+HOT_TERMS = 10_000
 #: A table of terms is broadcast up to so many terms, and so many characters if all were as long as the longest.
 BROADCAST_TERMS, BROADCAST_CHARS = 100_000, 16_000_000
 
@@ -60,13 +62,40 @@ def _candidate(place: Column, start: Column, end: Column, text: Column, kind: Co
     return span_struct(F.lit(1 << 40) + place, "dictionary", start, end, text, kind, F.lit(CONFIDENCE["dictionary"]), reason)
 
 
+def occurring(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """The terms (ord, term, type) all of whose words stand in some document, with ``word``, the word of theirs that the fewest
+    terms hold, and ``lead``, where it starts in the term. Terms without a word have neither and stay.
+
+    A term matches only where each of its words is a whole word of the text, so no other term can match. The result is computed at once and
+    kept by Spark.
+    """
+    whole = F.lit(r"(?U)\w+")
+    named = terms.where("term is not null and term <> ''").select(F.col("ord").cast("int").alias("ord"), "term", "type")
+    held = documents.select(F.explode(F.array_distinct(F.regexp_extract_all("text", whole, F.lit(0)))).alias("word")).distinct()
+    held = held.select(point_folded("word").alias("word")).distinct().withColumn("there", F.lit(True))
+    words = F.regexp_extract_all("term", whole, F.lit(0))
+    parts = named.select("ord", "term", "type", F.posexplode_outer(words).alias("k", "word")).withColumn("word", point_folded("word")).persist()
+    # Of each word of a term, how many terms hold it and whether a text does; few words can be held by very many terms, and these are broadcast.
+    known = parts.where("word is not null").groupBy("word").agg(F.count("*").alias("n")).join(held, "word", "left").select("word", "n", F.coalesce("there", F.lit(False)).alias("there")).persist()
+    hot = F.broadcast(known.where(F.col("n") > HOT_TERMS))
+    told = parts.join(hot, "word").unionByName(parts.join(hot.select("word"), "word", "left_anti").join(known.where(F.col("n") <= HOT_TERMS), "word", "left"))
+    rarest = F.min(F.when(F.col("word").isNotNull(), F.struct("n", "k", "word"))).alias("rarest")
+    every = told.groupBy("ord", "term", "type").agg(rarest, F.bool_and(F.col("word").isNull() | F.col("there")).alias("there")).where("there")
+    lead = F.try_element_at(all_matches("term", r"(?U)\w+"), F.col("rarest.k") + 1)["start"]
+    kept = every.select("ord", "term", "type", "rarest.word", lead.alias("lead")).persist()
+    kept.count()
+    parts.unpersist()
+    known.unpersist()
+    return kept
+
+
 def joined_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """The same for a table of terms (ord, term, type) of any size, joined on the first word of each term.
+    """The same for a table of terms (ord, term, type) of any size, joined on that word of each term which the fewest terms hold.
 
-    Words of the documents are equi-joined with first words, then the whole term is compared; matches of one term
-    that overlap an earlier one of the same term are left out, as a scan from the left would.
+    Words of the documents are equi-joined with these, then the whole term is compared; matches of one term that overlap
+    an earlier one of the same term are left out, as a scan from the left would. ``terms`` may be what ``occurring`` has kept.
     """
-    named = terms.where("term is not null and term <> ''").select("ord", "term", "type", point_folded(F.regexp_extract("term", r"(?U)\w+", 0)).alias("word"), (F.length(F.regexp_extract("term", r"(?U)^\W*", 0))).alias("lead"))
+    named = terms if "lead" in terms.columns else occurring(documents, terms)
     longest, n = named.agg(F.max(F.length("term")), F.count("*")).first()
     longest, named = longest or 0, F.broadcast(named) if n <= BROADCAST_TERMS and n * (longest or 0) <= BROADCAST_CHARS else named
     words = documents.select("doc_id", "text", F.explode(all_matches("text", r"(?U)\w+")).alias("w"))
@@ -87,8 +116,7 @@ def scanned_terms(documents: DataFrame, terms: DataFrame) -> DataFrame | None:
     """The same by automata over whole texts, each built once a worker from a broadcast part of the terms; None if there
     are more terms than the automata take. Texts are read once for each automaton and nothing is shuffled."""
     named = terms.where("term is not null and term <> ''").select(F.col("ord").cast("int").alias("ord"), "term", "type")
-    chars = named.agg(F.sum(F.length("term"))).first()[0] or 0
-    parts = max(1, -(-chars // AUTOMATON_CHARS))
+    parts = _automata(named)
     if parts > AUTOMATA:
         return None
     found = [scanned(documents, named.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k) if parts > 1 else named) for k in range(parts)]
@@ -98,11 +126,17 @@ def scanned_terms(documents: DataFrame, terms: DataFrame) -> DataFrame | None:
     return whole if parts == 1 else whole.drop("place")
 
 
+def _automata(terms: DataFrame) -> int:
+    """How many automata a table of terms takes."""
+    chars = terms.agg(F.sum(F.length("term"))).first()[0] or 0
+    return max(1, -(-chars // AUTOMATON_CHARS))
+
+
 def detect_known(documents: DataFrame, known: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
     """Candidates for known entities: (text, type) pairs, or a table (ord, term, type).
 
     Overlapping matches of different entities all stay, so ids may repeat. Their order in a document is that of their
-    starts, then of their entities in the list.
+    starts, then of their entities in the list. Of lists for more than one automaton only the terms whose words stand in the documents are searched.
     """
     if not isinstance(known, DataFrame):
         if any(t not in PII_TYPES for _, t in known):
@@ -110,6 +144,8 @@ def detect_known(documents: DataFrame, known: Sequence[tuple[str, str]] | DataFr
         if len(known) <= INLINE_TERMS:
             return documents.select("doc_id", F.explode(known_rows("text", known)).alias("c")).select("doc_id", "c.*")
         known = documents.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(known)], "ord int, term string, type string")
+    if _automata(known) > 1:
+        known = occurring(documents, known)
     found = scanned_terms(documents, known)
     return _candidates(joined_terms(documents, known) if found is None else found)
 
