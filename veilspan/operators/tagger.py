@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -114,6 +115,58 @@ def features(word: str, place: int) -> list[int]:
     return [zlib.crc32(f"{place}{x}".encode()) % BUCKETS for x in named]
 
 
+_STARTS = {place: zlib.crc32(str(place).encode()) for place in (-1, 0, 1)}
+
+
+def word_features(word: str) -> list[int]:
+    """The features of a word as the word before, itself and the word after, one after the other."""
+    low = word.lower()
+    form = "x" if word.isascii() and word.isalpha() and low == word else shape(word)
+    around = [x.encode() for x in (f"s={form}", f"w={low}", f"e={low[-3:]}", f"i={word[:1].isupper()}")]
+    own = [*around, f"p={low[:3]}".encode(), f"n={min(len(word), 8)}".encode(), b"b"]
+    return [zlib.crc32(x, _STARTS[place]) % BUCKETS for place, part in ((-1, around), (0, own), (1, around)) for x in part]
+
+
+class WordScores:
+    """Scores of words by place, of weights that no longer change: each word is scored when it is first met. Up to ``cap`` words are kept."""
+
+    def __init__(self, weights: np.ndarray, cap: int = 200_000):
+        self.weights, self.cap = weights, cap
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.tables = np.zeros((3, 1024, len(TAGS)), dtype=np.float32)
+        self.starts = np.zeros(1024, dtype=bool)
+        self.add([""])
+
+    def add(self, words: list[str]) -> None:
+        low, high = len(self.index), len(self.index) + len(words)
+        if high > self.tables.shape[1]:
+            more = max(high, 2 * self.tables.shape[1])
+            self.tables = np.concatenate([self.tables, np.zeros((3, more - self.tables.shape[1], len(TAGS)), dtype=np.float32)], axis=1)
+            self.starts = np.concatenate([self.starts, np.zeros(more - len(self.starts), dtype=bool)])
+        at = np.array([word_features(w) for w in words])
+        for table, part in zip(self.tables, (at[:, :4], at[:, 4:11], at[:, 11:]), strict=True):
+            for k in range(part.shape[1]):
+                table[low:high] += self.weights[part[:, k]]
+        self.starts[low:high] = [w[:1].isupper() or w[:1].isdigit() for w in words]  # a name begins with a capital or a number
+        self.index.update(zip(words, range(low, high), strict=True))
+
+    def of(self, segments: list[list[str]]) -> np.ndarray:
+        """Codes of the words of segments, with one of none before and after each; what is beyond a segment is none."""
+        new = [w for w in dict.fromkeys(chain.from_iterable(segments)) if w not in self.index]
+        if new and len(self.index) + len(new) > self.cap:
+            self.clear()
+            new = [w for w in dict.fromkeys(chain.from_iterable(segments)) if w not in self.index]
+        if new:
+            self.add(new)
+        sizes = np.array([len(s) for s in segments])
+        codes = np.zeros((len(segments), sizes.max() + 2), dtype=np.int64)
+        codes[:, 1:][np.arange(sizes.max() + 1) < sizes[:, None]] = np.fromiter(map(self.index.__getitem__, chain.from_iterable(segments)), dtype=np.int64, count=sizes.sum())
+        return codes
+
+
 #: Which tag may follow which: I of a kind follows B or I of it only. The last row is for the first token.
 _MAY = np.array([[not t.startswith("I") or (s != "" and s[2:] == t[2:] and s != "O") for t in TAGS] for s in [*TAGS, ""]])
 _NEVER = -1e6
@@ -126,24 +179,21 @@ class Tagger:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, len(TAGS)), dtype=np.float32))
     follows: np.ndarray = field(default_factory=lambda: np.zeros((len(TAGS) + 1, len(TAGS)), dtype=np.float32))
 
-    def scores(self, segments: list[list[str]]) -> np.ndarray:
-        """Segments by tokens by tags; a segment's end and what is beyond it score as the words around a sentence do."""
-        longest = max(map(len, segments))
-        index: dict[str, int] = {"": 0}
-        codes = np.zeros((len(segments), longest + 2), dtype=np.int64)
-        for k, words in enumerate(segments):
-            codes[k, 1 : len(words) + 1] = [index.setdefault(w, len(index)) for w in words]
-        tables = [np.array([self.weights[features(w, place)].sum(axis=0) for w in index]) for place in (-1, 0, 1)]
+    def scores(self, segments: list[list[str]], known: WordScores | None = None) -> np.ndarray:
+        """Segments by tokens by tags; a segment's end and what is beyond it score as the words around a sentence do.
+
+        ``known`` keeps the words' scores from call to call, where the weights stay."""
+        known = known or WordScores(self.weights)
+        codes, tables = known.of(segments), known.tables
         out = tables[0][codes[:, :-2]] + tables[1][codes[:, 1:-1]] + tables[2][codes[:, 2:]]
-        starts = np.array([w[:1].isupper() or w[:1].isdigit() for w in index])  # a name begins with a capital or a number
-        out[:, :, [t.startswith("B") for t in TAGS]] += np.where(starts[codes[:, 1:-1]], 0, _NEVER)[:, :, None]
+        out[:, :, [t.startswith("B") for t in TAGS]] += np.where(known.starts[codes[:, 1:-1]], 0, _NEVER)[:, :, None]
         return out
 
-    def paths(self, segments: list[list[str]]) -> list[np.ndarray]:
+    def paths(self, segments: list[list[str]], known: WordScores | None = None) -> list[np.ndarray]:
         """The best tags of each segment."""
         if not segments:
             return []
-        scores = self.scores(segments)
+        scores = self.scores(segments, known)
         step = np.where(_MAY, self.follows, _NEVER)
         best = scores[:, 0] + step[-1]
         back = np.zeros(scores.shape, dtype=np.int64)
@@ -154,14 +204,12 @@ class Tagger:
             back[:, t] = through.argmax(axis=1)
             best = through.max(axis=1) + scores[:, t]
             final[lengths == t + 1] = best[lengths == t + 1]
-        out = []
-        for k, size in enumerate(lengths):
-            path = np.zeros(size, dtype=np.int64)
-            path[-1] = final[k].argmax()
-            for t in range(size - 1, 0, -1):
-                path[t - 1] = back[k, t, path[t]]
-            out.append(path)
-        return out
+        whole, each = np.zeros(scores.shape[:2], dtype=np.int64), np.arange(len(segments))
+        whole[each, lengths - 1] = final.argmax(axis=1)
+        for t in range(scores.shape[1] - 1, 0, -1):
+            own = each[lengths > t]
+            whole[own, t - 1] = back[own, t, whole[own, t]]
+        return [path[:size] for path, size in zip(whole, lengths, strict=True)]
 
     def learn(self, sentences: list[tuple[list[str], list[int]]], seed: int) -> tuple[np.ndarray, np.ndarray]:
         """The averages of the weights over one pass; the weights themselves change too."""
@@ -234,14 +282,25 @@ def segments(text: str) -> list[list[re.Match]]:
 def analyser(tagger: Tagger, batch: int = 256) -> Callable[[pd.Series], pd.Series]:
     """A function over texts for the name layer: lists of {start, end, entity, score}. Null texts have none."""
 
+    known: list[WordScores] = []
+
     def run(texts: pd.Series) -> pd.Series:
-        found: list[list[dict]] = [[] for _ in texts]
-        work = [(k, s) for k, text in enumerate(texts) if text for s in segments(text) if any(m[0][:1].isupper() or m[0][:1].isdigit() for m in s)]
-        work.sort(key=lambda x: len(x[1]))
-        for low in range(0, len(work), batch):
-            part = work[low : low + batch]
-            words = [[m[0] for m in s] for _, s in part]
-            for (k, own), path in zip(part, tagger.paths(words), strict=True):
+        if not known:
+            known.append(WordScores(tagger.weights))
+        # A tagged line depends on its own words only, and so does a segment of it, so each is read once for all texts.
+        lines: dict[str, list[tuple[int, int, str]]] = {line: [] for text in texts if text for line in text.split("\n")}
+        work: dict[tuple[str, ...], list[tuple[str, list[re.Match]]]] = {}
+        for line in lines:
+            for s in segments(line):
+                words = tuple(m[0] for m in s)
+                if any(w[:1].isupper() or w[:1].isdigit() for w in words):
+                    work.setdefault(words, []).append((line, s))
+        order = sorted(work, key=len)
+        for low in range(0, len(order), batch):
+            part = order[low : low + batch]
+            for words, path in zip(part, tagger.paths(part, known[0]), strict=True):
+                if not path.any():
+                    continue
                 t = 0
                 while t < len(path):
                     tag, first = TAGS[path[t]], t
@@ -249,8 +308,16 @@ def analyser(tagger: Tagger, batch: int = 256) -> Callable[[pd.Series], pd.Serie
                     if tag.startswith("B"):
                         while t < len(path) and TAGS[path[t]] == f"I{tag[1:]}":
                             t += 1
-                        found[k].append({"start": own[first].start(), "end": own[t - 1].end(), "entity": tag[2:], "score": 0.85})
-        return pd.Series([sorted(f, key=lambda e: e["start"]) for f in found], index=texts.index, dtype=object)
+                        for line, own in work[words]:
+                            lines[line].append((own[first].start(), own[t - 1].end(), tag[2:]))
+        found: list[list[dict]] = []
+        for text in texts:
+            at, own = 0, []
+            for line in text.split("\n") if text else ():
+                own += [{"start": at + start, "end": at + end, "entity": kind, "score": 0.85} for start, end, kind in sorted(lines[line])]
+                at += len(line) + 1
+            found.append(own)
+        return pd.Series(found, index=texts.index, dtype=object)
 
     # Annotations name the pandas types that Spark takes the kind of function from.
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
