@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.matching import all_matches, literal_places
+from ..functions.matching import all_matches, any_of, literal_places
 from ..functions.scalars import link_key, piece
 from .intervals import apart, pairs, touched
 from .merge import clustered
@@ -15,6 +15,8 @@ from .render import rendered
 #: What a second look takes for a network address, a link and a case number.
 EXTRA_FORMATS = {"IP": r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", "URL": r"https?://[^\s<>\"']+", "POLICY": r"\b(?:[Pp]olicy|[Cc]ase|[Cc]laim) (?:[Nn]o\.? |[Nn]umber |#)?[A-Z0-9][A-Z0-9-]{3,30}\b"}
 MIN_PART, MIN_CONFIDENCE = 3, 0.85
+#: Lots that the parts of a document are dealt into.
+LOTS = 64
 
 
 def resolved_occurrences(documents: DataFrame, suggestions: DataFrame) -> DataFrame:
@@ -31,7 +33,9 @@ def visible(spans: DataFrame, hidden: DataFrame) -> DataFrame:
 
 def extra_formats(documents: DataFrame, hidden: DataFrame) -> DataFrame:
     """doc_id, kind, start, end, text of further formats in the visible text."""
-    parts = [F.transform(all_matches("text", p), _kind(kind)) for kind, p in EXTRA_FORMATS.items()]
+    text = F.col("text")
+    gates = {"IP": text.rlike(r"[0-9]\.[0-9]"), "URL": any_of(text, ["http"]), "POLICY": any_of(text, ["olicy ", "ase ", "laim "])}
+    parts = [F.transform(all_matches("text", p, gates[kind]), _kind(kind)) for kind, p in EXTRA_FORMATS.items()]
     rows = documents.select("doc_id", F.explode(F.concat(*parts)).alias("m")).select("doc_id", "m.*")
     return visible(rows, hidden)
 
@@ -42,9 +46,23 @@ def _kind(kind: str):
 
 def leaked_parts(documents: DataFrame, hidden: DataFrame) -> DataFrame:
     """Words of at least three characters of confidently hidden values that still stand in the visible text."""
-    parts = hidden.where(F.col("confidence") >= MIN_CONFIDENCE).select("doc_id", F.explode(all_matches("text", rf"(?U)\w{{{MIN_PART},}}")).alias("m")).select("doc_id", F.lower("m.text").alias("part")).distinct()
-    words = documents.select("doc_id", F.explode(all_matches("text", rf"(?U)\w{{{MIN_PART},}}")).alias("m")).select("doc_id", F.lower("m.text").alias("part"), "m.start", "m.end", "m.text")
-    return visible(words.join(parts, ["doc_id", "part"]), hidden).select("doc_id", "start", "end", "text")
+    word = rf"(?U)\w{{{MIN_PART},}}"
+    parts = hidden.where(F.col("confidence") >= MIN_CONFIDENCE).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(word), F.lit(0))).alias("m")).select("doc_id", F.lower("m").alias("part"))
+    dealt = parts.groupBy("doc_id", _lot(F.col("part")).alias("lot")).agg(F.collect_set("part").alias("parts"))
+    lots = dealt.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("lot", "parts"))).alias("lots"))
+
+    def hides(m):
+        low = F.lower(m["text"])
+        return F.coalesce(F.array_contains(F.try_element_at("lots", _lot(low)), low), F.lit(False))
+
+    # Words are held against the parts where the text is, so only those that are parts are exchanged.
+    words = documents.select("doc_id", "text").join(lots, "doc_id").select("doc_id", F.explode(F.filter(all_matches("text", word), hides)).alias("m")).select("doc_id", "m.start", "m.end", "m.text")
+    return visible(words, hidden)
+
+
+def _lot(word):
+    """One of LOTS lots of a document's parts, so that a word is compared with few of them."""
+    return F.pmod(F.xxhash64(word), F.lit(LOTS)).cast("int")
 
 
 def repeated_values(spans: DataFrame, hidden: DataFrame) -> DataFrame:

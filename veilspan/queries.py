@@ -621,7 +621,7 @@ SEMI JOIN (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(v, '{WORD}'))
 WHERE NOT EXISTS (SELECT 1 FROM {O.layer()} l WHERE l.doc_id = w.doc_id AND w.s < l.e AND l.s < w.e)""")
 def leaked_parts(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return consistency.leaked_parts(d, patterns.detect_patterns(d))
+    return consistency.leaked_parts(d, patterns.detect_patterns(d).persist())
 
 
 SECOND = rf"""WITH l AS MATERIALIZED (SELECT * FROM {O.layer()}), p AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(v, '{WORD}'))) AS part FROM l),
