@@ -52,7 +52,8 @@ def touched(spans: DataFrame, ranges: DataFrame, keys: Sequence[str] = ("doc_id"
     return with_overlap(spans, ranges, _SPAN, keys).where(F.col(f"`{_SPAN}`")).drop(_SPAN)
 
 
-def _bins(start: Column, end: Column) -> Column:
+def bins(start: Column, end: Column) -> Column:
+    """The bins that a range lies in."""
     return F.sequence(F.floor(start / BIN).cast("int"), F.floor(F.greatest(start, end - 1) / BIN).cast("int"))
 
 
@@ -61,7 +62,7 @@ def pairs(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("doc_id",)) -> Data
 
     def binned(rows: DataFrame, name: str) -> DataFrame:
         sound = rows.where("start >= 0 and start <= end")
-        return sound.select(*keys, F.struct(*rows.columns).alias(name), F.explode(_bins(F.col("start"), F.col("end"))).alias("bin"))
+        return sound.select(*keys, F.struct(*rows.columns).alias(name), F.explode(bins(F.col("start"), F.col("end"))).alias("bin"))
 
     met = binned(a, "a").join(binned(b, "b"), [*keys, "bin"])
     first = F.floor(F.greatest("a.start", "b.start") / BIN).cast("int")

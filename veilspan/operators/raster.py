@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import pairs
+from .intervals import bins, pairs
 
 #: Fixed value: a page with fewer characters has no text layer worth the name.
 DIGITAL_MIN_CHARS = 10
@@ -52,7 +52,11 @@ def page_texts(placed: DataFrame) -> DataFrame:
 
 def span_boxes(spans: DataFrame, placed: DataFrame) -> DataFrame:
     """doc_id, page, start, end, box for every word that a span overlaps; a word under two spans comes twice."""
-    met = pairs(spans.select("doc_id", "page", "start", "end"), placed.select("doc_id", "page", "start", "end", "ord", "box"), ("doc_id", "page"))
+    own = spans.select("doc_id", "page", "start", "end")
+    # Words lie by page already; those in bins that no span touches drop out there, before words and spans are exchanged by bin.
+    touched = own.where("start >= 0 and start <= end").select("doc_id", "page", F.explode(bins(F.col("start"), F.col("end"))).alias("bin")).groupBy("doc_id", "page").agg(F.collect_set("bin").alias("bins"))
+    near = placed.select("doc_id", "page", "start", "end", "ord", "box").join(touched, ["doc_id", "page"]).where(F.arrays_overlap(bins(F.col("start"), F.col("end")), "bins")).drop("bins")
+    met = pairs(own, near, ("doc_id", "page"))
     return met.select("doc_id", "page", "a.start", "a.end", "b.ord", "b.box")
 
 

@@ -569,8 +569,11 @@ placed AS MATERIALIZED (SELECT doc_id, k, t, sep, line, CAST(sum(length(sep) + l
 page AS MATERIALIZED (SELECT doc_id, string_agg(sep || t, '' ORDER BY k) AS text FROM placed GROUP BY doc_id)"""
 
 
-def _words(spark, sf_dir):
-    tokens = docs(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \n]+|\n"), F.lit(0))).alias("ord", "text"))
+def _words(spark, sf_dir, only: DataFrame | None = None):
+    """The placed words of all documents, or of those whose ids are in ``only``."""
+    d = docs(spark, sf_dir)
+    d = d if only is None else d.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
+    tokens = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \n]+|\n"), F.lit(0))).alias("ord", "text"))
     line = F.count_if(F.col("text") == "\n").over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
     number = lambda c: c.cast("int")
     made = tokens.select("doc_id", F.lit(0).alias("page"), "ord", "text", F.when(F.col("ord") % 7 == 3, "-1").otherwise("90.5").alias("conf"), F.lit(1).alias("block"), F.lit(1).alias("par"), number(line).alias("line"), number(F.col("ord") * 10).alias("left"), number(line * 12).alias("top"), F.lit(8).alias("width"), F.lit(10).alias("height"))
@@ -584,9 +587,9 @@ def ocr_text(spark, sf_dir):
 
 @query(f"{WITH_PAGES} SELECT l.doc_id, CAST(p.k AS INTEGER) AS ord, CAST(10 * p.k AS INTEGER) AS x0, CAST(10 * p.k + 8 AS INTEGER) AS x1 FROM {O.layer('page')} l JOIN placed p ON p.doc_id = l.doc_id AND p.e - length(p.t) < l.e AND l.s < p.e")
 def span_boxes(spark, sf_dir):
-    placed = _words(spark, sf_dir)
-    found = patterns.detect_patterns(raster.page_texts(placed)).withColumn("page", F.lit(0))
-    return raster.span_boxes(found, placed).select("doc_id", "ord", "box.x0", "box.x1")
+    """Words are exchanged for the page texts; a second time only those of pages that have spans."""
+    found = patterns.detect_patterns(raster.page_texts(_words(spark, sf_dir))).withColumn("page", F.lit(0)).persist()
+    return raster.span_boxes(found, _words(spark, sf_dir, found)).select("doc_id", "ord", "box.x0", "box.x1")
 
 
 @query(f"""SELECT doc_id, s AS "start", e AS "end", v AS text FROM {O.hits('[0-9]{1,3}([.][0-9]{1,3}){3}')} h
