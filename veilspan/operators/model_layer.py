@@ -23,7 +23,9 @@ TRIGGERS = (
     "doctor dr physician nurse patient diagnosed diagnosis prescribed treatment clinic hospital condition symptoms "
     "account salary payment invoice bank loan mortgage policy claim premium"
 ).split()
-TRIGGER = r"(?iuU)\b(?:" + "|".join(TRIGGERS) + r")\b"
+#: The cue words by their first letters, so that few alternatives are tried, and these only where a word can begin with one.
+_FIRST = sorted({t[0] for t in TRIGGERS})
+TRIGGER = rf"(?iuU)(?=[{''.join(_FIRST)}])\b(?:" + "|".join(f"{a}(?:{'|'.join(t[1:] for t in TRIGGERS if t[0] == a)})" for a in _FIRST) + r")\b"
 FOUND_REASON = "relational/implicit PII the earlier layers missed"
 SETTLED_REASON = "dictionary/NER disagreement resolved by the model"
 DETECT_PROMPT = (
@@ -94,8 +96,11 @@ def anchored(chunk: Column, entities: Column) -> Column:
 
 
 def model_hits(replies: DataFrame) -> DataFrame:
-    """Hits of replies (doc_id, w_start, chunk, reply) at document offsets, the first of each range kept."""
-    rows = replies.select("doc_id", "w_start", F.posexplode(anchored(F.col("chunk"), parsed_entities("reply"))).alias("k", "e"))
+    """Hits of replies (doc_id, w_start, chunk, reply) at document offsets, the first of each range kept. A document with a ``failure`` has none."""
+    failed = F.col("failure").isNotNull() if "failure" in replies.columns else F.lit(False)
+    rows = replies.select("doc_id", "w_start", failed.alias("failed"), F.posexplode_outer(anchored(F.col("chunk"), parsed_entities("reply"))).alias("k", "e")).where("failed or e is not null")
+    if "failure" in replies.columns:  # told by a window, so that replies are asked for once
+        rows = rows.withColumn("failed", F.max("failed").over(Window.partitionBy("doc_id"))).where("not failed")
     rows = rows.select("doc_id", "w_start", "k", (F.col("w_start") + F.col("e.at")).alias("start"), (F.col("w_start") + F.col("e.at") + F.length("e.text")).alias("end"), F.col("e.text").alias("text"), mapped_type(F.coalesce("e.type", F.lit(""))).alias("type"), reason_or("e.reason", FOUND_REASON).alias("reason"))
     first = Window.partitionBy("doc_id", "start", "end").orderBy("w_start", "k")
     return rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "w_start", "k")
@@ -108,9 +113,6 @@ def detect_with_model(documents: DataFrame, client=None, covered: DataFrame | No
     """
     if replies is None:
         replies = asked(gated(text_windows(documents)), client)
-    if "failure" in replies.columns:
-        failed = replies.where("failure is not null").select("doc_id").distinct()
-        replies = replies.join(failed, "doc_id", "left_anti")
     hits = model_hits(replies)
     if covered is not None:
         hits = apart(hits, covered.select("doc_id", "start", "end"))
