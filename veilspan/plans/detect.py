@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.contract import ALLOWLIST_REASON, CANDIDATES, DEFAULT_ALLOWLIST, LAYERS, PII_TYPES, fields
 from ..functions.scalars import span_struct
 from ..operators.dictionary import INLINE_TERMS, allow_ranges, detect_known, harmless_hits, known_rows
+from ..operators.intervals import swept
 from ..operators.merge import merge, merge_scan
 from ..operators.model_layer import asked, detect_with_model, gated, text_windows
 from ..operators.names import detect_names, name_rows, pattern_results
@@ -31,16 +32,25 @@ def _rows(frame: DataFrame) -> DataFrame:
     return frame.select(*[F.col(name).cast(kind).alias(name) for name, kind in fields(CANDIDATES)])
 
 
-def detect(documents: DataFrame, known: Sequence[tuple[str, str]] | DataFrame = (), allowlist: Sequence[str] = DEFAULT_ALLOWLIST, analyser=None, names: bool = True, client=None) -> Detection:
+def detect(documents: DataFrame, known: Sequence[tuple[str, str]] | DataFrame = (), allowlist: Sequence[str] = DEFAULT_ALLOWLIST, analyser=None, names: bool = True, client=None, keep: bool = False) -> Detection:
     """Runs patterns, dictionary, names and, with a ``client``, the model layer on rows (doc_id, text).
 
     Layers that need no other table are one projection of the documents, read once; only merging exchanges rows, by doc_id. Empty texts give nothing.
+    With a ``client`` Spark keeps the candidates, so a model isn't asked again for what findings read twice. With ``keep`` it keeps what that projection finds, for jobs that read both findings and layers.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= 1)
-    if client is None and analyser is None and not isinstance(known, DataFrame) and len(known) <= INLINE_TERMS:
-        rows = scan(docs, known, allowlist, names)
+    if analyser is None and not isinstance(known, DataFrame) and len(known) <= INLINE_TERMS:
+        rows, failed = scan(docs, known, allowlist, names), None
+        rows = rows.persist() if keep else rows
+        if client is not None:
+            replies = asked(gated(text_windows(docs)), client)
+            failed = _failed(replies)
+            # One sweep tells which of the model's hits an earlier candidate covers, so neither texts nor replies are read again for it.
+            every = rows.unionByName(_rows(detect_with_model(docs, replies=replies)).withColumn("harmless", F.lit(False))).persist()
+            own = swept(every, ~F.col("harmless") & (F.col("source") != "llm"), "covered")
+            rows = own.where("harmless or source <> 'llm' or not covered").drop("covered")
         found, ranges = rows.where("not harmless").drop("harmless"), rows.where("harmless").select("doc_id", "start", "end", "text", "reason")
-        return Detection(found, ranges, merge_scan(rows), layer_report(docs, found, ranges, names, rows=rows))
+        return Detection(found, ranges, merge_scan(rows), layer_report(docs, found, ranges, names, client is not None, failed, rows=rows))
     ranges = allow_ranges(docs, allowlist)
     found = _rows(detect_patterns(docs)).unionByName(_rows(detect_known(docs, known)))
     if names:
@@ -48,11 +58,15 @@ def detect(documents: DataFrame, known: Sequence[tuple[str, str]] | DataFrame =
     failed = None
     if client is not None:
         replies = asked(gated(text_windows(docs)), client)
-        failed = replies.where("failure is not null").groupBy("doc_id").agg(F.min("failure").alias("failure"))
+        failed = _failed(replies)
         found = found.unionByName(_rows(detect_with_model(docs, covered=found, replies=replies)))
     return Detection(found, ranges, merge(found, ranges), layer_report(docs, found, ranges, names, client is not None, failed, analyser))
 
 
+def _failed(replies: DataFrame) -> DataFrame:
+    return replies.where("failure is not null").groupBy("doc_id").agg(F.min("failure").alias("failure"))
+
+
 def scan(documents: DataFrame, known: Sequence[tuple[str, str]], allowlist: Sequence[str], names: bool) -> DataFrame:
     """Candidates of the layers that need no other table, and ``harmless`` ranges, by one projection over the texts."""
     if any(t not in PII_TYPES for _, t in known):
