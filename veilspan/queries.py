@@ -644,7 +644,7 @@ SELECT g.doc_id, CAST(row_number() OVER (PARTITION BY g.doc_id ORDER BY CASE WHE
 def second_looks(spark, sf_dir):
     """What formats, parts of hidden values and a quoting model still find once the pattern layer's spans are hidden."""
     d = docs(spark, sf_dir)
-    return consistency.second_looks(d, patterns.detect_patterns(d), QuotesWord(LONG))
+    return consistency.second_looks(d, patterns.detect_patterns(d).persist(), QuotesWord(LONG))
 
 
 #: What is taken for true: spans of the note, and those of the documents' findings that don't start at a multiple of five, moved by up to three.
