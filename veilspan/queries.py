@@ -687,7 +687,7 @@ SELECT d.doc_id, 'REDACT' AS output_mode, CAST(4 AS INTEGER) AS layers, coalesce
 FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id WHERE length(d.text) > 0""")
 def review_state(spark, sf_dir):
     """The nested state of every review that has just begun, in numbers."""
-    d = _detected(spark, sf_dir)
+    d = detect(docs(spark, sf_dir), KNOWN, ALLOWED, names=False, keep=True)
     whole = docs(spark, sf_dir).where("length(text) > 0")
     state = review.state(whole, review.queue(whole, d.findings.drop("linked")), d.layers, "REDACT")
     return state.select("doc_id", "output_mode", F.size("layers").alias("layers"), F.aggregate("layers", F.lit(0).cast("long"), lambda n, x: n + x["count"]).alias("candidates"), F.size(F.coalesce("queue", F.array())).alias("queue"), "counts.tier1", "counts.unresolved_high_risk")
