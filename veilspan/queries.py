@@ -410,7 +410,7 @@ SELECT doc_id, s AS "start", e AS "end", CAST(1 AS INTEGER) AS tier FROM f UNION
 def soft_findings(spark, sf_dir):
     """Findings of patterns and of a model that quotes: those of the model alone are of the third tier."""
     d = noted(spark, sf_dir)
-    found = patterns.detect_patterns(d)
+    found = patterns.detect_patterns(d).persist()
     hits = model_layer.detect_with_model(d, QuotesWord(LONG), covered=found)
     return merge.merge(found.unionByName(hits)).select("doc_id", "start", "end", "tier")
 
