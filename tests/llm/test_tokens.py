@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from veilspan.llm.bpe_matrix import MatrixBpe, encode_decode
 from veilspan.llm.packing import first_fit_decreasing, pack
 from veilspan.llm.token_counts import TokenCounter, count_tokens
-from veilspan.llm.token_files import decode_block, encode_block, token_file_digest
+from veilspan.llm.token_files import decode_block, encode_block, read_token_files, token_file_digest, write_token_files
 from veilspan.llm.tokens import LibraryEncoder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -161,3 +161,25 @@ def test_packing_of_odd_rows(odd, none):
         own = own.sort_values("offset")
         assert own.offset.tolist() == [0, *np.cumsum(own.length)[:-1]] and own.length.sum() <= 2048
     assert pack(none, WORD).count() == 0
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*map(chr, range(0x100)), *"   \n\n''..", "'s", "'LL", " the", "word.", "%%%", "\n\n"]), max_size=40).map("".join))
+def test_pieces_of_latin_texts_equal_whole_texts(text):
+    assert ids(ENCODERS[BYTE].ids(text)) == ENCODERS[BYTE].library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow_it(monkeypatch):
+    plain, seen = LibraryEncoder._piece, []
+    monkeypatch.setattr(LibraryEncoder, "_piece", lambda self, piece: seen.append(piece) or plain(self, piece))
+    encoder, text = LibraryEncoder(BYTE), "The thoniner, a thoniner für o thoniner%%% für; thoniner!! für."
+    assert ids(encoder.ids(text)) == encoder.library.encode(text, add_special_tokens=False).ids
+    assert seen.count(" thoniner") == seen.count(" für") == 1
+
+
+def test_digests_are_read_without_the_column_of_ids(spark, tmp_path):
+    write_token_files(spark.createDataFrame([(2, "two words"), (1, None), (3, "naïve 漢字")], "doc_id long, text string"), BYTE, 2, f"file://{tmp_path}/files")
+    whole, digests = read_token_files(spark, f"file://{tmp_path}/files"), read_token_files(spark, f"file://{tmp_path}/files", with_ids=False)
+    assert "ids" not in digests.columns and sorted(map(tuple, digests.collect())) == sorted(map(tuple, whole.drop("ids").collect()))
+    library = Tokenizer.from_file(BYTE)
+    assert {r["doc_id"]: ids(bytes(r["ids"])) for r in whole.collect()} == {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in [(1, ""), (2, "two words"), (3, "naïve 漢字")]}

@@ -45,13 +45,19 @@ KEPT = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 def encode_block(values: np.ndarray, lengths: np.ndarray) -> bytes:
     """The payload for the values (frequency ranks) of documents of the given lengths."""
     values = np.ascontiguousarray(values, dtype="<u4")
-    extra = ((values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)).astype(np.uint8)
-    quads = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
-    quads[: len(values)] = extra
-    quads = quads.reshape(-1, 4)
-    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
-    return MAGIC + struct.pack("<qq", len(lengths), len(values)) + np.asarray(lengths, dtype="<i8").tobytes() + control.astype(np.uint8).tobytes() + data.tobytes()
+    n, extra = len(values), np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF)[: width - 1]:
+        extra[:n] += values > limit
+    quads = extra.view("<u4")
+    control = (quads | quads >> np.uint32(6) | quads >> np.uint32(12) | quads >> np.uint32(18)).astype(np.uint8)
+    starts = np.cumsum(extra[:n], dtype=np.int64) - extra[:n] + np.arange(n)
+    low_first, data = values.view(np.uint8).reshape(-1, 4), np.empty(n + int(extra.sum(dtype=np.int64)), dtype=np.uint8)
+    data[starts] = low_first[:, 0]
+    for k in range(1, width):
+        more = np.flatnonzero(extra[:n] >= k)
+        data[starts[more] + k] = low_first[more, k]
+    return MAGIC + struct.pack("<qq", len(lengths), n) + np.asarray(lengths, dtype="<i8").tobytes() + control.tobytes() + data.tobytes()
 
 
 def decode_block(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -170,10 +176,11 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int, pa
     where.getFileSystem(conf).delete(where, True)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """The documents of a set of token files: doc_id, start, n_tokens long, ids_crc32 long, ids (as little-endian unsigned 32-bit bytes).
 
-    A row for each that was written, null ids and repeats too; none for files without documents.
+    A row for each that was written, null ids and repeats too; none for files without documents. Without ``with_ids``
+    all ids are read and checked in the same way, but the column ``ids`` isn't made.
     """
     ranks = spark.read.parquet(f"{path}/ranks").collect()
     id_of = np.zeros(len(ranks), dtype="<u4")
@@ -184,12 +191,15 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for first, doc_ids, payload in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 lengths, values = decode_block(payload.as_py())
-                raw = id_of[values].tobytes()
+                raw = memoryview(id_of[values]).cast("B")
                 ends = np.cumsum(lengths)
                 ids = [raw[4 * a : 4 * b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(first + ends - lengths), pa.array(lengths), pa.array([crc(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                columns = [doc_ids.values, pa.array(first + ends - lengths), pa.array(lengths), pa.array([crc(x) for x in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())] if with_ids else columns, names=names)
 
-    return spark.read.parquet(f"{path}/shards").select("start", "doc_ids", "payload").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
+    return spark.read.parquet(f"{path}/shards").select("start", "doc_ids", "payload").mapInArrow(tidy(run), schema)
 
 
 def token_file_digest(documents: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -201,4 +211,4 @@ def token_file_digest(documents: DataFrame, tokenizer_path: str, end_id: int) ->
     """
     path = fresh_path(documents.sparkSession, "token-files")
     write_token_files(documents, tokenizer_path, end_id, path)
-    return read_token_files(documents.sparkSession, path).drop("ids")
+    return read_token_files(documents.sparkSession, path, with_ids=False)

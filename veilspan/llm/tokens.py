@@ -1,10 +1,11 @@
-"""Token ids of whole texts by the ``tokenizers`` library, with a memo of white-space-bounded chunks.
+"""Token ids of whole texts by the ``tokenizers`` library, with a memo of pieces and of white-space-bounded chunks.
 
 Both vocabularies split a text into pieces before merging, and no piece crosses from one chunk (a run of
 other than white space, for the byte-level pattern with the one space before it) into the next. A chunk's ids
 therefore don't depend on its surroundings, so each distinct chunk is encoded once by the library and then
 looked up. Chunks outside Latin-1, or with the text of an added token, go through the library's whole
-encoding path; the others through the same pattern and the library's merge model.
+encoding path; the others through the same pattern and the library's merge model. For the byte-level vocabulary a text
+without such chunks is split into its pieces at once: a word is then encoded once, whatever marks follow it.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ class LibraryEncoder:
         self.id_bytes = [k.to_bytes(4, "little") for k in range(self.library.get_vocab_size() + 1)]
         #: White space is dropped by the pattern of the vocabularies with word ends.
         self.words = self.model.end_of_word_suffix is not None
-        self.piece_ids = Memo(self._piece, memo // 4)
+        self.piece_ids = Memo(self._piece, memo // 4 if self.words else 2 * memo)
         self.chunk_ids = Memo(self._chunk, memo // 4)
         self.word_ids = Memo(self._chunk, memo)
         self.spaced_ids = Memo(self._spaced_chunk, memo)
@@ -115,6 +116,8 @@ class LibraryEncoder:
 
     def ids(self, text: str) -> bytes:
         if not self.words:
+            if (text.isascii() or not OUTSIDE.search(text)) and not any(x in text for x in self.added):
+                return b"".join(map(self.piece_ids.__getitem__, BYTE_PIECE.findall(text)))
             return spaced(text, self.chunk_ids, self.spaced_ids, self.chunk_ids, self.line_feed)
         chunks = CHUNK.findall(text) if SEPARATORS.search(text) else text.split()
         return b"".join(map(self.word_ids.__getitem__, chunks))
