@@ -35,10 +35,11 @@ def _rows(frame: DataFrame) -> DataFrame:
 def detect(documents: DataFrame, known: Sequence[tuple[str, str]] | DataFrame = (), allowlist: Sequence[str] = DEFAULT_ALLOWLIST, analyser=None, names: bool = True, client=None, keep: bool = False) -> Detection:
     """Runs patterns, dictionary, names and, with a ``client``, the model layer on rows (doc_id, text).
 
-    Layers that need no other table are one projection of the documents, read once; only merging exchanges rows, by doc_id. Empty texts give nothing.
+    Layers that need no other table are one projection of the documents, read once; only merging exchanges rows, by doc_id. Empty and null texts have no candidates, but their rows in the layers' report.
     With a ``client`` Spark keeps the candidates, so a model isn't asked again for what findings read twice. With ``keep`` it keeps what that projection finds, for jobs that read both findings and layers.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= 1)
+    whole = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = whole.where(F.length("text") >= 1)
     if analyser is None and not isinstance(known, DataFrame) and len(known) <= INLINE_TERMS:
         rows, failed = scan(docs, known, allowlist, names), None
         rows = rows.persist() if keep else rows
@@ -50,7 +51,7 @@ def detect(documents: DataFrame, known: Sequence[tuple[str, str]] | DataFrame =
             own = swept(every, ~F.col("harmless") & (F.col("source") != "llm"), "covered")
             rows = own.where("harmless or source <> 'llm' or not covered").drop("covered")
         found, ranges = rows.where("not harmless").drop("harmless"), rows.where("harmless").select("doc_id", "start", "end", "text", "reason")
-        return Detection(found, ranges, merge_scan(rows), layer_report(docs, found, ranges, names, client is not None, failed, rows=rows))
+        return Detection(found, ranges, merge_scan(rows), layer_report(whole, found, ranges, names, client is not None, failed, rows=rows))
     ranges = allow_ranges(docs, allowlist)
     found = _rows(detect_patterns(docs)).unionByName(_rows(detect_known(docs, known)))
     if names:
@@ -60,7 +61,7 @@ def detect(documents: DataFrame, known: Sequence[tuple[str, str]] | DataFrame =
         replies = asked(gated(text_windows(docs)), client)
         failed = _failed(replies)
         found = found.unionByName(_rows(detect_with_model(docs, covered=found, replies=replies)))
-    return Detection(found, ranges, merge(found, ranges), layer_report(docs, found, ranges, names, client is not None, failed, analyser))
+    return Detection(found, ranges, merge(found, ranges), layer_report(whole, found, ranges, names, client is not None, failed, analyser))
 
 
 def _failed(replies: DataFrame) -> DataFrame:
