@@ -30,3 +30,8 @@ def test_a_table_of_terms_leaves_no_document_out_of_the_report(spark):
     terms = spark.createDataFrame([(0, "example", "ORG")], "ord int, term string, type string")
     report = detect(docs, terms).layers.where("name = 'dictionary'").collect()
     assert {r["doc_id"]: r["count"] for r in report} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+
+
+def test_every_document_is_in_the_tallies(spark, stored):
+    got = sorted(tuple(r) for r in queries.layer_tally(spark, stored).collect())
+    assert got == [(doc_id, 2, 2, 0) for doc_id, _ in TEXTS]
